@@ -60,8 +60,8 @@ VIEWS: dict[str, str] = {
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a text over the star tables in ``sf_dir``."""
-    names = set(re.findall(r"{(\w+)}", text))
-    return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in re.findall(r"{(\w+)}", text)}
+    return spark.sql(text, **tables)
 
 
 def erp_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -72,3 +72,34 @@ def erp_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def plain_sql(text: str) -> str:
     """The text with plain table names."""
     return re.sub(r"{(\w+)}", r"\1", text)
+
+
+# Every order is taken for an export file and its lines for the header cells, in many spellings.
+EXPORT_HEADERS = """
+    select concat('export-', cast(l_orderkey as varchar(20)), '.csv') as file, l_linenumber as position,
+      case (l_partkey * 7 + l_suppkey) % 32
+        when 0 then 'VBELN' when 1 then 'kunnr' when 2 then '  MATNR ' when 3 then 'NETWR' when 4 then 'Waerk'
+        when 5 then 'VKORG' when 6 then 'GJAHR' when 7 then 'ERDAT' when 8 then 'Order Number'
+        when 9 then 'order_number' when 10 then 'ORDER-NUMBER' when 11 then '  Order Number  '
+        when 12 then 'Customer Name' when 13 then 'SKU' when 14 then 'Part Number'
+        when 15 then 'Distribution Channel' when 16 then 'Days Late' when 17 then 'Freight Cost (USD)'
+        when 18 then 'XZQ42' when 19 then 'foobar' when 20 then 'not_a_field' when 21 then 'column1'
+        when 22 then '!!!' when 23 then 'Größe' when 24 then 'Fiscal Yr.' when 25 then 'Carrier/Type'
+        when 26 then 'Budget' when 27 then 'VAR' when 28 then 'Region Group' when 29 then 'P.O.'
+        when 30 then 'Cost of Goods' else l_returnflag end as header
+    from {lineitem}"""
+
+# Every order is taken for a tenant with mapping entries; rows of origin R are newly confirmed.
+MAPPING_ROWS = """
+    select l_orderkey as tenant,
+      case l_linenumber when 1 then 'sales_header' when 2 then 'sales_items' when 3 then 'customer_master'
+        when 4 then 'controlling' when 5 then 'delivery' when 6 then 'material_master' else 'other' end as data_type,
+      concat('file-', cast(l_linenumber as varchar(10)), '.csv') as file,
+      concat('H', cast(l_partkey as varchar(20))) as header,
+      case when l_partkey % 3 = 0 then null else concat('field_', cast(l_partkey % 20 as varchar(10))) end as canonical,
+      l_returnflag as origin
+    from {lineitem}"""
+
+# Every document is taken for an export whose first line is the header.
+DOCUMENT_LINES = """
+    select doc_id as file, text as line from {documents}"""
