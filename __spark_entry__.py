@@ -66,9 +66,18 @@ def _silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Gold with rounded doubles, so that text made of it does not depend on summation order."""
-    silver = _silver(spark, sf_dir)
-    return {n: _rounded(GOLD_BUILDERS[n](silver[t.source])) for n, t in GOLD_TABLES.items()}
+    """All Gold tables, written and read back as in a real run.
+
+    Doubles are rounded, so that text made of them does not depend on the order of summation.
+    """
+    path = work_dir(spark, "gold")
+    pipeline.write_gold(_silver(spark, sf_dir), path)
+    return {name: _rounded(df) for name, df in pipeline.read_gold(spark, path).items()}
+
+
+def _gold_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Gold table straight from Silver."""
+    return _rounded(GOLD_BUILDERS[name](_silver(spark, sf_dir)[GOLD_TABLES[name].source]))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -157,10 +166,13 @@ def _pipeline_silver(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     code_of = {field: code for code, field in KNOWN_CODES.items()}
     files = {t: f"{t}.csv" for t in VIEWS}
     _export(spark, sf_dir, f"{folder}/bronze", files, lambda _: code_of)
-    for data_type, file in files.items():
-        headers = bronze.read_bronze(spark, f"{folder}/bronze/{file}").columns
-        pairs = [(h, KNOWN_CODES.get(h)) for h in headers]
-        layers.confirm_mapping(spark, f"{folder}/config", data_type, file, pairs)
+    mapping_rows = [
+        (data_type, file, i, header, KNOWN_CODES.get(header))
+        for data_type, file in files.items()
+        for i, header in enumerate(bronze.read_bronze(spark, f"{folder}/bronze/{file}").columns)
+    ]
+    confirmed = spark.createDataFrame(mapping_rows, mapping.MAPPING_SCHEMA)
+    layers.save_mapping(confirmed, f"{folder}/config")
     run = pipeline.run_from_mapping(
         spark, f"{folder}/config", f"{folder}/bronze", f"{folder}/silver", bounds=_BOUNDS
     )
@@ -221,7 +233,7 @@ def _pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _insight(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return INSIGHT_BUILDERS[name](_gold(spark, sf_dir)[name])
+        return INSIGHT_BUILDERS[name](_gold_table(spark, sf_dir, name))
     return run
 
 
@@ -298,8 +310,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     silver, gold = _silver, _gold
 
     def gold_query(name: str):
-        table = GOLD_TABLES[name]
-        return lambda s, d: _rounded(GOLD_BUILDERS[name](silver(s, d)[table.source]))
+        return lambda s, d: _gold_table(s, d, name)
 
     return {
         "sales_enriched": lambda s, d: silver(s, d)["sales_enriched"],
@@ -323,7 +334,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{f"insights_{name}": _insight(name) for name in INSIGHT_BUILDERS},
         "insights_all": lambda s, d: insights_all(gold(s, d)),
         "context_lines": _context_lines,
-        "budget_context": lambda s, d: context.budget_context(gold(s, d)["budget_variance"]).select("part", "line"),
+        "budget_context": lambda s, d: context.budget_context(_gold_table(s, d, "budget_variance")).select("part", "line"),
         "gold_context": lambda s, d: context.gold_context(gold(s, d)).select("section", "part", "line"),
         "knn_l2": _knn("l2"),
         "knn_cosine": _knn("cosine"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.functions.text import fmt_fixed, fmt_value
+from ledgerlift.functions.text import fmt_fixed, labelled
 from ledgerlift.operators.gold import GOLD_TABLES
 
 # Sections in order, and the budget headings.
@@ -42,11 +42,9 @@ def _tie_key(*names: str) -> Column:
 def context_lines(gold: DataFrame, name: str) -> DataFrame:
     """One line per row: ``column: value`` joined by `` | ``, columns in alphabetical order."""
     table = GOLD_TABLES[name]
-    types = {f.name: f.dataType for f in gold.schema.fields}
-    cells = [F.concat(F.lit(f"{c}: "), fmt_value(F.col(c), types[c])) for c in sorted(gold.columns)]
     return gold.select(
         F.lit(_LINES).alias("part"), F.col(table.sort).cast("double").alias("rank"),
-        _tie_key(*table.keys).alias("tie_key"), F.concat_ws(" | ", *cells).alias("line"),
+        _tie_key(*table.keys).alias("tie_key"), labelled(gold, sorted(gold.columns), " | ").alias("line"),
     )
 
 

@@ -22,7 +22,7 @@ from ledgerlift.operators.search import semantic_search
 from ledgerlift.schemas import OPTIONAL_TYPES, PRESET_SAP, PRESET_SAP_FILES, REQUIRED_TYPES, require_columns
 from ledgerlift.sources.bronze import read_bronze
 from ledgerlift.sources.layers import (
-    EMBEDDING_DIM, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, metric, publish_silver, read_silver,
+    EMBEDDING_DIM, SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, metric, publish_silver, read_silver,
     read_vectors, silver_run_path, write_layer, write_vectors,
 )
 from ledgerlift.sources.shared import read_if_present
@@ -147,20 +147,24 @@ def run_native(
     return SilverRun(ran=True, run_id=run_id)
 
 
-def build_gold(spark: SparkSession, silver: str, gold: str, *, basis: str = "local") -> None:
-    """Write the six Gold tables from the Silver run published last.
+def write_gold(tables: Mapping[str, DataFrame], gold: str, *, basis: str = "local") -> None:
+    """Write the six Gold tables from Silver tables given by name.
 
     The four margin tables come from one pass over the sales table. What that pass leaves is as
     small as the Gold tables; it is written once and the four are sorted out of it.
     """
+    sales = tables["sales_enriched"]
     cuts_path = f"{gold}/margins_by_cut"
-    write_layer(margins_by_cut(read_silver(spark, silver, "sales_enriched"), basis), cuts_path)
-    cuts = spark.read.parquet(cuts_path)
-    for name in MARGIN_TABLES:
-        write_layer(pick_cut(cuts, name), f"{gold}/{name}")
-    for name in GOLD_TABLES.keys() - set(MARGIN_TABLES):
-        source = read_silver(spark, silver, GOLD_TABLES[name].source)
-        write_layer(GOLD_BUILDERS[name](source), f"{gold}/{name}")
+    write_layer(margins_by_cut(sales, basis), cuts_path)
+    cuts = sales.sparkSession.read.parquet(cuts_path)
+    for name, table in GOLD_TABLES.items():
+        rows = pick_cut(cuts, name) if name in MARGIN_TABLES else GOLD_BUILDERS[name](tables[table.source])
+        write_layer(rows, f"{gold}/{name}")
+
+
+def build_gold(spark: SparkSession, silver: str, gold: str, *, basis: str = "local") -> None:
+    """Write the six Gold tables from the Silver run published last."""
+    write_gold({name: read_silver(spark, silver, name) for name in SILVER_TABLES}, gold, basis=basis)
 
 
 def read_gold(spark: SparkSession, gold: str) -> dict[str, DataFrame]:
@@ -218,5 +222,5 @@ def run_all(
 
 __all__ = [
     "RowBounds", "SilverRun", "build_gold", "build_vectors", "current_run", "load_gold_context", "read_gold",
-    "run_all", "run_from_mapping", "run_native", "search_store", "silver_tables", "write_silver",
+    "run_all", "run_from_mapping", "run_native", "search_store", "silver_tables", "write_gold", "write_silver",
 ]

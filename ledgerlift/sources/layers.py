@@ -121,24 +121,27 @@ def load_mapping(spark: SparkSession, config: str) -> DataFrame | None:
     return None if text is None else parse_mapping(text)
 
 
+def save_mapping(mapping: DataFrame, config: str) -> None:
+    """Replace the mapping file by the given rows.
+
+    It is a control file of a few dozen rows; they pass through the driver because the rows may
+    come from the very file that is replaced.
+    """
+    document = mapping_document(mapping).collect()
+    mapping.sparkSession.createDataFrame(document, "value string").coalesce(1).write.mode("overwrite").text(
+        f"{config}/{MAPPING_FILE}"
+    )
+
+
 def confirm_mapping(
     spark: SparkSession, config: str, data_type: str, file: str,
     mapping: Sequence[tuple[str, str | None]],
-) -> DataFrame:
-    """Store the reviewed mapping of one data type and keep the other types' entries.
-
-    The file is a control file of a few dozen rows; they pass through the driver because the file
-    that is read is also the one that is replaced.
-    """
+) -> None:
+    """Store the reviewed mapping of one data type and keep the other types' entries."""
     rows = [(data_type, file, i, header, canonical) for i, (header, canonical) in enumerate(mapping)]
     new = spark.createDataFrame(rows or [(data_type, file, None, None, None)], MAPPING_SCHEMA)
     old = load_mapping(spark, config)
-    merged = new if old is None else upsert_mapping(old, new)
-    document = mapping_document(merged).collect()
-    spark.createDataFrame(document, "value string").coalesce(1).write.mode("overwrite").text(
-        f"{config}/{MAPPING_FILE}"
-    )
-    return load_mapping(spark, config)
+    save_mapping(new if old is None else upsert_mapping(old, new), config)
 
 
 # --- Vectors ---------------------------------------------------------------------------------
