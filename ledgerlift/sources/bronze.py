@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.functions.headers import clean_header, header_names
+from ledgerlift.functions.headers import header_names
 from ledgerlift.schemas import POSITION
 
-# The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''.
-_CSV = {"header": True, "escape": '"', "emptyValue": "", "enforceSchema": False}
+# The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''. The
+# two are told apart by a null marker that no export contains.
+_CSV = {"header": True, "escape": '"', "nullValue": "\0", "emptyValue": "", "enforceSchema": False}
 
 _POSITION_PARTS = ("_metadata.file_path", "_metadata.file_block_start")
 
@@ -25,7 +26,7 @@ def csv_options(multiline: bool = False) -> dict[str, object]:
 
 def _tidy_names(df: DataFrame) -> DataFrame:
     """Column names without surrounding space, quotes or BOM, as header matching sees them."""
-    tidy = {c: c.removeprefix("﻿").strip().strip('"') for c in df.columns}
+    tidy = {c: c.removeprefix("\ufeff").strip().strip('"') for c in df.columns}
     return df.withColumnsRenamed({c: t for c, t in tidy.items() if t and t != c})
 
 
@@ -106,9 +107,3 @@ def extract_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
     )
     lines = files.mapInPandas(_first_lines, "file string, line string")
     return header_rows(lines, "line", "file")
-
-
-__all__ = [
-    "bronze_name", "clean_header", "csv_options", "extract_headers", "header_rows", "land_bronze",
-    "read_bronze",
-]
