@@ -72,7 +72,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """
     path = work_dir(spark, "gold")
     pipeline.write_gold(_silver(spark, sf_dir), path)
-    return {name: _rounded(df) for name, df in pipeline.read_gold(spark, path).items()}
+    return {name: _rounded(df) for name, df in layers.read_gold(spark, path).items()}
 
 
 def _gold_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,10 +196,11 @@ def _pipeline_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pipeline_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "native")
     _export(
-        spark, sf_dir, f"{folder}/bronze", PRESET_SAP_FILES,
+        spark, sf_dir, f"{folder}/exports", PRESET_SAP_FILES,
         lambda t: {canonical: native for native, canonical in PRESET_SAP[t].items()},
     )
-    pipeline.run_native(spark, f"{folder}/bronze", f"{folder}/silver", bounds=_BOUNDS)
+    pipeline.land_native(spark, f"{folder}/exports", f"{folder}/bronze")
+    pipeline.run_native(spark, f"{folder}/bronze", f"{folder}/silver", landed=True, bounds=_BOUNDS)
     return _sales_columns(layers.read_silver(spark, f"{folder}/silver", "sales_enriched"))
 
 

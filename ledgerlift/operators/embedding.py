@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.functions.vectors import check_dim
-from ledgerlift.sources.layers import EMBEDDING_DIM
+from ledgerlift.schemas import EMBEDDING_DIM
 
 # Takes a batch of texts, returns one vector per text.
 Embedder = Callable[[Sequence[str]], "np.ndarray | Sequence[Sequence[float]]"]

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.operators.checks import require_passed, validate_controlling, validate_delivery, validate_sales
+from ledgerlift.operators.checks import (
+    combine_reports, require_passed, validate_controlling, validate_delivery, validate_sales,
+)
 from ledgerlift.operators.context import gold_context
 from ledgerlift.operators.embedding import Embedder, embed_texts
 from ledgerlift.operators.gold import GOLD_BUILDERS, GOLD_TABLES, MARGIN_TABLES, margins_by_cut, pick_cut
@@ -19,10 +21,12 @@ from ledgerlift.operators.insights import insights_all
 from ledgerlift.operators.mapping import apply_mapping, missing_types
 from ledgerlift.operators.sales import conform, dedupe_first, enrich_sales
 from ledgerlift.operators.search import semantic_search
-from ledgerlift.schemas import OPTIONAL_TYPES, PRESET_SAP, PRESET_SAP_FILES, REQUIRED_TYPES, require_columns
-from ledgerlift.sources.bronze import read_bronze
+from ledgerlift.schemas import (
+    EMBEDDING_DIM, OPTIONAL_TYPES, PRESET_SAP, PRESET_SAP_FILES, REQUIRED_TYPES, require_columns,
+)
+from ledgerlift.sources.bronze import bronze_name, land_bronze, read_bronze
 from ledgerlift.sources.layers import (
-    EMBEDDING_DIM, SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, metric, publish_silver, read_silver,
+    SILVER_TABLES, VECTOR_SCHEMA, gold_ready, load_mapping, publish_silver, read_gold, read_silver,
     read_vectors, silver_run_path, write_layer, write_vectors,
 )
 from ledgerlift.sources.shared import read_if_present
@@ -70,13 +74,14 @@ def _load(
 
 
 def silver_tables(
-    tables: Mapping[str, DataFrame], rates: Mapping[str, float] | None = None
+    tables: Mapping[str, DataFrame], rates: Mapping[str, float] | None = None,
+    observe: Mapping[str, Observation] | None = None,
 ) -> dict[str, DataFrame]:
     """The three Silver tables from canonical Bronze tables (masters unique per key)."""
     return {
         "sales_enriched": enrich_sales(
             tables["sales_header"], tables["sales_items"], tables["customer_master"],
-            tables.get("material_master"), rates=rates,
+            tables.get("material_master"), rates=rates, observe=observe,
         ),
         "controlling_enriched": tables["controlling"],
         "delivery_enriched": tables["delivery"],
@@ -90,17 +95,21 @@ def write_silver(
     """Write Silver tables as a new run, check what was written, publish all or nothing.
 
     The joins run once, for the write; the checks then read back only the columns they need. A run
-    that fails its checks stays unlisted, and readers keep the run published before.
+    that fails its checks stays unlisted, with its report in ``checks``, and readers keep the run
+    published before.
     """
     run_id = run_id or uuid.uuid4().hex
     for name, df in tables.items():
         write_layer(df, silver_run_path(silver, run_id, name))
     staged = {name: spark.read.parquet(silver_run_path(silver, run_id, name)) for name in tables}
-    require_passed(
+    report = combine_reports(
         sales=validate_sales(staged["sales_enriched"], bounds.min_sales, bounds.max_sales),
         controlling=validate_controlling(staged["controlling_enriched"], bounds.min_controlling),
         delivery=validate_delivery(staged["delivery_enriched"], bounds.min_delivery),
     )
+    report_path = silver_run_path(silver, run_id, "checks")
+    write_layer(report, report_path)
+    require_passed(spark.read.parquet(report_path))
     publish_silver(spark, silver, run_id)
     return run_id
 
@@ -108,11 +117,13 @@ def write_silver(
 def run_from_mapping(
     spark: SparkSession, config: str, bronze: str, silver: str, *,
     bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None,
+    observe: Mapping[str, Observation] | None = None,
 ) -> SilverRun:
     """Bronze to Silver by the confirmed mapping.
 
     Without a mapping file, or when it lacks a required data type, nothing is written and
-    ``ran`` is False. A failed check raises ``ChecksFailed`` and publishes nothing.
+    ``ran`` is False. A failed check raises ``ChecksFailed`` and publishes nothing. For ``observe``
+    see ``enrich_sales``.
     """
     mapping = load_mapping(spark, config)
     if mapping is None:
@@ -130,19 +141,27 @@ def run_from_mapping(
     wanted = [t for t in (*REQUIRED_TYPES, *OPTIONAL_TYPES) if t in entries]
     run_id = uuid.uuid4().hex
     tables = {t: _load(spark, bronze, silver, run_id, t, *entries[t]) for t in wanted}
-    write_silver(spark, silver_tables(tables, rates), silver, bounds, run_id)
+    write_silver(spark, silver_tables(tables, rates, observe), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
 
+def land_native(spark: SparkSession, exports: str, bronze: str) -> None:
+    """Land the six exports of the native layout from folder ``exports``."""
+    for file in PRESET_SAP_FILES.values():
+        land_bronze(spark, f"{exports}/{file}", bronze)
+
+
 def run_native(
-    spark: SparkSession, bronze: str, silver: str, *,
+    spark: SparkSession, bronze: str, silver: str, *, landed: bool = False,
     bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None,
 ) -> SilverRun:
-    """Bronze to Silver for exports in the native SAP-style layout, whose names are known."""
+    """Bronze to Silver for exports in the native SAP-style layout, whose names are known.
+
+    Reads the CSV files as they are, or with ``landed`` what ``land_native`` made of them.
+    """
+    files = {t: bronze_name(f) if landed else f for t, f in PRESET_SAP_FILES.items()}
     run_id = uuid.uuid4().hex
-    tables = {
-        t: _load(spark, bronze, silver, run_id, t, PRESET_SAP_FILES[t], PRESET_SAP[t]) for t in PRESET_SAP
-    }
+    tables = {t: _load(spark, bronze, silver, run_id, t, files[t], PRESET_SAP[t]) for t in PRESET_SAP}
     write_silver(spark, silver_tables(tables, rates), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
@@ -167,11 +186,6 @@ def build_gold(spark: SparkSession, silver: str, gold: str, *, basis: str = "loc
     write_gold({name: read_silver(spark, silver, name) for name in SILVER_TABLES}, gold, basis=basis)
 
 
-def read_gold(spark: SparkSession, gold: str) -> dict[str, DataFrame]:
-    """All six Gold tables by name."""
-    return {name: metric(spark, gold, name) for name in GOLD_TABLES}
-
-
 def load_gold_context(spark: SparkSession, gold: str) -> DataFrame | None:
     """The context lines of all Gold tables in order, or None when Gold has not been built."""
     return gold_context(read_gold(spark, gold)) if gold_ready(spark, gold) else None
@@ -181,7 +195,7 @@ def build_vectors(
     spark: SparkSession, gold: str, vectors: str, *, embedder: Embedder | None = None, dim: int = EMBEDDING_DIM
 ) -> None:
     """Replace the vector table by the embedded insight sentences of Gold."""
-    sentences = insights_all({name: spark.read.parquet(f"{gold}/{name}") for name in GOLD_TABLES})
+    sentences = insights_all(read_gold(spark, gold))
     write_vectors(embed_texts(sentences, embedder=embedder, dim=dim), vectors, dim)
 
 
@@ -219,8 +233,3 @@ def run_all(
         build_vectors(spark, gold, vectors, embedder=embedder, dim=dim)
     return run
 
-
-__all__ = [
-    "RowBounds", "SilverRun", "build_gold", "build_vectors", "current_run", "load_gold_context", "read_gold",
-    "run_all", "run_from_mapping", "run_native", "search_store", "silver_tables", "write_gold", "write_silver",
-]

@@ -27,6 +27,9 @@ MEASURES = frozenset({
 # Name given to a source row's place in its file; see sources.bronze.
 POSITION = "_pos"
 
+# Length of the vectors in the vector table.
+EMBEDDING_DIM = 768
+
 # ERP field code -> canonical field.
 KNOWN_CODES: dict[str, str] = {
     "VBELN": "order_id",

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from ledgerlift.functions.vectors import check_dim
 from ledgerlift.operators.gold import GOLD_TABLES, sorted_gold
 from ledgerlift.operators.mapping import MAPPING_SCHEMA, upsert_mapping
+from ledgerlift.schemas import EMBEDDING_DIM
 from ledgerlift.sources.shared import read_if_present
 
 MAPPING_FILE = "field_mapping.json"
 SILVER_TABLES = ("sales_enriched", "controlling_enriched", "delivery_enriched")
-EMBEDDING_DIM = 768
 
 _CONFIG_SCHEMA = "map<string, struct<file: string, mapping: array<struct<header: string, canonical: string>>>>"
 _PUBLISHED_SCHEMA = "run_id string, published_at timestamp"
@@ -69,6 +69,11 @@ def gold_ready(spark: SparkSession, gold: str) -> bool:
     return read_if_present(spark, f"{gold}/margin_by_material") is not None
 
 
+def read_gold(spark: SparkSession, gold: str) -> dict[str, DataFrame]:
+    """All six Gold tables by name, rows in no order."""
+    return {name: spark.read.parquet(f"{gold}/{name}") for name in GOLD_TABLES}
+
+
 def metric(spark: SparkSession, gold: str, name: str) -> DataFrame:
     """One Gold table in its order; file order is never relied on."""
     if name not in GOLD_TABLES:

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from ledgerlift.operators.checks import (
-    ChecksFailed, require_passed, validate_controlling, validate_delivery, validate_sales,
+    ChecksFailed, combine_reports, require_passed, validate_controlling, validate_delivery, validate_sales,
 )
 
 SALES = (
@@ -26,7 +26,7 @@ def sales_with(spark, **changes):
 def test_good_sales_pass(spark):
     report = sales_with(spark)
     assert report.count() == 13 and failed(report) == []
-    require_passed(sales=report)
+    require_passed(combine_reports(sales=report))
 
 
 @pytest.mark.parametrize("low, high, ok", [(5, 5, True), (6, 10, False), (1, 4, False), (5, None, True)])
@@ -51,7 +51,7 @@ def test_each_check_fails_on_its_fixture(spark, changes, names):
     report = sales_with(spark, **changes)
     assert {f[0] for f in failed(report)} == names
     with pytest.raises(ChecksFailed, match=next(iter(names))):
-        require_passed(sales=report)
+        require_passed(combine_reports(sales=report))
 
 
 @pytest.mark.parametrize("changes", [
@@ -64,7 +64,7 @@ def test_small_drift_and_nan_pass(spark, changes):
 def test_negative_margins_only_warn(spark):
     report = sales_with(spark, estimated_cost_usd=150.0, margin_pct=-50.0)
     assert failed(report) == [("negative_margins", "margin_pct", 1)]
-    require_passed(sales=report)
+    require_passed(combine_reports(sales=report))
 
 
 CONTROLLING = "actual_cost double, budget_amount double, budget_variance double"
@@ -92,8 +92,8 @@ def test_delivery_reads_text_and_numbers(spark, row, names):
 
 
 def test_all_failures_are_named_together(spark):
-    with pytest.raises(ChecksFailed, match="2 check.*sales.row_count_range.*delivery.delivery_row_count"):
-        require_passed(
+    with pytest.raises(ChecksFailed, match="2 check.*delivery.delivery_row_count.*sales.row_count_range"):
+        require_passed(combine_reports(
             sales=validate_sales(spark.createDataFrame([tuple(GOOD.values())], SALES)),
             delivery=validate_delivery(spark.createDataFrame([(1.0, 1.0)], "days_late double, freight_cost_usd double")),
-        )
+        ))
