@@ -23,11 +23,11 @@ from ledgerlift.operators import checks, context, mapping  # noqa: E402
 from ledgerlift.operators.embedding import embed_texts  # noqa: E402
 from ledgerlift.operators.gold import GOLD_BUILDERS, GOLD_TABLES, margins_by_cut  # noqa: E402
 from ledgerlift.operators.insights import INSIGHT_BUILDERS, insights_all  # noqa: E402
-from ledgerlift.operators.sales import conform, dedupe_first  # noqa: E402
+from ledgerlift.operators.sales import conform, dedupe_first, enrich_sales  # noqa: E402
 from ledgerlift.operators.search import knn_join, nearest  # noqa: E402
 from ledgerlift.plans import pipeline  # noqa: E402
 from ledgerlift.plans.adapters import (  # noqa: E402
-    DOCUMENT_LINES, EXPORT_HEADERS, MAPPING_ROWS, VIEWS, erp_tables, view,
+    DOCUMENT_LINES, EXPORT_HEADERS, MAPPING_ROWS, VIEWS, erp_table, view,
 )
 from ledgerlift.schemas import KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
 from ledgerlift.sources import bronze, layers  # noqa: E402
@@ -56,13 +56,20 @@ def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in doubles})
 
 
-def _canonical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tables = erp_tables(spark, sf_dir)
-    return tables | {t: dedupe_first(tables[t], key, "row_no") for t, key in _MASTER_KEYS.items()}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An ERP table, masters unique per key."""
+    df = erp_table(spark, sf_dir, name)
+    return dedupe_first(df, _MASTER_KEYS[name], "row_no") if name in _MASTER_KEYS else df
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return pipeline.silver_tables(_canonical(spark, sf_dir))
+def _silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Silver table."""
+    if name == "controlling_enriched":
+        return _table(spark, sf_dir, "controlling")
+    if name == "delivery_enriched":
+        return _table(spark, sf_dir, "delivery")
+    parts = ("sales_header", "sales_items", "customer_master", "material_master")
+    return enrich_sales(*(_table(spark, sf_dir, part) for part in parts))
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -71,13 +78,13 @@ def _gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Doubles are rounded, so that text made of them does not depend on the order of summation.
     """
     path = work_dir(spark, "gold")
-    pipeline.write_gold(_silver(spark, sf_dir), path)
+    pipeline.write_gold({name: _silver(spark, sf_dir, name) for name in layers.SILVER_TABLES}, path)
     return {name: _rounded(df) for name, df in layers.read_gold(spark, path).items()}
 
 
 def _gold_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Gold table straight from Silver."""
-    return _rounded(GOLD_BUILDERS[name](_silver(spark, sf_dir)[GOLD_TABLES[name].source]))
+    return _rounded(GOLD_BUILDERS[name](_silver(spark, sf_dir, GOLD_TABLES[name].source)))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -122,7 +129,8 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _export(spark: SparkSession, sf_dir: str, folder: str, files: dict[str, str], names) -> None:
     """Write the ERP tables as CSV exports; ``names`` renames a table's columns."""
-    for data_type, df in erp_tables(spark, sf_dir).items():
+    for data_type in VIEWS:
+        df = erp_table(spark, sf_dir, data_type)
         if "row_no" in df.columns:
             df = df.orderBy("row_no").drop("row_no")  # file order is what decides the first row
         renamed = df.withColumnsRenamed(names(data_type))
@@ -314,17 +322,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda s, d: _gold_table(s, d, name)
 
     return {
-        "sales_enriched": lambda s, d: silver(s, d)["sales_enriched"],
-        "customer_dedupe": lambda s, d: _canonical(s, d)["customer_master"],
-        "material_dedupe": lambda s, d: _canonical(s, d)["material_master"],
+        "sales_enriched": lambda s, d: silver(s, d, "sales_enriched"),
+        "customer_dedupe": lambda s, d: _table(s, d, "customer_master"),
+        "material_dedupe": lambda s, d: _table(s, d, "material_master"),
         **{name: gold_query(name) for name in GOLD_TABLES},
         "margin_by_material_usd": lambda s, d: _rounded(
-            GOLD_BUILDERS["margin_by_material"](silver(s, d)["sales_enriched"], basis="usd")
+            GOLD_BUILDERS["margin_by_material"](silver(s, d, "sales_enriched"), basis="usd")
         ),
-        "margins_by_cut": lambda s, d: _rounded(margins_by_cut(silver(s, d)["sales_enriched"])),
-        "validate_sales": lambda s, d: checks.validate_sales(silver(s, d)["sales_enriched"], 500, None),
-        "validate_controlling": lambda s, d: checks.validate_controlling(silver(s, d)["controlling_enriched"]),
-        "validate_delivery": lambda s, d: checks.validate_delivery(silver(s, d)["delivery_enriched"]),
+        "margins_by_cut": lambda s, d: _rounded(margins_by_cut(silver(s, d, "sales_enriched"))),
+        "validate_sales": lambda s, d: checks.validate_sales(silver(s, d, "sales_enriched"), 500, None),
+        "validate_controlling": lambda s, d: checks.validate_controlling(silver(s, d, "controlling_enriched")),
+        "validate_delivery": lambda s, d: checks.validate_delivery(silver(s, d, "delivery_enriched")),
         "extract_headers": lambda s, d: bronze.header_rows(view(s, d, DOCUMENT_LINES), "line", "file"),
         "match_headers": _matches,
         "match_coverage": lambda s, d: mapping.match_coverage(_matches(s, d)),

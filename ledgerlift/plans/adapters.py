@@ -64,9 +64,9 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-def erp_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All six ERP tables; the two masters still hold several rows per key, ordered by ``row_no``."""
-    return {name: view(spark, sf_dir, text) for name, text in VIEWS.items()}
+def erp_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One ERP table. The two masters still hold several rows per key, ordered by ``row_no``."""
+    return view(spark, sf_dir, VIEWS[name])
 
 
 def plain_sql(text: str) -> str:

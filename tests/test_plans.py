@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlift.operators.gold import margin_by_material, margin_by_segment, margins_by_cut
 from ledgerlift.operators.sales import dedupe_first, enrich_sales
 from ledgerlift.operators.search import knn_join, nearest
-from ledgerlift.plans.adapters import erp_tables
+from ledgerlift.plans.adapters import VIEWS, erp_table
 from ledgerlift.plans.pipeline import silver_tables
 
 
@@ -18,7 +18,7 @@ def plan(df):
 
 @pytest.fixture
 def silver(spark, sf_dir):
-    tables = erp_tables(spark, sf_dir)
+    tables = {name: erp_table(spark, sf_dir, name) for name in VIEWS}
     for name, key in (("customer_master", "customer_id"), ("material_master", "material_id")):
         tables[name] = dedupe_first(tables[name], key, "row_no")
     return silver_tables(tables)
