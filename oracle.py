@@ -62,18 +62,18 @@ def _measure_sql(name: str, net: str, cost: str) -> str:
         "avg_margin_pct": "avg(margin_pct)",
         "min_margin_pct": "min(margin_pct)",
         "max_margin_pct": "max(margin_pct)",
-        "total_net_value_usd": f"sum({net})",
-        "total_cost_usd": f"sum({cost})",
+        "total_net_value_usd": f"coalesce(sum({net}), 0)",
+        "total_cost_usd": f"coalesce(sum({cost}), 0)",
         "squeeze_count": "count(*) filter (where is_margin_squeeze)",
         "order_count": "count(order_id)",
-        "total_actual_cost": "sum(actual_cost)",
-        "total_budget": "sum(budget_amount)",
-        "total_variance": "sum(budget_variance)",
+        "total_actual_cost": "coalesce(sum(actual_cost), 0)",
+        "total_budget": "coalesce(sum(budget_amount), 0)",
+        "total_variance": "coalesce(sum(budget_variance), 0)",
         "avg_variance": "avg(budget_variance)",
         "record_count": "count(order_id)",
         "avg_days_late": "avg(days_late)",
         "avg_freight_cost": "avg(freight_cost_usd)",
-        "total_freight_cost": "sum(freight_cost_usd)",
+        "total_freight_cost": "coalesce(sum(freight_cost_usd), 0)",
         "delivery_count": "count(delivery_id)",
     }[name]
 
@@ -182,21 +182,25 @@ def _fixed(x: str, digits: int) -> str:
     return f"format('{{:.{digits}f}}', ({x})::double)"
 
 
+def _str(column: str) -> str:
+    return f"coalesce({column}::varchar, '')"
+
+
 _INSIGHTS = {
-    "margin_by_material": f"""material_id || ' has an average margin of ' || {_fixed("avg_margin_pct", 1)} || '% with '
+    "margin_by_material": f"""{_str('material_id')} || ' has an average margin of ' || {_fixed("avg_margin_pct", 1)} || '% with '
         || squeeze_count || ' squeeze orders and $' || {_fixed("total_net_value_usd", 0)} || ' total revenue'
         || case when avg_margin_pct < 6 then '{LOW_MARGIN_TAG}' else '' end || '.'""",
-    "margin_by_channel": f"""'The ' || distribution_channel || ' channel has an average margin of '
+    "margin_by_channel": f"""'The ' || {_str('distribution_channel')} || ' channel has an average margin of '
         || {_fixed("avg_margin_pct", 1)} || '% across ' || order_count || ' orders with $'
         || {_fixed("total_net_value_usd", 0)} || ' total revenue.'""",
-    "margin_by_sales_org": f"""'Sales org ' || sales_org || ' has an average margin of '
+    "margin_by_sales_org": f"""'Sales org ' || {_str('sales_org')} || ' has an average margin of '
         || {_fixed("avg_margin_pct", 1)} || '% across ' || order_count || ' orders.'""",
-    "margin_by_segment": f"""'The ' || industry || ' segment in ' || region_group || ' has an average margin of '
+    "margin_by_segment": f"""'The ' || {_str('industry')} || ' segment in ' || {_str('region_group')} || ' has an average margin of '
         || {_fixed("avg_margin_pct", 1)} || '% with $' || {_fixed("total_net_value_usd", 0)} || ' revenue.'""",
-    "budget_variance": f"""'The ' || department || ' department is $' || {_fixed("abs(total_variance)", 0)}
+    "budget_variance": f"""'The ' || {_str('department')} || ' department is $' || {_fixed("abs(total_variance)", 0)}
         || case when total_variance > 0 then ' over budget' else ' under budget' end || ' in fiscal year '
-        || fiscal_year || case when total_variance > 100000 then '{OVERSPEND_TAG}' else '' end || '.'""",
-    "delivery_performance": f"""'Route ' || route || ' averages ' || {_fixed("avg_days_late", 0)}
+        || {_str('fiscal_year')} || case when total_variance > 100000 then '{OVERSPEND_TAG}' else '' end || '.'""",
+    "delivery_performance": f"""'Route ' || {_str('route')} || ' averages ' || {_fixed("avg_days_late", 0)}
         || ' days late across ' || delivery_count || ' deliveries with $' || {_fixed("total_freight_cost", 0)}
         || ' total freight cost' || case when avg_days_late > 5 then '{LATE_TAG}' else '' end || '.'""",
 }
@@ -223,7 +227,7 @@ def _line(name: str) -> str:
 
 _BUDGET_LINES = f"""
     select case when total_variance > 0 then 2 else 5 end as part,
-      '  ' || department || ' ' || fiscal_year || ': budget=$' || {_fixed("total_budget", 2)} || ' | actual=$'
+      '  ' || coalesce(department, '?') || ' ' || coalesce(try_cast(fiscal_year as bigint), 0) || ': budget=$' || {_fixed("total_budget", 2)} || ' | actual=$'
         || {_fixed("total_actual_cost", 2)} || case when total_variance > 0 then ' | overrun=$' else ' | savings=$' end
         || {_fixed("abs(total_variance)", 2)} as line
     from budget_variance
