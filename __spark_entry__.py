@@ -5,9 +5,7 @@
 
 from __future__ import annotations
 
-import shutil
 import sys
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
@@ -15,10 +13,12 @@ from pathlib import Path
 _ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(_ROOT))
 
+from pyspark import cloudpickle  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
+import ledgerlift  # noqa: E402
 from ledgerlift.operators import checks, context, mapping  # noqa: E402
 from ledgerlift.operators.embedding import embed_texts  # noqa: E402
 from ledgerlift.operators.gold import GOLD_BUILDERS, GOLD_TABLES, margins_by_cut  # noqa: E402
@@ -34,20 +34,11 @@ from ledgerlift.sources import bronze, layers  # noqa: E402
 from ledgerlift.sources.shared import work_dir  # noqa: E402
 from ledgerlift.streaming.landing import land_bronze_stream  # noqa: E402
 
+# Tasks get the library's functions with the job, so nothing has to be installed on the executors.
+cloudpickle.register_pickle_by_value(ledgerlift)
+
 _MASTER_KEYS = {"customer_master": "customer_id", "material_master": "material_id"}
 _VECTOR_DIM = 64
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Make the package importable in the tasks of this application."""
-    application = spark.sparkContext.applicationId
-    if application not in _shipped:
-        archive = shutil.make_archive(
-            f"{tempfile.mkdtemp(prefix='ledgerlift-')}/ledgerlift", "zip", _ROOT, "ledgerlift"
-        )
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(application)
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -269,7 +260,6 @@ def _knn(metric: str):
 
 def _knn_join(metric: str, **limits):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _ship(spark)
         vectors = _vectors(spark, sf_dir)
         found = knn_join(
             vectors.withColumnRenamed("vec_id", "query_id"), vectors, 5, query_id="query_id", id="vec_id",
@@ -280,7 +270,6 @@ def _knn_join(metric: str, **limits):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
     return embed_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
@@ -298,7 +287,6 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
     folder = work_dir(spark, "vectors")
     for name, df in _gold(spark, sf_dir).items():
         layers.write_layer(df, f"{folder}/gold/{name}")

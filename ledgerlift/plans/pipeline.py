@@ -26,7 +26,7 @@ from ledgerlift.schemas import (
 )
 from ledgerlift.sources.bronze import bronze_name, land_bronze, read_bronze
 from ledgerlift.sources.layers import (
-    SILVER_TABLES, VECTOR_SCHEMA, gold_ready, load_mapping, publish_silver, read_gold, read_silver,
+    SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish_silver, read_gold, read_silver,
     read_vectors, silver_run_path, write_layer, write_vectors,
 )
 from ledgerlift.sources.shared import read_if_present
@@ -183,7 +183,8 @@ def write_gold(tables: Mapping[str, DataFrame], gold: str, *, basis: str = "loca
 
 def build_gold(spark: SparkSession, silver: str, gold: str, *, basis: str = "local") -> None:
     """Write the six Gold tables from the Silver run published last."""
-    write_gold({name: read_silver(spark, silver, name) for name in SILVER_TABLES}, gold, basis=basis)
+    run_id = current_run(spark, silver)
+    write_gold({name: read_silver(spark, silver, name, run_id) for name in SILVER_TABLES}, gold, basis=basis)
 
 
 def load_gold_context(spark: SparkSession, gold: str) -> DataFrame | None:

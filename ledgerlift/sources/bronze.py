@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -77,13 +78,13 @@ def header_rows(lines: DataFrame, line: str, *keys: str) -> DataFrame:
     return lines.select(*keys, F.posexplode(header_names(F.col(line))).alias("position", "header"))
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fetch_first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         lines = []
         for path in batch["path"]:
-            filesystem, inner = fs.FileSystem.from_uri(path)
+            filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
             with filesystem.open_input_stream(inner) as stream:
                 line = b""
                 while b"\n" not in line and (chunk := stream.read(65536)):
@@ -92,18 +93,25 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": batch["path"], "line": lines})
 
 
-def extract_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+def extract_headers(
+    spark: SparkSession, folder: str, pattern: str = "*.csv", *, scan: bool = False
+) -> DataFrame:
     """Header names of every export below ``folder``: ``file``, ``position``, ``header``.
 
     Spark lists the files without reading them; tasks then fetch each file up to its first line
-    break. Scanning the files as text would read all of their data for one line each.
+    break through Arrow's file systems. ``scan`` reads all files as text instead: it works on every
+    file system that Spark knows, but reads all of their data for one line each.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-        .select("path")
-    )
-    lines = files.mapInPandas(_first_lines, "file string, line string")
+    found = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+    if scan:
+        rows = spark.read.options(**found).text(folder).select(
+            "value", *_POSITION_PARTS, F.monotonically_increasing_id().alias("row")
+        )
+        # One row per file leaves each task; a file's first line is in its first block.
+        lines = rows.where("file_block_start = 0").groupBy(F.col("file_path").alias("file")).agg(
+            F.min_by("value", "row").alias("line")
+        )
+    else:
+        files = spark.read.format("binaryFile").options(**found).load(folder).select("path")
+        lines = files.mapInPandas(_fetch_first_lines, "file string, line string")
     return header_rows(lines, "line", "file")

@@ -54,9 +54,12 @@ def current_run(spark: SparkSession, silver: str) -> str | None:
     return listing.agg(F.max_by("run_id", F.struct("published_at", "run_id"))).first()[0]
 
 
-def read_silver(spark: SparkSession, silver: str, table: str) -> DataFrame:
-    """A Silver table of the run published last."""
-    run_id = current_run(spark, silver)
+def read_silver(spark: SparkSession, silver: str, table: str, run_id: str | None = None) -> DataFrame:
+    """A Silver table of one run, by default the one published last.
+
+    Find the run once with ``current_run`` where several tables must belong together.
+    """
+    run_id = run_id or current_run(spark, silver)
     if run_id is None:
         raise FileNotFoundError(f"nothing published in {silver}")
     return spark.read.parquet(silver_run_path(silver, run_id, table))

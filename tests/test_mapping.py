@@ -29,14 +29,15 @@ def test_match_headers(spark):
     assert (coverage["headers_total"], coverage["headers_matched"]) == (len(headers), len(KNOWN) + len(HEURISTIC))
 
 
-def test_headers_of_a_folder_of_exports(spark, tmp_path, rows):
+@pytest.mark.parametrize("scan", [False, True])
+def test_headers_of_a_folder_of_exports(spark, tmp_path, scan):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbfVBELN,KUNNR,MATNR,UNKNOWN_COL\r\n001,C001,M001,foo\r\n")
     (tmp_path / "sub" / "b.csv").write_text('"Order Number", ,SKU')
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "wide.csv").write_text(",".join(f"column_number_{i}" for i in range(9000)) + "\n1,2\n")
     (tmp_path / "notes.txt").write_text("not,an,export")
-    found = extract_headers(spark, str(tmp_path)).collect()
+    found = extract_headers(spark, str(tmp_path), scan=scan).collect()
     names = {}
     for r in sorted(found, key=lambda r: r["position"]):
         names.setdefault(r["file"].rsplit("/", 1)[1], []).append(r["header"])
