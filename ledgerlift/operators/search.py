@@ -26,7 +26,7 @@ def nearest(
 
     Every task keeps its own best ``k``; only those meet.
     """
-    at = F.array(*(F.lit(float(x)) for x in query))
+    at = F.lit(np.asarray(query, dtype="f8"))
     found = vectors.withColumn(_DISTANCE, METRICS[metric](F.col(vector), at))
     return found.orderBy(F.col(_DISTANCE).asc_nulls_last(), id).limit(k)
 

@@ -76,7 +76,7 @@ def plain_sql(text: str) -> str:
 
 # Every order is taken for an export file and its lines for the header cells, in many spellings.
 EXPORT_HEADERS = """
-    select concat('export-', cast(l_orderkey as varchar(20)), '.csv') as file, l_linenumber as position,
+    select 'export-' || cast(l_orderkey as varchar(20)) || '.csv' as file, l_linenumber as position,
       case (l_partkey * 7 + l_suppkey) % 32
         when 0 then 'VBELN' when 1 then 'kunnr' when 2 then '  MATNR ' when 3 then 'NETWR' when 4 then 'Waerk'
         when 5 then 'VKORG' when 6 then 'GJAHR' when 7 then 'ERDAT' when 8 then 'Order Number'
@@ -94,9 +94,9 @@ MAPPING_ROWS = """
     select l_orderkey as tenant,
       case l_linenumber when 1 then 'sales_header' when 2 then 'sales_items' when 3 then 'customer_master'
         when 4 then 'controlling' when 5 then 'delivery' when 6 then 'material_master' else 'other' end as data_type,
-      concat('file-', cast(l_linenumber as varchar(10)), '.csv') as file,
-      concat('H', cast(l_partkey as varchar(20))) as header,
-      case when l_partkey % 3 = 0 then null else concat('field_', cast(l_partkey % 20 as varchar(10))) end as canonical,
+      'file-' || cast(l_linenumber as varchar(10)) || '.csv' as file,
+      'H' || cast(l_partkey as varchar(20)) as header,
+      case when l_partkey % 3 = 0 then null else 'field_' || cast(l_partkey % 20 as varchar(10)) end as canonical,
       l_returnflag as origin
     from {lineitem}"""
 

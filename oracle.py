@@ -341,7 +341,8 @@ def oracle_sql() -> dict[str, str]:
               except select tenant, data_type from mapping_rows""",
         "upsert_mapping": _with(_MAPPING, _OLD, _NEW)
         + """select * from new union all
-             select * from old where (tenant, data_type) not in (select (tenant, data_type) from new)""",
+             select * from old where not exists (
+               select 1 from new where new.tenant = old.tenant and new.data_type = old.data_type)""",
         "load_mapping": _with(_MAPPING)
         + """select tenant, data_type, file, 0 as position, header, canonical from mapping_rows union all
              select tenant, data_type, file, 1, 'other', null from mapping_rows""",
