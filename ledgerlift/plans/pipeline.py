@@ -22,7 +22,7 @@ from ledgerlift.operators.mapping import apply_mapping, missing_types
 from ledgerlift.operators.sales import conform, dedupe_first, enrich_sales
 from ledgerlift.operators.search import semantic_search
 from ledgerlift.schemas import (
-    EMBEDDING_DIM, OPTIONAL_TYPES, PRESET_SAP, PRESET_SAP_FILES, REQUIRED_TYPES, require_columns,
+    EMBEDDING_DIM, OPTIONAL_TYPES, PRESET_SAP, PRESET_SAP_FILES, REQUIRED_TYPES, ContractError, require_columns,
 )
 from ledgerlift.sources.bronze import bronze_name, land_bronze, read_bronze
 from ledgerlift.sources.layers import (
@@ -122,10 +122,10 @@ def run_from_mapping(
     """Bronze to Silver by the confirmed mapping.
 
     Without a mapping file, or when it lacks a required data type, nothing is written and
-    ``ran`` is False. A failed check raises ``ChecksFailed`` and publishes nothing. For ``observe``
-    see ``enrich_sales``.
+    ``ran`` is False. A mapping file that is no JSON object is an error. A failed check raises
+    ``ChecksFailed`` and publishes nothing. For ``observe`` see ``enrich_sales``.
     """
-    mapping = load_mapping(spark, config)
+    mapping = load_mapping(spark, config, strict=True)
     if mapping is None:
         return SilverRun(ran=False, missing=REQUIRED_TYPES)
     missing = tuple(r["data_type"] for r in missing_types(mapping).collect())
@@ -139,6 +139,9 @@ def run_from_mapping(
         if row["header"] is not None:
             pairs.append((row["header"], row["canonical"]))
     wanted = [t for t in (*REQUIRED_TYPES, *OPTIONAL_TYPES) if t in entries]
+    nameless = [t for t in wanted if not entries[t][0]]
+    if nameless:
+        raise ContractError(f"the mapping names no file for {', '.join(nameless)}")
     run_id = uuid.uuid4().hex
     tables = {t: _load(spark, bronze, silver, run_id, t, *entries[t]) for t in wanted}
     write_silver(spark, silver_tables(tables, rates, observe), silver, bounds, run_id)

@@ -96,12 +96,17 @@ def metric_json(spark: SparkSession, gold: str, name: str) -> DataFrame:
 
 # --- Confirmed mapping -----------------------------------------------------------------------
 
-def parse_mapping(texts: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+def parse_mapping(
+    texts: DataFrame, text: str = "value", keep: Sequence[str] = (), *, strict: bool = False
+) -> DataFrame:
     """Mapping documents (one JSON object per row) as rows ``MAPPING_SCHEMA``, after ``keep``.
 
-    A text that is no such object yields no rows.
+    A text that is no such object yields no rows, or with ``strict`` an error.
     """
-    entries = texts.select(*keep, F.explode(F.from_json(text, _CONFIG_SCHEMA)).alias("data_type", "entry"))
+    document = F.from_json(text, _CONFIG_SCHEMA)
+    if strict:
+        document = F.coalesce(document, F.raise_error(F.lit("a mapping is not a JSON object")).cast(_CONFIG_SCHEMA))
+    entries = texts.select(*keep, F.explode(document).alias("data_type", "entry"))
     return entries.select(
         *keep, "data_type", "entry.file", F.posexplode_outer("entry.mapping").alias("position", "item")
     ).select(*keep, "data_type", "file", "position", "item.header", "item.canonical")
@@ -123,10 +128,10 @@ def mapping_document(mapping: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def load_mapping(spark: SparkSession, config: str) -> DataFrame | None:
+def load_mapping(spark: SparkSession, config: str, *, strict: bool = False) -> DataFrame | None:
     """The confirmed mapping as rows ``MAPPING_SCHEMA``; None when there is no mapping file."""
     text = read_if_present(spark, f"{config}/{MAPPING_FILE}", "text", wholetext=True)
-    return None if text is None else parse_mapping(text)
+    return None if text is None else parse_mapping(text, strict=strict)
 
 
 def save_mapping(mapping: DataFrame, config: str) -> None:
