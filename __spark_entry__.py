@@ -295,6 +295,22 @@ def _search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+# --- training-data operators: a subpackage that may be absent ---------------------------------------
+
+try:
+    from ledgerlift.llm.queries import QUERIES as _LLM_QUERIES
+    from ledgerlift.llm.queries import SQL as _LLM_SQL
+
+    import corpus_pipeline
+
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    _LLM_SQL = _LLM_SQL if corpus_pipeline.ORACLE_SQL is None else {**_LLM_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+except ModuleNotFoundError as missing:
+    if missing.name not in ("ledgerlift.llm", "ledgerlift.llm.queries", "corpus_pipeline"):
+        raise
+    _LLM_QUERIES, _LLM_SQL = {}, {}
+
+
 # --- contract --------------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -304,6 +320,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes (spark, sf_dir)."""
+    return {**core_queries(), **_LLM_QUERIES}
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that do not need the subpackage ``llm``."""
     silver, gold = _silver, _gold
 
     def gold_query(name: str):
@@ -355,4 +376,4 @@ def oracle_sql() -> dict[str, str]:
     """The same queries as SQL, with the same column names."""
     import oracle
 
-    return oracle.oracle_sql()
+    return {**oracle.oracle_sql(), **_LLM_SQL}
