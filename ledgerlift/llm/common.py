@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlift.sources.shared import work_dir
 
@@ -23,9 +24,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prefixed(df: DataFrame, keep: dict[str, str]) -> DataFrame:
-    """The columns ``keep`` names (new name to old), whatever else the table holds."""
-    return df.select(*(F.col(f"`{old}`").alias(new) for new, old in keep.items()))
+def schema_of(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
+    """The fields ``keep`` of a table, then those of ``ddl``."""
+    return T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(ddl).fields)
 
 
 def min_labels(edges: DataFrame, purpose: str = "components") -> DataFrame:

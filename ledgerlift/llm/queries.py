@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import chat, exact_dedup, sharding
+from ledgerlift.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, sharding
 from ledgerlift.sources.shared import work_dir
 
 
@@ -24,6 +24,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, 24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedupe_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack_documents(
+        docs, length=F.octet_length("text"), source=F.col("source"), cluster=F.sha2("text", 256), capacity=8192,
+    )
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("group_id").alias("class_id"), "n_links")
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -52,11 +69,36 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_chat": op8_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op3_line_dedup": r"""
+with l as (
+  select doc_id, i, string_split(text, chr(10))[i] as line
+  from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
+), solid as (
+  select *, row_number() over (partition by doc_id order by i) as n
+  from l where not regexp_full_match(line, '[ \t\r\f\v]*')
+), w as (
+  select doc_id, n, line || chr(10) || lead(line, 1) over d || chr(10) || lead(line, 2) over d as run
+  from solid window d as (partition by doc_id order by n)
+), later as (
+  select doc_id, n from w where run is not null qualify row_number() over (partition by run order by doc_id, n) > 1
+), gone as (
+  select distinct s.doc_id, s.i from solid s join later g on s.doc_id = g.doc_id and s.n between g.n and g.n + 2
+), kept as (
+  select l.doc_id, count(*) as n_lines, count(g.i) as n_removed,
+    coalesce(string_agg(l.line, chr(10) order by l.i) filter (g.i is null), '') as text
+  from l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from documents d left join kept on d.doc_id = kept.doc_id
+""",
     "op8_chat": r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
