@@ -95,7 +95,8 @@ def dedupe_lines(docs: DataFrame, *, min_lines: int = 3, id: str = "doc_id", tex
     Null texts stay null and empty ones empty. Rows equal in id and text count as one document and
     are treated alike. An empty table gives no rows.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")))
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed") and c != text]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True))  # a struct must not be empty
     keyed = docs.select(
         F.col(f"`{id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("k"), F.col(f"`{text}`").alias("text"),
         row.alias("row"),
