@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +34,16 @@ def schema_of(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(ddl).fields)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, none empty, cut where the values of a column reach ``limit`` bytes, to bound what a task holds."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for low, high in zip(starts, np.append(starts[1:], len(part)), strict=True):
+            yield batch.slice(low, high - low)
+
+
 def min_labels(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Connected components of an undirected graph given by its edges ``a``, ``b``.
 

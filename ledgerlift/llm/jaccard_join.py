@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import min_labels, schema_of, stored
+from ledgerlift.llm.common import min_labels, schema_of, sliced, stored
 from ledgerlift.llm.shingles import shingle_sets
 
 _COLUMNS_AT_ONCE = 4096  # shingles per matrix product
@@ -54,7 +54,7 @@ def minhashes(sets: list[np.ndarray], n: int, seed: int) -> np.ndarray:
 
 def _signatures(width: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), width)
             digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             filled = [i for i, s in enumerate(sets) if len(s)]
@@ -76,7 +76,7 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
 def _sets(width: int):
     """Sets of the texts given, as bytes; a row whose text is not the one meant is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), width)
             blobs = [s.tobytes() for s in sets]
             own = pa.array([

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import schema_of, stored
+from ledgerlift.llm.common import schema_of, sliced, stored
 
 _BLANK = " \t\r\f\v"
 
@@ -34,7 +34,7 @@ def winnow(hashes: list[int], width: int) -> list[int]:
 
 def _windows(min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             source, fp, head, start, window = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 lines = _lines(text)
@@ -60,7 +60,7 @@ def _windows(min_lines: int):
 
 def _cut(min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, totals, removed = [], [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 lines = _lines(text)

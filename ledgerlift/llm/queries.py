@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, sharding, suffix_dedup
+from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, sharding, suffix_dedup
 from ledgerlift.sources.shared import work_dir
 
 
@@ -41,6 +41,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("group_id").alias("class_id"), "n_links")
 
 
+def op6_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grid_join.vector_links(_table(spark, sf_dir, "embeddings"), minimum=0.9)
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=400)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_grid_join": op6_grid_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat": op8_chat,
     "op10_exact_dedup": op10_exact_dedup,

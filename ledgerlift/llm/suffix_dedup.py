@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm.bwt import repeated_starts
-from ledgerlift.llm.common import schema_of, stored
+from ledgerlift.llm.common import schema_of, sliced, stored
 from ledgerlift.llm.shingles import mixed
 
 GRAM = 16  # bytes of an anchor
@@ -78,7 +78,7 @@ def _bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
 def _anchor_rows(length: int):
     """One row per run: the text's digest, the anchor's hash, a digest of the run's bytes, where it lies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = _bytes_of(batch.column("text"))
             text, hashes, first, last = anchors(data, offsets, length)
             segment = [xxhash.xxh3_128_digest(data[a:b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
@@ -93,7 +93,7 @@ def _anchor_rows(length: int):
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments wanted of each text."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows: list[list] = [[], [], [], []]
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             data = text.encode()
@@ -215,7 +215,7 @@ def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFr
 def _remove(length: int):
     """Spans removed, and what is left, of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             spans, kept, hashes, sizes = [], [], [], []
             for text, hits, copies in zip(
                 *(batch.column(c).to_pylist() for c in ("text", "hits", "copies")), strict=True

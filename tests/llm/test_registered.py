@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -100,6 +102,26 @@ def test_op5(spark, sf_dir, tables):
     assert links and found == {(i, top[i], degree[i]) for i in ids}
 
 
+def test_op6(spark, sf_dir, tmp_path):
+    """The table holds no linked vectors: copies with noise are added."""
+    rows = pq.read_table(f"{sf_dir}/embeddings.parquet").to_pylist()
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        near = np.array(rows[rng.integers(0, 40)]["embedding"])
+        noise = rng.normal(size=len(near)) * rng.choice([0, 0.02, 0.05])
+        rows.append({"vec_id": len(rows), "embedding": (near + noise).tolist(), "label": 0})
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "embeddings.parquet")
+    vectors = {v["vec_id"]: np.array(v["embedding"], float) for v in rows}
+    ids = sorted(vectors)
+    m = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+    close = np.triu(m @ m.T >= 0.9, 1)
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(close), strict=True)]
+    degree = (close | close.T).sum(axis=1)
+    top = components(ids, links)
+    found = {tuple(r) for r in QUERIES["op6_grid_join"](spark, str(tmp_path)).collect()}
+    assert links and found == {(i, int(degree[n]), top[i], top[i] == i) for n, i in enumerate(ids)}
+
+
 def test_op7(spark, sf_dir, tables):
     texts = {d["doc_id"]: (d["text"] or "").encode() for d in tables["documents"]}
     counts = defaultdict(int)
