@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, sharding, suffix_dedup
+from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, sharding, suffix_dedup, toxicity
 from ledgerlift.sources.shared import work_dir
 
 
@@ -24,6 +24,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, 24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), sample=16_000)
+    scored = model.score(docs, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedupe_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -82,6 +89,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,

@@ -60,6 +60,19 @@ def test_op1(spark, sf_dir, tables):
     assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
 
 
+def test_op2(spark):
+    """Accuracy on held-out labels at the size where there are enough of them."""
+    sf_dir = "/root/testdata/sf0.01"
+    found = {r.doc_id: r for r in QUERIES["op2_toxicity"](spark, sf_dir).collect()}
+    ids = pq.read_table(f"{sf_dir}/documents.parquet").column("doc_id").to_pylist()
+    assert sorted(found) == sorted(ids)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values())
+    labels = [x for x in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist() if found[x["doc_id"]].held_out]
+    right = [x["toxic"] == found[x["doc_id"]].predicted for x in labels]
+    assert len(right) > 50 and sum(right) / len(right) > 0.9
+
+
 def test_op4(spark, sf_dir, tables):
     documents = {d["doc_id"]: d for d in tables["documents"]}
     pieces, bins = defaultdict(list), defaultdict(list)
