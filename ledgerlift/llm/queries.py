@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, sharding, suffix_dedup, toxicity
+from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, pieces, sharding, suffix_dedup, toxicity
 from ledgerlift.sources.shared import work_dir
 
 
@@ -82,6 +82,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    own = pieces.load_pieces(model or public_tokenizers.path("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents")
+    encoded = pieces.decode(pieces.encode_nbest(docs, own, n=4), own)
+    scores = F.transform("alternatives", lambda a: F.round(a["score"], 6))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.concat(F.array(F.round("score", 6)), scores).alias("nbest_scores"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, work_dir(spark, "index"), name=f"digests_{uuid.uuid4().hex}")
     return exact_dedup.dedupe_exact(_table(spark, sf_dir, "documents"), index)
@@ -96,6 +109,7 @@ QUERIES = {
     "op6_grid_join": op6_grid_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat": op8_chat,
+    "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
