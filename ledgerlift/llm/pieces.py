@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm.common import schema_of, sliced
-from ledgerlift.llm.shingles import mixed
 
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
-_CACHE = 250_000  # units whose best segmentation a task remembers
+_CACHE = 500_000  # units whose best segmentation a task remembers
 _FILTER_BITS = 22
+_CHARS_AT_ONCE = 100_000
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -30,10 +31,7 @@ class Pieces:
     bytes_from: int  # id of the piece of byte 0
     byte_score: float
     surface: dict[int, bytes]
-
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.of))
+    longest: int  # characters of a piece
 
 
 def load_pieces(path: str, zipf: bool = True) -> Pieces:
@@ -57,7 +55,8 @@ def load_pieces(path: str, zipf: bool = True) -> Pieces:
     names = {i: model.id_to_piece(i).replace("▁", " ") for i in plain}
     first = next(i for i in range(model.get_piece_size()) if model.is_byte(i))
     surface = {i: n.encode() for i, n in names.items()} | {first + b: bytes([b]) for b in range(256)}
-    return Pieces({n: (i, scores[i]) for i, n in names.items()}, first, min(scores.values()) - 10, surface)
+    longest = max(map(len, names.values()))
+    return Pieces({n: (i, scores[i]) for i, n in names.items()}, first, min(scores.values()) - 10, surface, longest)
 
 
 def arcs_of(unit: str, pieces: Pieces) -> list[list[tuple[int, tuple[int, ...], float]]]:
@@ -121,104 +120,94 @@ class Viterbi:
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
-        return (mixed(hashes) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-
-    def _arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """Arcs of all lattices: start and end node, id (negative: bytes of the character at that place), score."""
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(u) for u in units])
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        node = np.arange(len(chars)) + np.repeat(np.arange(len(units)), sizes)  # a unit has a node more than characters
-        at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
-        starts, lengths, ids, scores = [], [], [], []
-        single = np.zeros(len(chars), bool)
-        for length in range(1, self.pieces.longest + 1):
-            inside = at + length <= ends[at]
-            at, h = at[inside], h[inside]
-            if not len(at):
-                break
-            h = h * _PRIME + chars[at + length - 1] + np.uint64(1)
-            maybe = np.flatnonzero(self.filter[self._slot(h)])
-            place = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            hit = self.hashes[place] == h[maybe]
-            starts.append(at[maybe[hit]])
-            lengths.append(np.full(int(hit.sum()), length))
-            ids.append(self.piece_ids[place[hit]])
-            scores.append(self.scores[place[hit]])
-            if length == 1:
-                single[starts[0]] = True
-        odd = np.flatnonzero(~single)
-        code = chars[odd]
-        size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
-        starts.append(odd)
-        lengths.append(np.ones(len(odd), np.int64))
-        ids.append(-1 - code.astype(np.int64))
-        scores.append(size * self.pieces.byte_score)
-        start, length = np.concatenate(starts), np.concatenate(lengths)
-        return node[start], node[start] + length, np.concatenate(ids), np.concatenate(scores)
-
-    def best(self, units: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
-        """(ids, log probability, shortfall of the second best) of every unit; none may be empty."""
-        start, end, ids, score = self._arcs(units)
-        sizes = np.array([len(u) for u in units])
-        last = np.cumsum(sizes + 1) - 1
-        first = last - sizes
-        depth = np.arange(last[-1] + 1) - np.repeat(first, sizes + 1)
-
-        def sweep(source: np.ndarray, target: np.ndarray, steps: np.ndarray, total: np.ndarray) -> np.ndarray:
-            """Best sums along arcs, in the order of the targets' steps; returns the best arc of each node."""
-            order = np.lexsort((target, steps))
-            chosen = np.full(len(total), -1)
-            cuts = np.flatnonzero(np.diff(steps[order], prepend=-1))
-            for low, high in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                arcs = order[low:high]
-                value = total[source[arcs]] + score[arcs]
-                goal = target[arcs]
-                groups = np.flatnonzero(np.diff(goal, prepend=-1))
-                top = np.maximum.reduceat(value, groups)
-                total[goal[groups]] = top
-                members = np.diff(np.append(groups, len(arcs)))
-                wins = np.flatnonzero(value == np.repeat(top, members))
-                chosen[goal[wins[::-1]]] = arcs[wins[::-1]]
-            return chosen
-
-        forward, backward = np.full(len(depth), -np.inf), np.full(len(depth), -np.inf)
-        forward[first], backward[last] = 0.0, 0.0
-        chosen = sweep(start, end, depth[end], forward)
-        height = np.repeat(sizes, sizes + 1) - depth
-        sweep(end, start, height[start], backward)
-
-        path_arcs, path_units = [], []
-        at, unit = last.copy(), np.arange(len(units))
+        return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+    def _lattice(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For units of one size: scores and ids of the pieces by length less one, start and unit.
+
+        Where no piece is, the score is minus infinity. A character that is no piece has the negative id
+        -1 - code, for its bytes.
+        """
+        size, n = len(units[0]), len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T
+        chars = np.ascontiguousarray(chars).astype(np.uint64) + np.uint64(1)
+        longest = min(size, self.pieces.longest)
+        scores, ids = np.full((longest, size, n), -np.inf), np.zeros((longest, size, n), np.int32)
+        h = np.zeros((size, n), np.uint64)
+        for length in range(1, longest + 1):
+            h = h[:size - length + 1] * _PRIME + chars[length - 1:]
+            flat = h.ravel()
+            maybe = np.flatnonzero(self.filter[self._slot(flat)])
+            place = np.minimum(np.searchsorted(self.hashes, flat[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[place] == flat[maybe]
+            at = np.divmod(maybe[hit], n)
+            scores[length - 1][at] = self.scores[place[hit]]
+            ids[length - 1][at] = self.piece_ids[place[hit]]
+        odd = np.isinf(scores[0])
+        code = chars[odd].astype(np.int64) - 1
+        in_bytes = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        scores[0][odd] = in_bytes * self.pieces.byte_score
+        ids[0][odd] = -1 - code
+        return scores, ids
+
+    def _best_of_one_size(self, units: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+        size, n = len(units[0]), len(units)
+        scores, ids = self._lattice(units)
+        longest = len(scores)
+        forward, backward = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        forward[0], backward[size] = 0.0, 0.0
+        chosen = np.zeros((size + 1, n), np.int64)
+        for end in range(1, size + 1):
+            for length in range(1, min(longest, end) + 1):
+                value = forward[end - length] + scores[length - 1, end - length]
+                better = value > forward[end]
+                np.copyto(forward[end], value, where=better)
+                np.copyto(chosen[end], length, where=better)
+        for start in range(size - 1, -1, -1):
+            for length in range(1, min(longest, size - start) + 1):
+                np.maximum(backward[start], scores[length - 1, start] + backward[start + length], out=backward[start])
+
+        own: list[list[int]] = [[] for _ in units]
+        at, unit = np.full(n, size), np.arange(n)
         while len(at):
-            arc = chosen[at]
-            path_arcs.append(arc)
-            path_units.append(unit)
-            at = start[arc]
-            going = at > first[unit]
+            length = chosen[at, unit]
+            at = at - length
+            for u, i in zip(unit.tolist(), ids[length - 1, at, unit].tolist(), strict=True):
+                own[u].append(i)
+            scores[length - 1, at, unit] = -np.inf  # what is left leads off the best path
+            going = at > 0
             at, unit = at[going], unit[going]
-        path_arcs, path_units = np.concatenate(path_arcs), np.concatenate(path_units)
-        on_path = np.zeros(len(start), bool)
-        on_path[path_arcs] = True
-        through = np.where(on_path, -np.inf, forward[start] + score + backward[end])
-        second = np.full(len(units), -np.inf)
-        np.maximum.at(second, np.searchsorted(last, start), through)
-        best = forward[last]
-
-        order = np.lexsort((start[path_arcs], path_units))
-        own = ids[path_arcs[order]].tolist()
-        counts = np.bincount(path_units, minlength=len(units)).tolist()
-        out, place = [], 0
-        for count, total, gap in zip(counts, best.tolist(), (best - second).tolist(), strict=True):
-            found: list[int] = []
-            for i in own[place:place + count]:
-                if i >= 0:
-                    found.append(self.ids[i])
-                else:
-                    data = chr(-1 - i).encode("utf-8", "surrogatepass")
-                    found.extend(self.ids[self.pieces.bytes_from + b] for b in data)
-            place += count
-            out.append((tuple(found), total, gap))
+        second = np.full(n, -np.inf)
+        for length in range(1, longest + 1):
+            upto = size - length + 1
+            through = forward[:upto] + scores[length - 1, :upto] + backward[length:]
+            np.maximum(second, through.max(axis=0), out=second)
+        best = forward[size]
+        return [
+            (self._ids(found[::-1]), total, gap)
+            for found, total, gap in zip(own, best.tolist(), (best - second).tolist(), strict=True)
+        ]
+
+    def _ids(self, found: list[int]) -> tuple[int, ...]:
+        out: list[int] = []
+        for i in found:
+            if i >= 0:
+                out.append(self.ids[i])
+            else:
+                data = chr(-1 - i).encode("utf-8", "surrogatepass")
+                out.extend(self.ids[self.pieces.bytes_from + b] for b in data)
+        return tuple(out)
+
+    def best(self, units: list[str]) -> dict[str, tuple[tuple[int, ...], float, float]]:
+        """(ids, log probability, shortfall of the second best) of every unit; none may be empty."""
+        by_size: dict[int, list[str]] = {}
+        for u in units:
+            by_size.setdefault(len(u), []).append(u)
+        out = {}
+        for size, own in by_size.items():
+            step = max(1, _CHARS_AT_ONCE // size)
+            for low in range(0, len(own), step):
+                out.update(zip(own[low:low + step], self._best_of_one_size(own[low:low + step]), strict=True))
         return out
 
 
@@ -261,40 +250,51 @@ def _encode(pieces: Pieces, n: int):
                 cache.clear()
             if len(lists) > _CACHE // 10:
                 lists.clear()
-            new = list({u for units in texts for u in units if u not in cache})
+            different = list(dict.fromkeys(chain.from_iterable(texts)))
+            new = [u for u in different if u not in cache]
             if new:
-                cache.update(zip(new, viterbi.best(new), strict=True))
-            flat: list[int] = []
-            counts, scores, nbest = [], [], []
+                cache.update(viterbi.best(new))
+            found = [cache[u] for u in different]
+            number = {u: i for i, u in enumerate(different)}
+            sizes = np.array([len(f[0]) for f in found], np.int64)
+            scores_of, gaps_of = np.array([f[1] for f in found]), np.array([f[2] for f in found])
+            ids_of = np.fromiter(chain.from_iterable(f[0] for f in found), np.int32)
+            begin = np.cumsum(sizes) - sizes
+
+            # The ids of all units one after the other.
+            n_units = [len(units) for units in texts]
+            codes = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(n_units))
+            lengths = sizes[codes]
+            place = np.cumsum(lengths) - lengths
+            flat = ids_of[np.arange(int(lengths.sum())) + np.repeat(begin[codes] - place, lengths)]
+            counts, scores, nbest, low = [], [], [], 0
             for units in texts:
-                found = [cache[u] for u in units]
-                before = len(flat)
-                for f in found:
-                    flat.extend(f[0])
-                counts.append(len(flat) - before)
-                best = math.fsum(f[1] for f in found)
+                own_codes = codes[low:low + len(units)]
+                at = place[low:low + len(units)]
+                low += len(units)
+                counts.append(int(sizes[own_codes].sum()))
+                best = float(scores_of[own_codes].sum())
                 scores.append(best)
                 # The n best differ from the best in the n - 1 units whose second best costs least.
-                gaps = np.fromiter((f[2] for f in found), float, len(found))
-                near = np.sort(np.argsort(gaps, kind="stable")[:n - 1]).tolist()
-                near = [i for i in near if gaps[i] < math.inf]
+                gaps = gaps_of[own_codes]
+                near = np.argpartition(gaps, n - 2)[:n - 1] if len(gaps) >= n > 1 else np.arange(len(gaps))[:n - 1]
+                near = [i for i in np.sort(near).tolist() if gaps[i] < math.inf]
                 choices = []
                 for i in near:
                     if units[i] not in lists:
                         lists[units[i]] = n_best(units[i], pieces, n)
                     choices.append(lists[units[i]])
-                at = np.cumsum([0, *(len(f[0]) for f in found)])
                 rest = best - sum(c[0][0] for c in choices)
                 own = []
-                for total, places in combinations([[s for s, _ in c] for c in choices], n)[1:]:
+                for total, picks in combinations([[s for s, _ in c] for c in choices], n)[1:]:
                     own.append({"score": rest + total, "changes": [
-                        {"at": int(at[i]), "drop": len(found[i][0]), "ids": c[p][1]}
-                        for i, c, p in zip(near, choices, places, strict=True) if p
+                        {"at": int(at[i] - at[0]), "drop": int(sizes[own_codes[i]]), "ids": c[p][1]}
+                        for i, c, p in zip(near, choices, picks, strict=True) if p
                     ]})
                 nbest.append(own)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(np.array(flat, np.int32))),
+                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(flat)),
                  pa.array(scores, pa.float64()), pa.array(nbest, _NBEST)], names=["key", "ids", "score", "alternatives"],
             )
     return run

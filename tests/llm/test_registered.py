@@ -1,6 +1,7 @@
 """Registered queries: against their SQL twins, or a brute-force version on whole tables."""
 
 import hashlib
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -8,8 +9,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import public_tokenizers
 import pytest
 
+from ledgerlift.llm.pieces import arcs_of, load_pieces, units_of
 from ledgerlift.llm.queries import QUERIES, SQL
 
 TABLES = ("documents", "embeddings", "labels", "conversations")
@@ -152,3 +155,28 @@ def test_op7(spark, sf_dir, tables):
         expected.add((doc_id, len(t), sum(gone), spans, hashlib.sha256(left).hexdigest()))
     assert {tuple(r) for r in QUERIES["op7_suffix_dedup"](spark, sf_dir).collect()} == expected
     assert any(r[2] and r[2] < r[1] for r in expected)
+
+
+def test_op9(spark, sf_dir, tables):
+    """The round trip, and the scores of all texts against a brute-force search of every unit."""
+    own = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def segmentations(unit):
+        """All of them, best first, by dynamic programming over lists of the 4 best."""
+        tops = [[(0.0, ())]]
+        for arcs in arcs_of(unit, own)[1:]:
+            tops.append(sorted(
+                ((s + score, ids + more) for start, more, score in arcs for s, ids in tops[start]), reverse=True
+            )[:4])
+        return tops[-1]
+
+    known = {}
+    for r in QUERIES["op9_pieces"](spark, sf_dir).collect():
+        text = tables["documents"][r.doc_id]["text"]
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        best = [0.0]
+        for unit in units_of(text):
+            if unit not in known:
+                known[unit] = [s for s, _ in segmentations(unit)]
+            best = heapq.nlargest(4, (a + b for a in best for b in known[unit]))
+        assert r.nbest_scores == pytest.approx(best, abs=1e-4)
