@@ -1,12 +1,77 @@
-"""The corpus pipeline: documents to packed training bins. Stages are added as their operators are."""
+"""The corpus pipeline: documents are filtered, deduplicated and packed into training bins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from ledgerlift.llm.common import stored
+from ledgerlift.llm.jaccard_join import near_duplicates
+from ledgerlift.llm.line_dedup import dedupe_lines
+from ledgerlift.llm.packing import pack_documents
+from ledgerlift.llm.suffix_dedup import remove_repeats
+from ledgerlift.llm.toxicity import fit_toxicity
+
+CAPACITY = 8192  # bytes of a bin
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not take for toxic."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs, docs.columns).where("predicted = 0").select(*_own(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that stood earlier; those of which nothing is left go."""
+    done = dedupe_lines(docs)
+    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near duplicates; of rows equal in id and text, one."""
+    found = near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("k") == F.col("group_k"))).select(
+        F.col("doc_id").alias("first_id"), F.col("k").alias("first_k")
+    )
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = hashed.join(
+        first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_text_hash") == F.col("first_k")), "left_semi"
+    )
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*_own(docs))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without long passages that stand more than once; those of which nothing is left go."""
+    done = remove_repeats(docs)
+    return done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document lies in which training bin."""
+    return pack_documents(
+        docs, length=F.octet_length("text"), source=F.col("source"), cluster=F.sha2("text", 256), capacity=CAPACITY
+    )
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("best-fit packing", packing),
+]
+
+# The first stage learns a model, which SQL cannot express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what one returns is written and read again for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -137,9 +137,12 @@ def _featured(lexicon: dict[str, float], keep: list[str]):
 
 
 def with_features(df: DataFrame, lexicon: dict[str, float], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the features of each row as a vector."""
-    rows = df.select(*keep, F.col(text).alias("text"))
-    done = rows.mapInArrow(_featured(lexicon, keep), schema_of(rows, keep, "features array<double>"))
+    """``row``, a struct of the columns ``keep``, and the features as a vector; the text is also a column
+    of its own where it is kept."""
+    row = F.struct(*(F.col(f"`{c}`") for c in keep if c != text), F.lit(True))
+    rows = df.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    own = ["row", "text"] if text in keep else ["row"]
+    done = rows.mapInArrow(_featured(lexicon, own), schema_of(rows, own, "features array<double>"))
     return done.withColumn("features", array_to_vector("features"))
 
 
@@ -151,15 +154,17 @@ class ToxicityModel:
     rate: float  # of toxic texts among the labelled
 
     def score(self, df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-        """The columns ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on, else 0)."""
+        """The columns ``keep``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on, else 0), which replace
+        columns of these names. Null and empty texts are scored like any other. An empty table gives no rows."""
+        keep = [c for c in keep if c.lower() not in ("score", "predicted")]
         rows = with_features(df, self.lexicon, keep, text)
+        own = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in keep]
         if self.trees is None:
-            scored = rows.select(*keep, F.lit(self.rate).alias("score"))
+            scored = rows.withColumn("score", F.lit(self.rate))
         else:
-            margin = _margin(self.trees.transform(rows)).select(*keep, "margin")
-            scored = self.calibration.transform(margin).select(*keep, F.col("score").cast("double").alias("score"))
-        scored = scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
-        return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            scored = self.calibration.transform(_margin(self.trees.transform(rows)))
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score").cast("double")))
+        return scored.select(*own, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def _margin(scored: DataFrame) -> DataFrame:
@@ -198,7 +203,8 @@ def fit_toxicity(
     if learning.select("toxic").distinct().count() < 2 or calibrating.isEmpty():
         return ToxicityModel({}, None, None, float(rate))
     lexicon = learn_lexicon(learning, lexicon_size)
-    featured = stored(with_features(rows, lexicon, ["doc_id", "toxic"]), "features")
+    featured = with_features(rows, lexicon, ["doc_id", "toxic"]).select("row.doc_id", "row.toxic", "features")
+    featured = stored(featured, "features")
     boosted = GBTClassifier(labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed).fit(
         featured.where(~fold)
     )

@@ -14,6 +14,7 @@ import pytest
 
 from ledgerlift.llm.pieces import arcs_of, load_pieces, units_of
 from ledgerlift.llm.queries import QUERIES, SQL
+from tests.llm.brute import components, shingle_set
 
 TABLES = ("documents", "embeddings", "labels", "conversations")
 
@@ -36,20 +37,6 @@ def test_sql_twin(spark, sf_dir, name):
     assert sorted(found, key=str) == sorted(expected.fetchall(), key=str)
 
 
-def components(nodes, links):
-    parent = {n: n for n in nodes}
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        a, b = sorted((top(a), top(b)))
-        parent[b] = a
-    return {n: top(n) for n in nodes}
-
-
 def test_op1(spark, sf_dir, tables):
     rows = QUERIES["op1_sharding"](spark, sf_dir).collect()
     texts = {d["doc_id"]: (d["text"] or "").encode() for d in tables["documents"]}
@@ -97,11 +84,6 @@ def test_op4(spark, sf_dir, tables):
             assert len(set(held)) == len(held)
 
 
-def shingle_set(text, width=5):
-    words = (text or "").split()
-    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-
-
 def test_op5(spark, sf_dir, tables):
     sets = {d["doc_id"]: shingle_set(d["text"]) for d in tables["documents"]}
     ids = sorted(sets)
