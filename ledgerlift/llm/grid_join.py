@@ -188,19 +188,19 @@ def _compare(minimum: float, epsilon: float):
         def done() -> pa.RecordBatch:
             nonlocal home, home_key
             own = loaded(rows)
-            group, block = key[:2], key[2]
+            group, block = key[:3], key[3]
             out = []
             if group != home_key:
                 home_key, home = group, own  # the group's own block comes first
-            if block != group[0] or key[3]:
-                out = compared(home, own, block == group[0])
+            if block != group[1] or key[4]:
+                out = compared(home, own, block == group[1])
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             kinds = (pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "weight"]
             )
 
-        names = ("home", "bundle", "block", "self", "digest", "size", "unit", "at")
+        names = ("dim", "home", "bundle", "block", "self", "digest", "size", "unit", "at")
         for batch in batches:
             for *own, digest, size, unit, at in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if key != tuple(own):
@@ -280,7 +280,7 @@ def vector_links(
     )
     sent = placed.join(leads.unionByName(others), ["dim", "block"]).repartition("dim", "home", "bundle")
     sent = sent.sortWithinPartitions("dim", "home", "bundle", "turn", "block", "cells", "at")
-    found = stored(sent.select("home", "bundle", "block", "self", "digest", "size", "unit", "at").mapInArrow(
+    found = stored(sent.select("dim", "home", "bundle", "block", "self", "digest", "size", "unit", "at").mapInArrow(
         _compare(minimum, epsilon), "a binary, b binary, weight bigint"), "links")
 
     weights = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("weight").alias("weight"))
