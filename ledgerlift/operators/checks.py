@@ -74,8 +74,8 @@ def _report(df: DataFrame, count_name: str, low: int, high: int | None, rules: l
     return counts.select(F.inline(F.array(count_line, *rule_lines)))
 
 
-def validate_sales(df: DataFrame, min_rows: int = 500, max_rows: int | None = 5000) -> DataFrame:
-    """Check the enriched sales table. Negative margins only warn."""
+def validate_sales(df: DataFrame, min_rows: int = 500, max_rows: int | None = None) -> DataFrame:
+    """Check the enriched sales table. Negative margins only warn; without ``max_rows`` any number of rows is right."""
     net, cost, margin = (F.col(c) for c in ("netwr_usd", "estimated_cost_usd", "margin_pct"))
     drift = F.abs((net - cost) / F.when(net > 0.0, net) * 100.0 - margin)
     rules = [
@@ -121,12 +121,17 @@ def combine_reports(**reports: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, named)
 
 
+def failed_checks(report: DataFrame) -> DataFrame:
+    """The failed hard checks of a combined report."""
+    return report.where(~F.col("passed") & (F.col("severity") == FAIL))
+
+
 def require_passed(report: DataFrame) -> None:
     """Raise ``ChecksFailed`` naming every failed hard check of a combined report.
 
     Only the failed lines, at most a dozen per table, come to the driver.
     """
-    lines = report.where(~F.col("passed") & (F.col("severity") == FAIL)).orderBy("table", "name", "column").collect()
+    lines = failed_checks(report).orderBy("table", "name", "column").collect()
     if lines:
         failed = "; ".join(f"{r['table']}.{r['name']} ({r['message']})" for r in lines)
         raise ChecksFailed(f"{len(lines)} check(s) failed, nothing published: {failed}")

@@ -103,10 +103,18 @@ def gold_context(gold: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def context_text(context: DataFrame, max_lines: int = 100_000) -> str:
-    """The context as one string, for a prompt. A context of more lines is an error, not cut off;
-    write such a one with ``context.select('line').write.text(path)``."""
-    lines = [row["line"] for row in context.select("line").limit(max_lines + 1).collect()]
-    if len(lines) > max_lines:
+def context_text(context: DataFrame, max_lines: int | None = None) -> str:
+    """The context as one string, for a prompt: all of it, on the driver.
+
+    ``max_lines`` makes a context of more lines an error, not a cut. ``write_context`` takes any size.
+    """
+    wanted = context.select("line") if max_lines is None else context.select("line").limit(max_lines + 1)
+    lines = [row["line"] for row in wanted.collect()]
+    if max_lines is not None and len(lines) > max_lines:
         raise ValueError(f"context has more than {max_lines} lines")
     return "".join(f"{line}\n" for line in lines)
+
+
+def write_context(context: DataFrame, path: str) -> None:
+    """The context as text files whose names follow its order, whatever its size."""
+    context.select("line").write.mode("overwrite").text(path)

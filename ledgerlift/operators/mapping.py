@@ -19,7 +19,7 @@ MAPPING_SCHEMA = "data_type string, file string, position int, header string, ca
 def match_headers(headers: DataFrame, header: str = "header") -> DataFrame:
     """Add ``canonical`` and ``tier`` to every row of ``headers``.
 
-    ERP field codes win over plain-English synonyms. Both lists are fixed (12 codes, 80 synonyms),
+    ERP field codes win over plain-English synonyms. Both lists are fixed (12 codes, 96 synonyms),
     so they are broadcast whatever the number of headers.
     """
     spark = headers.sparkSession

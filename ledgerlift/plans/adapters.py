@@ -78,14 +78,14 @@ def plain_sql(text: str) -> str:
 EXPORT_HEADERS = """
     select 'export-' || cast(l_orderkey as varchar(20)) || '.csv' as file, l_linenumber as position,
       case (l_partkey * 7 + l_suppkey) % 32
-        when 0 then 'VBELN' when 1 then 'kunnr' when 2 then '  MATNR ' when 3 then 'NETWR' when 4 then 'Waerk'
-        when 5 then 'VKORG' when 6 then 'GJAHR' when 7 then 'ERDAT' when 8 then 'Order Number'
-        when 9 then 'order_number' when 10 then 'ORDER-NUMBER' when 11 then '  Order Number  '
-        when 12 then 'Customer Name' when 13 then 'SKU' when 14 then 'Part Number'
-        when 15 then 'Distribution Channel' when 16 then 'Days Late' when 17 then 'Freight Cost (USD)'
-        when 18 then 'XZQ42' when 19 then 'foobar' when 20 then 'not_a_field' when 21 then 'column1'
-        when 22 then '!!!' when 23 then 'Größe' when 24 then 'Fiscal Yr.' when 25 then 'Carrier/Type'
-        when 26 then 'Budget' when 27 then 'VAR' when 28 then 'Region Group' when 29 then 'P.O.'
+        when 0 then 'VBELN' when 1 then 'Kunnr' when 2 then ' MATNR' when 3 then 'NETWR' when 4 then 'waerk'
+        when 5 then 'VKORG' when 6 then 'GJAHR' when 7 then 'LIFNR' when 8 then 'Order No'
+        when 9 then 'order no' when 10 then 'ORDER_NO' when 11 then 'order  number'
+        when 12 then 'customer name' when 13 then 'Sku' when 14 then 'part-number'
+        when 15 then 'DISTRIBUTION CHANNEL' when 16 then 'days_late' when 17 then 'Freight Cost [USD]'
+        when 18 then 'Q9-LAGER' when 19 then 'remark' when 20 then 'ledger_note' when 21 then 'f7'
+        when 22 then '--' when 23 then 'Stückzahl' when 24 then 'Fiscal Year.' when 25 then 'Carrier/Route'
+        when 26 then 'Budget' when 27 then 'Variance' when 28 then 'Region-Group' when 29 then 'P/O'
         when 30 then 'Cost of Goods' else l_returnflag end as header
     from {lineitem}"""
 

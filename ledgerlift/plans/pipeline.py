@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +38,18 @@ _MASTERS = {"customer_master": "customer_id", "material_master": "material_id"}
 
 @dataclass(frozen=True)
 class RowBounds:
-    """Row counts that the checks accept. The defaults suit the small exports of a pilot."""
+    """Row counts that the checks accept. There is no upper bound unless one is given."""
 
     min_sales: int = 500
-    max_sales: int | None = 5000
+    max_sales: int | None = None
     min_controlling: int = 50
     min_delivery: int = 50
 
 
+# The bounds that suit the small exports of a pilot.
+PILOT_BOUNDS = RowBounds(max_sales=5000)
+
+
 @dataclass(frozen=True)
 class SilverRun:
     """Outcome of a Silver run; ``missing`` names the required data types that kept it from running."""
@@ -56,7 +60,8 @@ class SilverRun:
 
 
 def _load(
-    spark: SparkSession, bronze: str, silver: str, run_id: str, data_type: str, file: str, mapping
+    spark: SparkSession, bronze: str, silver: str, run_id: str, data_type: str, file: str, mapping,
+    multiline: bool = False,
 ) -> DataFrame:
     """One landed export under canonical names, measures cast, masters unique per key.
 
@@ -64,7 +69,7 @@ def _load(
     below the broadcast threshold joins without moving the sales rows, a larger one is shuffled.
     """
     master_key = _MASTERS.get(data_type)
-    raw = read_bronze(spark, f"{bronze}/{file}", with_position=master_key is not None)
+    raw = read_bronze(spark, f"{bronze}/{file}", with_position=master_key is not None, multiline=multiline)
     df = conform(require_columns(apply_mapping(raw, mapping), data_type))
     if master_key is None:
         return df
@@ -117,10 +122,12 @@ def write_silver(
 def run_from_mapping(
     spark: SparkSession, config: str, bronze: str, silver: str, *,
     bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None,
-    observe: Mapping[str, Observation] | None = None,
+    observe: Mapping[str, Observation] | None = None, multiline: bool = False,
 ) -> SilverRun:
     """Bronze to Silver by the confirmed mapping.
 
+    ``multiline`` allows line breaks inside quotes, for exports that are read as they are.
+
     Without a mapping file, or when it lacks a required data type, nothing is written and
     ``ran`` is False. A mapping file that is no JSON object is an error. A failed check raises
     ``ChecksFailed`` and publishes nothing. For ``observe`` see ``enrich_sales``.
@@ -134,7 +141,8 @@ def run_from_mapping(
 
     # One row per header of six exports: the plan of the renames is built from it.
     entries: dict[str, tuple[str, list[tuple[str, str | None]]]] = {}
-    for row in mapping.orderBy("data_type", "position").collect():
+    used = mapping.where(F.col("data_type").isin(*REQUIRED_TYPES, *OPTIONAL_TYPES))
+    for row in used.orderBy("data_type", "position").collect():
         _, pairs = entries.setdefault(row["data_type"], (row["file"], []))
         if row["header"] is not None:
             pairs.append((row["header"], row["canonical"]))
@@ -143,20 +151,20 @@ def run_from_mapping(
     if nameless:
         raise ContractError(f"the mapping names no file for {', '.join(nameless)}")
     run_id = uuid.uuid4().hex
-    tables = {t: _load(spark, bronze, silver, run_id, t, *entries[t]) for t in wanted}
+    tables = {t: _load(spark, bronze, silver, run_id, t, *entries[t], multiline) for t in wanted}
     write_silver(spark, silver_tables(tables, rates, observe), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
 
-def land_native(spark: SparkSession, exports: str, bronze: str) -> None:
+def land_native(spark: SparkSession, exports: str, bronze: str, *, multiline: bool = False) -> None:
     """Land the six exports of the native layout from folder ``exports``."""
     for file in PRESET_SAP_FILES.values():
-        land_bronze(spark, f"{exports}/{file}", bronze)
+        land_bronze(spark, f"{exports}/{file}", bronze, multiline=multiline)
 
 
 def run_native(
     spark: SparkSession, bronze: str, silver: str, *, landed: bool = False,
-    bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None,
+    bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None, multiline: bool = False,
 ) -> SilverRun:
     """Bronze to Silver for exports in the native SAP-style layout, whose names are known.
 
@@ -164,7 +172,7 @@ def run_native(
     """
     files = {t: bronze_name(f) if landed else f for t, f in PRESET_SAP_FILES.items()}
     run_id = uuid.uuid4().hex
-    tables = {t: _load(spark, bronze, silver, run_id, t, files[t], PRESET_SAP[t]) for t in PRESET_SAP}
+    tables = {t: _load(spark, bronze, silver, run_id, t, files[t], PRESET_SAP[t], multiline) for t in PRESET_SAP}
     write_silver(spark, silver_tables(tables, rates), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
@@ -219,7 +227,7 @@ def search_store(
     question = spark.createDataFrame([(query,)], "text string")
     try:
         point = embed_texts(question, embedder=embedder, dim=dim).first()["vector"]
-    except PySparkException as problem:
+    except PythonException as problem:  # the embedder's; a failing cluster is no empty answer
         log.warning("query not embedded: %s", problem)
         return nothing
     return semantic_search(read_vectors(spark, vectors), point, limit, metric)
@@ -228,10 +236,10 @@ def search_store(
 def run_all(
     spark: SparkSession, config: str, bronze: str, silver: str, gold: str, vectors: str, *,
     bounds: RowBounds = RowBounds(), rates: Mapping[str, float] | None = None,
-    embedder: Embedder | None = None, dim: int = EMBEDDING_DIM,
+    embedder: Embedder | None = None, dim: int = EMBEDDING_DIM, multiline: bool = False,
 ) -> SilverRun:
     """The whole pipeline. When the mapping is incomplete, Gold and vectors stay as they are."""
-    run = run_from_mapping(spark, config, bronze, silver, bounds=bounds, rates=rates)
+    run = run_from_mapping(spark, config, bronze, silver, bounds=bounds, rates=rates, multiline=multiline)
     if run.ran:
         build_gold(spark, silver, gold)
         build_vectors(spark, gold, vectors, embedder=embedder, dim=dim)

@@ -27,6 +27,9 @@ MEASURES = frozenset({
 # Name given to a source row's place in its file; see sources.bronze.
 POSITION = "_pos"
 
+# Folder name under which the landing stream keeps its micro-batches; no column of an export.
+LANDED_BATCH = "ledgerlift_batch"
+
 # Length of the vectors in the vector table.
 EMBEDDING_DIM = 768
 

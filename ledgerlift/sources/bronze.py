@@ -9,14 +9,17 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlift.functions.headers import header_names
-from ledgerlift.schemas import POSITION
+from ledgerlift.schemas import LANDED_BATCH, POSITION
 
 # The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''. The
 # two are told apart by a null marker that no export contains.
 _CSV = {"header": True, "escape": '"', "nullValue": "\0", "emptyValue": "", "enforceSchema": False}
 
+_RAW = "_raw_record"  # the text of records whose number of cells is not the header's
+
 _POSITION_PARTS = ("_metadata.file_path", "_metadata.file_block_start")
 
 
@@ -25,35 +28,76 @@ def csv_options(multiline: bool = False) -> dict[str, object]:
     return {**_CSV, "multiLine": multiline}
 
 
-def _tidy_names(df: DataFrame) -> DataFrame:
+def tidy_names(df: DataFrame) -> DataFrame:
     """Column names without surrounding space, quotes or BOM, as header matching sees them."""
     tidy = {c: c.removeprefix("\ufeff").strip().strip('"') for c in df.columns}
     return df.withColumnsRenamed({c: t for c, t in tidy.items() if t and t != c})
 
 
+def export_schema(spark: SparkSession, path: str, multiline: bool = False) -> T.StructType:
+    """All strings, named by the header of the first file."""
+    return spark.read.options(**csv_options(multiline)).csv(path).schema
+
+
+def raw_reader(reader, schema: T.StructType, multiline: bool = False):
+    """A batch or stream reader that also keeps the raw text of records of another number of cells."""
+    # Without pruning, cells are counted whichever columns are read.
+    options = {**csv_options(multiline), "columnNameOfCorruptRecord": _RAW, "columnPruning": False}
+    return reader.schema(T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])).options(**options)
+
+
+def whole_records(df: DataFrame, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """The rows without the raw text, or an error at a record that would lose data.
+
+    A record with more cells than the header has is one, and so is, unless ``multiline`` is given, a
+    record with a quote that is not closed, as its rest stands on the next line. A record with fewer
+    cells is complete: the others are null.
+    """
+    cells = ", ".join(f"c{i} string" for i in range(len(schema.names)))
+    beyond = F.from_csv(_RAW, f"{cells}, beyond string", {
+        k: str(v) for k, v in csv_options(multiline).items() if k in ("escape", "nullValue", "emptyValue")
+    })["beyond"]
+    broken = F.length(_RAW) - F.length(F.replace(F.col(_RAW), F.lit('"'), F.lit("")))
+    message = F.when(beyond.isNotNull(), F.concat(F.lit("a record has more cells than the header: "), F.col(_RAW)))
+    if not multiline:
+        message = F.when(broken % 2 == 1, F.concat(
+            F.lit("a quote is not closed on its line, read with multiline=True: "), F.col(_RAW)
+        )).otherwise(message)
+    # A filter is never pruned, whichever columns are read.
+    fine = F.when(F.col(_RAW).isNotNull() & message.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)
+    # Spark refuses to read the raw text alone, so another column is named.
+    return df.where(fine & (F.coalesce(F.length(f"`{schema.names[0]}`"), F.lit(0)) >= 0)).drop(_RAW)
+
+
 def read_bronze(
     spark: SparkSession, path: str, *, with_position: bool = False, multiline: bool = False
 ) -> DataFrame:
     """Read a landed export, CSV or (name ending in ``.parquet``) landed Parquet, as strings.
 
     All files of a CSV folder must have the header of the first one; a file that differs is an
-    error rather than shifted columns. ``with_position`` adds the struct ``_pos`` that orders rows
-    as they stood in their files, whatever the splits. ``multiline`` allows line breaks inside
-    quotes, at the price of reading each file in one task.
+    error rather than shifted columns, and so is a record that would lose data (``whole_records``).
+    ``with_position`` adds the struct ``_pos`` that orders rows as they stood in their files, whatever
+    the splits. ``multiline`` allows line breaks inside quotes, at the price of reading each file in
+    one task.
     """
     if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(path).drop(LANDED_BATCH)
         stored = POSITION in df.columns
         if stored and not with_position:
             return df.drop(POSITION)
         if stored:
             return df
     else:
-        df = spark.read.options(**csv_options(multiline)).csv(path)
+        schema = export_schema(spark, path, multiline)
+        df = raw_reader(spark.read, schema, multiline).csv(path)
+        if with_position:
+            place = F.struct(*_POSITION_PARTS, F.monotonically_increasing_id().alias("row"))
+            df = df.select("*", place.alias(POSITION))
+        return tidy_names(whole_records(df, schema, multiline))
     if with_position:
         place = F.struct(*_POSITION_PARTS, F.monotonically_increasing_id().alias("row"))
         df = df.select("*", place.alias(POSITION))
-    return _tidy_names(df)
+    return tidy_names(df)
 
 
 def bronze_name(path: str) -> str:
@@ -78,6 +122,9 @@ def header_rows(lines: DataFrame, line: str, *keys: str) -> DataFrame:
     return lines.select(*keys, F.posexplode(header_names(F.col(line))).alias("position", "header"))
 
 
+_HEADER_BYTES = 1 << 20  # a header row is shorter
+
+
 def _fetch_first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
@@ -86,10 +133,15 @@ def _fetch_first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         for path in batch["path"]:
             filesystem, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
             with filesystem.open_input_stream(inner) as stream:
-                line = b""
-                while b"\n" not in line and (chunk := stream.read(65536)):
-                    line += chunk
-            lines.append(line.split(b"\n", 1)[0].decode("utf-8", "replace"))
+                start = b""
+                while not re.search(rb"[\r\n]", start) and (chunk := stream.read(65536)):
+                    start += chunk
+                    if len(start) > _HEADER_BYTES:
+                        raise ValueError(f"no line break in the first {_HEADER_BYTES} bytes of {path}")
+            try:
+                lines.append(re.split(rb"[\r\n]", start, maxsplit=1)[0].decode("utf-8-sig"))
+            except UnicodeDecodeError:
+                lines.append("")  # no header that could be read
         yield pd.DataFrame({"file": batch["path"], "line": lines})
 
 
@@ -99,7 +151,8 @@ def extract_headers(
     """Header names of every export below ``folder``: ``file``, ``position``, ``header``.
 
     Spark lists the files without reading them; tasks then fetch each file up to its first line
-    break through Arrow's file systems. ``scan`` reads all files as text instead: it works on every
+    break, which must come within the first megabyte, through Arrow's file systems. A first line
+    that is no UTF-8 gives no headers. ``scan`` reads all files as text instead: it works on every
     file system that Spark knows, but reads all of their data for one line each.
     """
     found = {"recursiveFileLookup": True, "pathGlobFilter": pattern}

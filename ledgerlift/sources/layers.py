@@ -19,7 +19,6 @@ MAPPING_FILE = "field_mapping.json"
 SILVER_TABLES = ("sales_enriched", "controlling_enriched", "delivery_enriched")
 
 _CONFIG_SCHEMA = "map<string, struct<file: string, mapping: array<struct<header: string, canonical: string>>>>"
-_PUBLISHED_SCHEMA = "run_id string, published_at timestamp"
 VECTOR_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("table_name", T.StringType()),
@@ -101,12 +100,17 @@ def parse_mapping(
 ) -> DataFrame:
     """Mapping documents (one JSON object per row) as rows ``MAPPING_SCHEMA``, after ``keep``.
 
-    A text that is no such object yields no rows, or with ``strict`` an error.
+    A text that is no such object yields no rows, or with ``strict`` an error, and so for an entry
+    without a list of headers.
     """
     document = F.from_json(text, _CONFIG_SCHEMA)
     if strict:
         document = F.coalesce(document, F.raise_error(F.lit("a mapping is not a JSON object")).cast(_CONFIG_SCHEMA))
     entries = texts.select(*keep, F.explode(document).alias("data_type", "entry"))
+    if strict:
+        missing = F.concat(F.lit("no mapping in the entry for "), "data_type")
+        listed = F.when(F.col("entry.mapping").isNull(), F.raise_error(missing).cast("boolean")).otherwise(True)
+        entries = entries.where(listed)
     return entries.select(
         *keep, "data_type", "entry.file", F.posexplode_outer("entry.mapping").alias("position", "item")
     ).select(*keep, "data_type", "file", "position", "item.header", "item.canonical")

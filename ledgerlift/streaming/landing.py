@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlift.schemas import POSITION
-from ledgerlift.sources.bronze import csv_options
+from ledgerlift.schemas import LANDED_BATCH, POSITION
+from ledgerlift.sources.bronze import export_schema, raw_reader, tidy_names, whole_records
 
 
 def land_bronze_stream(
@@ -19,20 +19,23 @@ def land_bronze_stream(
     *,
     schema: T.StructType | None = None,
     max_files_per_batch: int | None = None,
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Start landing the CSV files in folder ``source`` in Parquet table ``target``; all files that
     are there now are processed, then the query ends. Run it again to pick up later files.
 
-    ``schema`` defaults to all strings, named by the header of the first file found. A micro-batch
-    replaces its own folder ``batch=<id>``, so one repeated after a failure leaves no duplicates.
-    Nothing is shuffled and no state is kept besides the checkpoint.
+    ``schema`` defaults to all strings, named by the header of the first file found; names are tidied
+    as in ``read_bronze``, and a record that would lose data ends the query. A micro-batch replaces
+    its own folder, so one repeated after a failure leaves no duplicates; ``read_bronze`` drops the
+    column that other readers see for it. Nothing is shuffled and no state is kept besides the
+    checkpoint.
     """
     if schema is None:
-        schema = spark.read.options(**csv_options()).csv(source).schema
-    options = csv_options()
+        schema = export_schema(spark, source, multiline)
+    reader = raw_reader(spark.readStream, schema, multiline)
     if max_files_per_batch is not None:
-        options["maxFilesPerTrigger"] = max_files_per_batch
-    exports = spark.readStream.schema(schema).options(**options).csv(source).select(
+        reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
+    exports = reader.csv(source).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
 
@@ -41,8 +44,8 @@ def land_bronze_stream(
             F.col("_file").alias("file_path"), F.col("_block").alias("file_block_start"),
             F.monotonically_increasing_id().alias("row"),
         )
-        landed = batch.withColumn(POSITION, place).drop("_file", "_block")
-        landed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        landed = whole_records(batch.withColumn(POSITION, place).drop("_file", "_block"), schema, multiline)
+        tidy_names(landed).write.mode("overwrite").parquet(f"{target}/{LANDED_BATCH}={batch_id}")
 
     return (
         exports.writeStream.foreachBatch(write_batch)

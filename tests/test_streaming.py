@@ -1,5 +1,8 @@
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from ledgerlift.operators.sales import dedupe_first
-from ledgerlift.sources.bronze import read_bronze
+from ledgerlift.sources.bronze import land_bronze, read_bronze
 from ledgerlift.streaming.landing import land_bronze_stream
 
 
@@ -15,7 +18,7 @@ def test_every_file_is_landed_once(spark, tmp_path):
         return sorted((r["id"], r["v"]) for r in read_bronze(spark, target).collect())
 
     assert land(max_files_per_batch=1) == [("001", "a"), ("002", "b"), ("003", "c")]
-    assert sorted(p.name for p in (tmp_path / "out.parquet").iterdir() if p.is_dir()) == ["batch=0", "batch=1"]
+    assert sorted(p.name for p in (tmp_path / "out.parquet").iterdir() if p.is_dir()) == ["ledgerlift_batch=0", "ledgerlift_batch=1"]
     assert land() == [("001", "a"), ("002", "b"), ("003", "c")]
     (source / "3.csv").write_text("id,v\n001,later\n")
     assert land() == [("001", "a"), ("001", "later"), ("002", "b"), ("003", "c")]
@@ -23,3 +26,23 @@ def test_every_file_is_landed_once(spark, tmp_path):
     landed = read_bronze(spark, target, with_position=True)
     first = dedupe_first(landed.select("id", "v", "_pos"), "id").collect()
     assert {r["id"]: r["v"] for r in first} == {"001": "a", "002": "b", "003": "c"}
+
+
+def test_stream_and_batch_land_the_same_table(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.csv").write_text('id, batch ,"note"\n001,B7,"two, cells"\n002,B8\n')
+    land_bronze_stream(spark, str(source), str(tmp_path / "s.parquet"), str(tmp_path / "cp")).awaitTermination()
+    name = land_bronze(spark, str(source / "1.csv"), str(tmp_path / "bronze"))
+    streamed, landed = read_bronze(spark, str(tmp_path / "s.parquet")), read_bronze(spark, str(tmp_path / "bronze" / name))
+    assert streamed.columns == landed.columns == ["id", "batch", "note"]
+    assert sorted(streamed.collect()) == sorted(landed.collect()) == [("001", "B7", "two, cells"), ("002", "B8", None)]
+
+
+def test_stream_refuses_records_that_lose_data(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.csv").write_text("id,v\n1,a,EXTRA\n")
+    query = land_bronze_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+    with pytest.raises(StreamingQueryException, match="more cells"):
+        query.awaitTermination()
