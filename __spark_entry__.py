@@ -14,7 +14,7 @@ _ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(_ROOT))
 
 from pyspark import cloudpickle  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -29,7 +29,7 @@ from ledgerlift.plans import pipeline  # noqa: E402
 from ledgerlift.plans.adapters import (  # noqa: E402
     DOCUMENT_LINES, EXPORT_HEADERS, MAPPING_ROWS, VIEWS, erp_table, view,
 )
-from ledgerlift.schemas import KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
+from ledgerlift.schemas import EMBEDDING_DIM, KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
 from ledgerlift.sources import bronze, layers  # noqa: E402
 from ledgerlift.sources.shared import work_dir  # noqa: E402
 from ledgerlift.streaming.landing import land_bronze_stream  # noqa: E402
@@ -287,12 +287,73 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_dir(spark, "vectors")
-    for name, df in _gold(spark, sf_dir).items():
-        layers.write_layer(df, f"{folder}/gold/{name}")
-    pipeline.build_vectors(spark, f"{folder}/gold", f"{folder}/vectors")
-    found = pipeline.search_store(spark, "Which route has a critical delay?", f"{folder}/vectors", 5)
-    return found.withColumn("distance", F.round("distance", 6))
+    """The five nearest by rounded distance and text; a table that is missing adds nothing."""
+    folder, question = work_dir(spark, "vectors"), "Which route has a critical delay?"
+    sentences = insights_all(_gold(spark, sf_dir))
+    layers.write_vectors(embed_texts(sentences), f"{folder}/vectors")
+    # Ranks of the exact and the rounded distance may differ, so all are asked for.
+    found = pipeline.search_store(spark, question, f"{folder}/vectors", 2**31 - 1)
+    found = found.unionByName(pipeline.search_store(spark, question, f"{folder}/missing", 5))
+    return found.withColumn("distance", F.round("distance", 6)).orderBy("distance", "text").limit(5)
+
+
+def _semantic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances of the three documents nearest to each benchmark text."""
+    questions = embed_texts(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    found = knn_join(
+        questions, _documents(spark, sf_dir), 3, query_id="item_id", id="doc_id", dim=EMBEDDING_DIM, metric="l2"
+    )
+    return found.select("item_id", "rank", F.round("distance", 5).alias("distance"))
+
+
+# --- checks, counts and sentinels --------------------------------------------------------------------
+
+def _sales_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row count against bounds that hold it, and against two that do not."""
+    sales = _silver(spark, sf_dir, "sales_enriched")
+    return _union([
+        checks.validate_sales(sales, *bounds).where("name = 'row_count_range'").select(
+            F.lit(case).alias("bounds"), "passed", "severity")
+        for case, bounds in {"wide": (500, 10**12), "low": (1, 10), "high": (10**12, None)}.items()
+    ])
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks that keep a run with too many sales rows from being published."""
+    report = checks.combine_reports(
+        sales=checks.validate_sales(_silver(spark, sf_dir, "sales_enriched"), 1, 10),
+        controlling=checks.validate_controlling(_silver(spark, sf_dir, "controlling_enriched")),
+        delivery=checks.validate_delivery(_silver(spark, sf_dir, "delivery_enriched")),
+    )
+    return checks.failed_checks(report).select("table", "name", "column", "bad_rows")
+
+
+def _step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows loaded from each table and rows after each join."""
+    names = ("sales_header", "sales_items", "customer_master", "material_master", "controlling", "delivery")
+    tables = {n: _table(spark, sf_dir, n) for n in names}
+    observe = {k: Observation() for k in (*(f"loaded_{n}" for n in names), "items", "customer", "material", "sales")}
+    for df in pipeline.silver_tables(tables, observe=observe).values():
+        df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, o.get["rows"]) for k, o in observe.items()], "step string, n_rows bigint")
+
+
+def _sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether Gold counts as built, before and after it is."""
+    folder = work_dir(spark, "sentinel")
+    before = layers.gold_ready(spark, folder)
+    pipeline.write_gold({name: _silver(spark, sf_dir, name) for name in layers.SILVER_TABLES}, folder)
+    built = layers.metric(spark, folder, "margin_by_material").agg(F.count("*").alias("materials"))
+    return built.select(F.lit(before).alias("before"), F.lit(layers.gold_ready(spark, folder)).alias("after"), "materials")
+
+
+def _folder_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header names of the written exports of all ERP tables, read from the files' first lines."""
+    folder = work_dir(spark, "headers")
+    _export(spark, sf_dir, folder, {t: f"{t}.csv" for t in VIEWS}, lambda _: {})
+    found = bronze.extract_headers(spark, folder)
+    table = F.regexp_extract("file", r"/(\w+)\.csv/[^/]*$", 1)
+    return found.select(table.alias("table_name"), F.col("position").cast("bigint").alias("position"), "header").distinct()
 
 
 # --- training-data operators: a subpackage that may be absent ---------------------------------------
@@ -362,6 +423,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "embed_texts": _embed,
         "semantic_search": _semantic,
         "search_store": _search_store,
+        "semantic_search_batch": _semantic_batch,
+        "validate_sales_bounds": _sales_bounds,
+        "checks_gate": _gate,
+        "step_counts": _step_counts,
+        "gold_sentinel": _sentinel,
+        "extract_headers_folder": _folder_headers,
         "read_bronze": _read_bronze,
         "land_bronze": _land_bronze,
         "land_bronze_stream": _land_stream,

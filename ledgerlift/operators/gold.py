@@ -96,11 +96,15 @@ def sorted_gold(df: DataFrame, name: str) -> DataFrame:
     return df.orderBy(F.col(table.sort).asc_nulls_first(), *(F.col(k).asc_nulls_first() for k in table.keys))
 
 
-def _aggregate(df: DataFrame, name: str, basis: str = "local") -> DataFrame:
+def unsorted_gold(df: DataFrame, name: str, basis: str = "local") -> DataFrame:
+    """One Gold table in no order, as it is written; ``metric`` sorts when it reads."""
     table = GOLD_TABLES[name]
     measures = _measures(table.source, basis)
-    wanted = [measures[m].alias(m) for m in table.measures]
-    return sorted_gold(df.groupBy(*table.keys).agg(*wanted), name)
+    return df.groupBy(*table.keys).agg(*(measures[m].alias(m) for m in table.measures))
+
+
+def _aggregate(df: DataFrame, name: str, basis: str = "local") -> DataFrame:
+    return sorted_gold(unsorted_gold(df, name, basis), name)
 
 
 def margin_by_material(sales: DataFrame, basis: str = "local") -> DataFrame:
@@ -170,7 +174,6 @@ def margins_by_cut(sales: DataFrame, basis: str = "local") -> DataFrame:
 
 
 def pick_cut(cuts: DataFrame, name: str) -> DataFrame:
-    """One margin table out of ``margins_by_cut``."""
+    """One margin table out of ``margins_by_cut``, in no order."""
     table = GOLD_TABLES[name]
-    rows = cuts.where(F.col("gold_table") == name).select(*table.keys, *table.measures)
-    return sorted_gold(rows, name)
+    return cuts.where(F.col("gold_table") == name).select(*table.keys, *table.measures)

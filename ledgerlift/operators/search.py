@@ -39,11 +39,12 @@ def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, metric:
 
 def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of each row pair. Row by row, so equal pairs give equal results in every batch."""
-    if metric == "l2":
-        gap = a - b
-        return np.sqrt((gap * gap).sum(axis=1))
-    norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        if metric == "l2":
+            gap = a - b
+            found = np.sqrt((gap * gap).sum(axis=1))
+            return np.where(np.isfinite(found), found, np.nan)
+        norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
         return np.where(norms == 0.0, np.nan, 1.0 - (a * b).sum(axis=1) / norms)
 
 
@@ -76,17 +77,22 @@ def _batch_nearest(
     else:
         left, right = queries, rows
     left_sq, right_sq = (left * left).sum(axis=1), (right * right).sum(axis=1)
-    slack = 8.0 * rows.shape[1] * np.finfo("f8").eps * (left_sq + right_sq.max() + 1.0)
+    # Vectors with cells that are no numbers have no distance and come last.
+    lost = ~np.isfinite(right_sq)
+    slack = 8.0 * rows.shape[1] * np.finfo("f8").eps * (left_sq + right_sq.max(initial=0.0, where=~lost) + 1.0)
 
     found = []
     step = max(1, _PAIRS_AT_ONCE // len(rows))
     for start in range(0, len(left), step):
         part = slice(start, start + step)
-        near = left_sq[part, None] + right_sq[None, :] - 2.0 * (left[part] @ right.T)
+        with np.errstate(invalid="ignore"):
+            near = left_sq[part, None] + right_sq[None, :] - 2.0 * (left[part] @ right.T)
         if metric == "cosine":
             near[:, right_sq == 0.0] = np.inf  # no direction, so nearest to nothing
+        near[:, lost] = np.inf
+        near[~np.isfinite(left_sq[part])] = np.inf
         if len(rows) > k:
-            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 2.0 * slack[part]
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 2.0 * np.nan_to_num(slack[part], nan=0.0)
             q, r = np.nonzero(near <= limit[:, None])
         else:
             q, r = (i.ravel() for i in np.indices(near.shape))
@@ -125,7 +131,8 @@ def knn_join(
     first) are sent to every task and the corpus is not shuffled. More queries are split into
     blocks of that size and the corpus into cells of about ``rows_per_cell``; block and cell meet
     by key, so no task and no message grows with either table. Vectors whose length is not ``dim``
-    are an error.
+    are an error. Null and non-finite cells are allowed: such rows have no distance and rank last, by
+    id, for every query, and such a query has the ``k`` lowest ids without a distance.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
@@ -159,16 +166,16 @@ def knn_join(
         cells = max(1, -(-corpus.count() // rows_per_cell))
         each_cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
         each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        # The input partition is part of the cell's hash: rows that share one id spread over cells.
-        block_of = F.pmod(F.xxhash64(_QUERY, F.spark_partition_id()), F.lit(blocks)).cast("int")
-        cell_of = F.pmod(F.xxhash64(_MATCH, F.spark_partition_id()), F.lit(cells)).cast("int")
+        # The vector is part of the cell's hash: rows that share one id spread over cells.
+        block_of = F.pmod(F.xxhash64(_QUERY, _VECTOR), F.lit(blocks)).cast("int")
+        cell_of = F.pmod(F.xxhash64(_MATCH, _VECTOR), F.lit(cells)).cast("int")
         left = asked.withColumn("_block", block_of).withColumn("_cell", each_cell)
         right = known.withColumn("_cell", cell_of).withColumn("_block", each_block)
 
         def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
             if ask.empty or have.empty:
                 return pd.DataFrame({_QUERY: ask[_QUERY][:0], _MATCH: have[_MATCH][:0], _DISTANCE: []})
-            points, rows = (np.stack(side[_VECTOR].to_list()) for side in (ask, have))
+            points, rows = (np.array([np.asarray(v, "f8") for v in side[_VECTOR]]) for side in (ask, have))
             return _batch_nearest(
                 ask[_QUERY].to_numpy(), points.astype("f8"), have[_MATCH].to_numpy(), rows, k, metric
             )

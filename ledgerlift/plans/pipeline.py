@@ -16,7 +16,7 @@ from ledgerlift.operators.checks import (
 )
 from ledgerlift.operators.context import gold_context
 from ledgerlift.operators.embedding import Embedder, embed_texts
-from ledgerlift.operators.gold import GOLD_BUILDERS, GOLD_TABLES, MARGIN_TABLES, margins_by_cut, pick_cut
+from ledgerlift.operators.gold import GOLD_TABLES, MARGIN_TABLES, margins_by_cut, pick_cut, unsorted_gold
 from ledgerlift.operators.insights import insights_all
 from ledgerlift.operators.mapping import apply_mapping, missing_types
 from ledgerlift.operators.sales import conform, dedupe_first, enrich_sales
@@ -26,8 +26,8 @@ from ledgerlift.schemas import (
 )
 from ledgerlift.sources.bronze import bronze_name, land_bronze, read_bronze
 from ledgerlift.sources.layers import (
-    SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish_silver, read_gold, read_silver,
-    read_vectors, silver_run_path, write_layer, write_vectors,
+    SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish, read_gold, read_silver,
+    read_vectors, run_path, write_layer, write_vectors,
 )
 from ledgerlift.sources.shared import read_if_present
 
@@ -73,7 +73,7 @@ def _load(
     df = conform(require_columns(apply_mapping(raw, mapping), data_type))
     if master_key is None:
         return df
-    path = silver_run_path(silver, run_id, data_type)
+    path = run_path(silver, run_id, data_type)
     write_layer(dedupe_first(df, master_key), path)
     return spark.read.parquet(path)
 
@@ -82,7 +82,16 @@ def silver_tables(
     tables: Mapping[str, DataFrame], rates: Mapping[str, float] | None = None,
     observe: Mapping[str, Observation] | None = None,
 ) -> dict[str, DataFrame]:
-    """The three Silver tables from canonical Bronze tables (masters unique per key)."""
+    """The three Silver tables from canonical Bronze tables (masters unique per key).
+
+    Observations named ``loaded_<data type>`` receive the row counts of the tables as loaded, the
+    others those of ``enrich_sales``.
+    """
+    observe = observe or {}
+    tables = {
+        t: df.observe(observe[f"loaded_{t}"], F.count(F.lit(1)).alias("rows")) if f"loaded_{t}" in observe else df
+        for t, df in tables.items()
+    }
     return {
         "sales_enriched": enrich_sales(
             tables["sales_header"], tables["sales_items"], tables["customer_master"],
@@ -105,17 +114,17 @@ def write_silver(
     """
     run_id = run_id or uuid.uuid4().hex
     for name, df in tables.items():
-        write_layer(df, silver_run_path(silver, run_id, name))
-    staged = {name: spark.read.parquet(silver_run_path(silver, run_id, name)) for name in tables}
+        write_layer(df, run_path(silver, run_id, name))
+    staged = {name: spark.read.parquet(run_path(silver, run_id, name)) for name in tables}
     report = combine_reports(
         sales=validate_sales(staged["sales_enriched"], bounds.min_sales, bounds.max_sales),
         controlling=validate_controlling(staged["controlling_enriched"], bounds.min_controlling),
         delivery=validate_delivery(staged["delivery_enriched"], bounds.min_delivery),
     )
-    report_path = silver_run_path(silver, run_id, "checks")
+    report_path = run_path(silver, run_id, "checks")
     write_layer(report, report_path)
     require_passed(spark.read.parquet(report_path))
-    publish_silver(spark, silver, run_id)
+    publish(spark, silver, run_id)
     return run_id
 
 
@@ -178,18 +187,22 @@ def run_native(
 
 
 def write_gold(tables: Mapping[str, DataFrame], gold: str, *, basis: str = "local") -> None:
-    """Write the six Gold tables from Silver tables given by name.
+    """Write the six Gold tables from Silver tables given by name, and publish them together.
+
+    A build that fails leaves the Gold published before as it is.
 
     The four margin tables come from one pass over the sales table. What that pass leaves is as
     small as the Gold tables; it is written once and the four are sorted out of it.
     """
-    sales = tables["sales_enriched"]
-    cuts_path = f"{gold}/margins_by_cut"
+    sales, run_id = tables["sales_enriched"], uuid.uuid4().hex
+    spark = sales.sparkSession
+    cuts_path = run_path(gold, run_id, "margins_by_cut")
     write_layer(margins_by_cut(sales, basis), cuts_path)
-    cuts = sales.sparkSession.read.parquet(cuts_path)
+    cuts = spark.read.parquet(cuts_path)
     for name, table in GOLD_TABLES.items():
-        rows = pick_cut(cuts, name) if name in MARGIN_TABLES else GOLD_BUILDERS[name](tables[table.source])
-        write_layer(rows, f"{gold}/{name}")
+        rows = pick_cut(cuts, name) if name in MARGIN_TABLES else unsorted_gold(tables[table.source], name)
+        write_layer(rows, run_path(gold, run_id, name))
+    publish(spark, gold, run_id)
 
 
 def build_gold(spark: SparkSession, silver: str, gold: str, *, basis: str = "local") -> None:

@@ -31,26 +31,64 @@ def write_layer(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-# --- Silver: a run is visible once it is listed as published ---------------------------------
+# --- Silver and Gold: a run is visible once it is listed as published --------------------------
 
-def silver_run_path(silver: str, run_id: str, table: str) -> str:
-    return f"{silver}/run={run_id}/{table}"
+def run_path(folder: str, run_id: str, table: str) -> str:
+    """Where a run of Silver or Gold keeps a table."""
+    return f"{folder}/run={run_id}/{table}"
 
 
-def publish_silver(spark: SparkSession, silver: str, run_id: str) -> None:
+def _listing(spark: SparkSession, folder: str) -> DataFrame | None:
+    return read_if_present(spark, f"{folder}/published")
+
+
+_ORDER = ("number", "published_at", "run_id")
+
+
+def publish(spark: SparkSession, folder: str, run_id: str) -> None:
     """List a complete run as published. This one small write makes all its tables current at once,
-    with no renaming or copying of data, so it also holds on object stores."""
-    row = [(run_id, datetime.now(timezone.utc).replace(tzinfo=None))]
-    listing = spark.createDataFrame(row, "run_id string, published_at timestamp_ntz")
-    listing.coalesce(1).write.mode("append").parquet(f"{silver}/published")
+    with no renaming or copying of data, so it also holds on object stores.
+
+    Runs are numbered in the order of publishing, so that order does not hang on the drivers' clocks.
+    """
+    listed = _listing(spark, folder)
+    number = 1 if listed is None else listed.agg(F.max("number")).first()[0] + 1
+    row = [(run_id, number, datetime.now(timezone.utc).replace(tzinfo=None))]
+    listing = spark.createDataFrame(row, "run_id string, number bigint, published_at timestamp_ntz")
+    listing.coalesce(1).write.mode("append").parquet(f"{folder}/published")
 
 
-def current_run(spark: SparkSession, silver: str) -> str | None:
+def current_run(spark: SparkSession, folder: str) -> str | None:
     """The run published last, or None."""
-    listing = read_if_present(spark, f"{silver}/published")
+    listing = _listing(spark, folder)
+    return None if listing is None else listing.agg(F.max_by("run_id", F.struct(*_ORDER))).first()[0]
+
+
+def drop_runs(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Delete the data of published runs but for the ``keep`` last ones, and return their ids.
+
+    The current run always stays, and so do runs that are not listed: they may be in the making.
+    """
+    if keep < 1:
+        raise ValueError("keep at least the current run")
+    listing = _listing(spark, folder)
     if listing is None:
-        return None
-    return listing.agg(F.max_by("run_id", F.struct("published_at", "run_id"))).first()[0]
+        return []
+    # One row per run ever published.
+    runs = [r["run_id"] for r in listing.orderBy(*(F.desc(c) for c in _ORDER)).select("run_id").collect()]
+    dropped = []
+    for run_id in runs[keep:]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/run={run_id}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True):
+            dropped.append(run_id)
+    return dropped
+
+
+def _published(spark: SparkSession, folder: str, run_id: str | None) -> str:
+    run_id = run_id or current_run(spark, folder)
+    if run_id is None:
+        raise FileNotFoundError(f"nothing published in {folder}")
+    return run_id
 
 
 def read_silver(spark: SparkSession, silver: str, table: str, run_id: str | None = None) -> DataFrame:
@@ -58,29 +96,25 @@ def read_silver(spark: SparkSession, silver: str, table: str, run_id: str | None
 
     Find the run once with ``current_run`` where several tables must belong together.
     """
-    run_id = run_id or current_run(spark, silver)
-    if run_id is None:
-        raise FileNotFoundError(f"nothing published in {silver}")
-    return spark.read.parquet(silver_run_path(silver, run_id, table))
-
+    return spark.read.parquet(run_path(silver, _published(spark, silver, run_id), table))
 
-# --- Gold ------------------------------------------------------------------------------------
 
 def gold_ready(spark: SparkSession, gold: str) -> bool:
-    """Whether Gold has been built: its first table stands for all."""
-    return read_if_present(spark, f"{gold}/margin_by_material") is not None
+    """Whether Gold has been built: a run of all its tables is published."""
+    return current_run(spark, gold) is not None
 
 
-def read_gold(spark: SparkSession, gold: str) -> dict[str, DataFrame]:
-    """All six Gold tables by name, rows in no order."""
-    return {name: spark.read.parquet(f"{gold}/{name}") for name in GOLD_TABLES}
+def read_gold(spark: SparkSession, gold: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """All six Gold tables of one run by name, rows in no order."""
+    run_id = _published(spark, gold, run_id)
+    return {name: spark.read.parquet(run_path(gold, run_id, name)) for name in GOLD_TABLES}
 
 
 def metric(spark: SparkSession, gold: str, name: str) -> DataFrame:
     """One Gold table in its order; file order is never relied on."""
     if name not in GOLD_TABLES:
         raise KeyError(f"unknown metric {name}; there are {', '.join(GOLD_TABLES)}")
-    return sorted_gold(spark.read.parquet(f"{gold}/{name}"), name)
+    return sorted_gold(spark.read.parquet(run_path(gold, _published(spark, gold, None), name)), name)
 
 
 def to_records(df: DataFrame) -> DataFrame:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor must reach.
 
-    Without that setting a temporary folder is used in local mode; on a cluster it is an error, as
-    executors could not see the driver's disk.
+    Without that setting, local mode uses a temporary folder and says so; on a cluster it is an error,
+    as executors could not see the driver's disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ledgerlift-")
+        log.warning("spark.checkpoint.dir is not set, work files go to %s", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

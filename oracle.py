@@ -310,6 +310,32 @@ def _knn_join(metric: str, k: int = 5) -> str:
     )
 
 
+_SEARCH_BATCH = _with(
+    *_embedded("select doc_id as id, text from documents", "d"), *_embedded("select item_id as id, text from benchmark", "q"),
+    ("dots", "select q.id as item_id, d.id, sum(d.w * q.w) as dot from d_weights d join q_weights q using (bucket) group by 1, 2"),
+    ("d_squares", "select id, sum(w * w) as s from d_weights group by 1"),
+    ("q_squares", "select id, sum(w * w) as s from q_weights group by 1"),
+    ("measured", """
+        select b.item_id, t.doc_id, sqrt(greatest(0, coalesce(d.s, 0) + coalesce(q.s, 0) - 2 * coalesce(dot, 0))) as distance
+        from benchmark b cross join documents t left join d_squares d on d.id = t.doc_id left join q_squares q on q.id = b.item_id
+        left join dots on dots.item_id = b.item_id and dots.id = t.doc_id"""),
+) + """select item_id, rank, round(distance, 5) as distance from (
+    select item_id, distance, row_number() over (partition by item_id order by distance, doc_id)::integer as rank from measured
+) where rank <= 3"""
+
+_GATE = _with(*_SILVER) + "\nunion all\n".join(
+    f"""select '{table}' as "table", name, "column", bad_rows from ({_CHECKS[check].split(_with(*_SILVER), 1)[1]})
+        where not passed and severity = 'fail' and name <> 'row_count_range'"""
+    for table, check in (("sales", "validate_sales"), ("controlling", "validate_controlling"), ("delivery", "validate_delivery"))
+) + """
+union all select 'sales', 'row_count_range', null, null from (select count(*) as n from sales_enriched) where n > 10"""
+
+_STEPS = {
+    "loaded_sales_header": "sales_header", "loaded_sales_items": "sales_items", "loaded_customer_master": "customers",
+    "loaded_material_master": "materials", "loaded_controlling": "controlling_enriched", "loaded_delivery": "delivery_enriched",
+    "items": "sales_enriched", "customer": "sales_enriched", "material": "sales_enriched", "sales": "sales_enriched",
+}
+
 _ITEM_STRINGS = (
     "select order_id::varchar as order_id, line_item_number::varchar as line_item_number, material_id, "
     "net_value, estimated_cost from sales_items"
@@ -368,6 +394,19 @@ def oracle_sql() -> dict[str, str]:
         "search_store": _closest(
             "select text as id, text from insights", "select 0 as id, 'Which route has a critical delay?' as text", 5,
         ) + "select id as text, table_name, distance from closest join insights on id = text",
+        "semantic_search_batch": _SEARCH_BATCH,
+        "validate_sales_bounds": silver + "select b.bounds, n >= b.low and (b.high is null or n <= b.high) as passed, "
+        "'fail' as severity from (select count(*) as n from sales_enriched), (values ('wide', 500, 1000000000000), "
+        "('low', 1, 10), ('high', 1000000000000, null)) b(bounds, low, high)",
+        "checks_gate": _GATE,
+        "step_counts": silver + "\nunion all\n".join(
+            f"select '{step}' as step, count(*) as n_rows from {source}" for step, source in _STEPS.items()
+        ),
+        "gold_sentinel": gold + "select false as before, true as after, count(*) as materials from margin_by_material",
+        "extract_headers_folder": "\nunion all\n".join(
+            f"select '{name}' as table_name, row_number() over () - 1 as position, column_name as header "
+            f"from (describe {plain_sql(text)}) where column_name <> 'row_no'" for name, text in VIEWS.items()
+        ),
         "read_bronze": silver + _ITEM_STRINGS,
         "land_bronze": silver + _ITEM_STRINGS,
         "land_bronze_stream": silver + _ITEM_STRINGS,

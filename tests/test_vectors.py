@@ -64,6 +64,23 @@ def test_knn_join_with_nothing_to_compare(spark, points):
     assert knn_join(q, c.where("false"), 3, **names).collect() == []
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("limits", [{}, {"max_shared_queries": 2, "rows_per_cell": 2}])
+def test_knn_join_ranks_what_has_no_distance_last(spark, metric, limits):
+    nan, one = float("nan"), [1.0] * DIM
+    corpus = [(1, [nan] + one[1:]), (2, one), (3, [None] + one[1:]), (4, [float("inf")] * DIM), (5, [2.0] * DIM), (5, one)]
+    queries = [(1, one), (2, [nan] * DIM), (3, [None] * DIM), (4, [1.0, 2.0] * (DIM // 2))]
+    q = spark.createDataFrame(queries, "q long, v array<float>")
+    c = spark.createDataFrame(corpus, "c long, w array<float>")
+    found = knn_join(q, c, 4, query_id="q", id="c", query_vector="v", vector="w", dim=DIM, metric=metric, **limits)
+    by_query = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        by_query.setdefault(r["q"], []).append((r["c"], r["distance"] is not None and r["distance"] == r["distance"]))
+    assert by_query[1][:3] == [(2, True), (5, True), (5, True)] and by_query[1][3] == (1, False)
+    assert [i for i, _ in by_query[4]] == [2, 5, 5, 1]
+    assert by_query[2] == by_query[3] == [(1, False), (2, False), (3, False), (4, False)]
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_shared_queries": 1}])
 def test_wrong_width_is_an_error(spark, limits):
     q = spark.createDataFrame([(1, [0.0] * DIM), (2, [0.0] * DIM)], "q long, v array<float>")
