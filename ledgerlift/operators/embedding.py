@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -17,20 +18,20 @@ from ledgerlift.schemas import EMBEDDING_DIM
 Embedder = Callable[[Sequence[str]], "np.ndarray | Sequence[Sequence[float]]"]
 
 
-def word_buckets(text: Column, dim: int = EMBEDDING_DIM) -> Column:
-    """Bucket of every word of the text, in order: ``array<int>`` with repeats."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    )
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, in order: ``array<string>`` with repeats."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _bucket_vectors(dim: int) -> Callable[[Column], Column]:
     @F.arrow_udf("array<float>")
-    def count_and_normalise(buckets: pa.Array) -> pa.Array:
-        rows = len(buckets)
-        lengths = buckets.value_lengths().to_numpy(zero_copy_only=False)
-        flat = buckets.flatten().to_numpy(zero_copy_only=False)
+    def count_and_normalise(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        # Each different word of the batch is hashed once.
+        bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()], "i8")
+        flat = bucket[coded.indices.to_numpy(zero_copy_only=False)]
         cell = np.repeat(np.arange(rows, dtype="i8"), lengths) * dim + flat
         counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype("f8")
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
@@ -48,11 +49,11 @@ def embed_texts(
 
     ``embedder`` is called in the tasks with one batch of texts at a time; an error in it, or a
     vector of another length, fails the job. The default hashes words into ``dim`` buckets: it
-    compares wording, not meaning. Its words are split and hashed by Spark, and only the bucket
-    numbers go through Arrow to be counted; there is no shuffle.
+    compares wording, not meaning. Its words are split by Spark, hashed once per batch and counted in
+    arrays; there is no shuffle.
     """
     if embedder is None:
-        vector = _bucket_vectors(dim)(word_buckets(F.col(text), dim))
+        vector = _bucket_vectors(dim)(words_of(F.col(text)))
         return df.withColumn("vector", vector)
 
     @F.pandas_udf("array<float>")
