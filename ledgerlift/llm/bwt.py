@@ -8,33 +8,38 @@ import numpy as np
 def _ordered_by_prefix(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols or more, by prefix doubling."""
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.uint64), np.zeros(8, np.uint64)])
-    known = 8 if codes.max(initial=0) < 256 else 4
-    key = np.zeros(n, np.uint64)
-    for j in range(known):
-        key = (key << np.uint64(64 // known)) | padded[j:j + n]
-    order = np.argsort(key)
+    if codes.max(initial=0) < 256:
+        # Eight symbols at once, the first the most significant.
+        padded = np.concatenate([codes.astype(np.uint8), np.zeros(8, np.uint8)])
+        key, known = np.ndarray((n,), ">u8", buffer=padded, strides=(1,)).astype(np.uint64), 8
+    else:
+        padded, known = np.concatenate([codes.astype(np.uint64), np.zeros(4, np.uint64)]), 4
+        key = np.zeros(n, np.uint64)
+        for j in range(known):
+            key = (key << np.uint64(16)) | padded[j:j + n]
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = 0
-    starts = np.flatnonzero(new)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n))) + 1
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    rank = np.zeros(n + depth, np.int32)  # past the end: before everything
+
+    def number(at: np.ndarray) -> None:
+        """Give the suffixes at these places the number of the first of their group."""
+        starts = np.flatnonzero(new[at])
+        rank[order[at]] = np.repeat(at[starts].astype(np.int32) + 1, np.diff(np.append(starts, len(at))))
+
+    number(np.arange(n))
     while known < depth:
         # Only suffixes that are still tied with a neighbour are sorted again, within their group.
-        tied = ~(new & np.append(new[1:], True))
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(~(new[:-1] & new[1:]))
         if not len(at):
             break
         suffix = order[at]
-        second = rank[np.minimum(suffix + known, n)]
-        key = rank[suffix] * np.int64(n + 2) + second
+        key = (rank[suffix].astype(np.int64) << 32) | rank[suffix + known]
         inner = np.argsort(key)
         order[at] = suffix[inner]
         key = key[inner]
         new[at[1:]] |= key[1:] != key[:-1]
-        starts = np.flatnonzero(new)
-        rank[order] = np.repeat(starts, np.diff(np.append(starts, n))) + 1
+        number(at)
         known *= 2
     return order
 

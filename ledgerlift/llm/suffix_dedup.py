@@ -19,7 +19,7 @@ from ledgerlift.llm.shingles import mixed
 GRAM = 16  # bytes of an anchor
 _CHUNK = 1 << 18  # window starts handled at once
 _PLACE_BITS = np.uint64(20)
-_BLOCK_BYTES = 1 << 20  # of an index
+_BLOCK_BYTES = 1 << 18  # of an index, which fits in the processor's cache
 GROUP_SEGMENTS = 2048  # different segments of one anchor that meet in one index
 
 
@@ -265,8 +265,8 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 400, id: str = "doc_id",
     Every window of ``min_bytes`` bytes is anchored at the smallest hash of its 16-byte grams, so equal
     windows have equal anchors, and windows are shuffled as segments: the bytes under neighbouring
     windows of one anchor. Only digests of the segments are shuffled at first; equal segments are
-    combined, and segments whose anchor occurs in one segment only are settled by their count. The
-    bytes of one copy of each other segment go to the group of their anchor, where an index by the
+    combined, and where the anchor is in no other segment, or all of its segments occur twice, that
+    settles them. The bytes of one copy of each other segment go to the group of their anchor, where an index by the
     Burrows-Wheeler transform finds the strings that occur twice: backward extension stops at
     ``min_bytes``, and a stretch of suffixes without a boundary shares that many bytes. Groups above
     ``GROUP_SEGMENTS`` different segments are split by the bytes beside the anchor, down to single
@@ -284,13 +284,14 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 400, id: str = "doc_id",
     texts = stored(plain.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
     schema = schema_of(plain, ["digest"], "anchor bigint, segment binary, start bigint, size int")
     every = stored(plain.select("digest", "text").mapInArrow(_anchor_rows(min_bytes), schema), "anchors")
-    # Runs of a text that has copies, or that stands in two rows of one id, count once here.
     counted = every.groupBy("anchor", "segment").agg(
-        F.min(F.struct("digest", "start")).alias("low"), F.max(F.struct("digest", "start")).alias("high"),
-        F.any_value("size").alias("size"),
-    ).select("*", F.when(F.col("low") == F.col("high"), 1).otherwise(2).cast("long").alias("weight"))
+        F.min(F.struct("digest", "start")).alias("low"), F.any_value("size").alias("size"),
+        F.least(F.count("*"), F.lit(2)).cast("long").alias("weight"),
+    )
     counted = stored(counted, "segments")
-    varied = counted.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Where every segment of an anchor occurs twice, all of their windows do.
+    varied = counted.groupBy("anchor").agg(F.count("*").alias("n"), F.min("weight").alias("least"))
+    varied = varied.where("n > 1 and least = 1").select("anchor")
     place = F.struct("anchor", "segment", F.col("low.start").alias("start"), "size", "weight")
     wanted = counted.join(varied, "anchor").groupBy(F.col("low.digest").alias("digest")).agg(F.collect_list(place).alias("wanted"))
     wanted = wanted.join(texts, "digest").select("doc_id", "digest", "wanted")
