@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _CACHE = 500_000  # units whose best segmentation a task remembers
 _FILTER_BITS = 22
 _CHARS_AT_ONCE = 100_000
+_NO_PIECE = np.iinfo(np.int32).min
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -101,7 +102,6 @@ class Viterbi:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.ids = list(range(max(pieces.surface) + 1))  # one object for each id
         names = list(pieces.of)
         hashes = np.array([self._hash(n) for n in names], np.uint64)
         order = np.argsort(hashes)
@@ -150,65 +150,104 @@ class Viterbi:
         ids[0][odd] = -1 - code
         return scores, ids
 
-    def _best_of_one_size(self, units: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+    def _best_of_one_size(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size, n = len(units[0]), len(units)
         scores, ids = self._lattice(units)
         longest = len(scores)
+        there = np.isfinite(scores).any(axis=2)
         forward, backward = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
         forward[0], backward[size] = 0.0, 0.0
-        chosen = np.zeros((size + 1, n), np.int64)
+        chosen = np.zeros((size + 1, n), np.int8)
         for end in range(1, size + 1):
             for length in range(1, min(longest, end) + 1):
-                value = forward[end - length] + scores[length - 1, end - length]
-                better = value > forward[end]
-                np.copyto(forward[end], value, where=better)
-                np.copyto(chosen[end], length, where=better)
+                if there[length - 1, end - length]:
+                    value = forward[end - length] + scores[length - 1, end - length]
+                    better = value > forward[end]
+                    np.copyto(forward[end], value, where=better)
+                    np.copyto(chosen[end], length, where=better)
         for start in range(size - 1, -1, -1):
             for length in range(1, min(longest, size - start) + 1):
-                np.maximum(backward[start], scores[length - 1, start] + backward[start + length], out=backward[start])
+                if there[length - 1, start]:
+                    np.maximum(backward[start], scores[length - 1, start] + backward[start + length], out=backward[start])
 
-        own: list[list[int]] = [[] for _ in units]
+        steps = []
         at, unit = np.full(n, size), np.arange(n)
         while len(at):
-            length = chosen[at, unit]
+            length = chosen[at, unit].astype(np.int64)
             at = at - length
-            for u, i in zip(unit.tolist(), ids[length - 1, at, unit].tolist(), strict=True):
-                own[u].append(i)
+            own = np.full(n, _NO_PIECE, np.int32)
+            own[unit] = ids[length - 1, at, unit]
+            steps.append(own)
             scores[length - 1, at, unit] = -np.inf  # what is left leads off the best path
             going = at > 0
             at, unit = at[going], unit[going]
         second = np.full(n, -np.inf)
         for length in range(1, longest + 1):
             upto = size - length + 1
-            through = forward[:upto] + scores[length - 1, :upto] + backward[length:]
-            np.maximum(second, through.max(axis=0), out=second)
+            if there[length - 1].any():
+                through = forward[:upto] + scores[length - 1, :upto] + backward[length:]
+                np.maximum(second, through.max(axis=0), out=second)
+        path = np.stack(steps[::-1], axis=1)
+        real = path != _NO_PIECE
+        flat, counts = path[real], real.sum(axis=1)
+        if (flat < 0).any():
+            flat, counts = self._in_bytes(flat, counts)
         best = forward[size]
-        return [
-            (self._ids(found[::-1]), total, gap)
-            for found, total, gap in zip(own, best.tolist(), (best - second).tolist(), strict=True)
-        ]
-
-    def _ids(self, found: list[int]) -> tuple[int, ...]:
-        out: list[int] = []
-        for i in found:
-            if i >= 0:
-                out.append(self.ids[i])
-            else:
-                data = chr(-1 - i).encode("utf-8", "surrogatepass")
-                out.extend(self.ids[self.pieces.bytes_from + b] for b in data)
-        return tuple(out)
-
-    def best(self, units: list[str]) -> dict[str, tuple[tuple[int, ...], float, float]]:
-        """(ids, log probability, shortfall of the second best) of every unit; none may be empty."""
+        return flat, counts, best, best - second
+
+    def _in_bytes(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no piece give way to the pieces of their bytes."""
+        out, sizes, place = [], [], 0
+        for count in counts.tolist():
+            before = len(out)
+            for i in flat[place:place + count].tolist():
+                data = () if i >= 0 else chr(-1 - i).encode("utf-8", "surrogatepass")
+                out.extend([i] if i >= 0 else [self.pieces.bytes_from + b for b in data])
+            sizes.append(len(out) - before)
+            place += count
+        return np.array(out, np.int32), np.array(sizes)
+
+    def best(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The units in another order, and of them, one after the other, the ids of the best segmentation,
+        their number, its log probability and the shortfall of the second best. No unit may be empty."""
         by_size: dict[int, list[str]] = {}
         for u in units:
             by_size.setdefault(len(u), []).append(u)
-        out = {}
+        order, parts = [], []
         for size, own in by_size.items():
             step = max(1, _CHARS_AT_ONCE // size)
             for low in range(0, len(own), step):
-                out.update(zip(own[low:low + step], self._best_of_one_size(own[low:low + step]), strict=True))
-        return out
+                order += own[low:low + step]
+                parts.append(self._best_of_one_size(own[low:low + step]))
+        return order, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+class Known:
+    """Units whose best segmentation is known, as numbers into arrays."""
+
+    def __init__(self, viterbi: Viterbi):
+        self.viterbi = viterbi
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.scores, self.gaps, self.begin = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+
+    def learn(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self.number]
+        if not new:
+            return
+        if len(self.number) + len(new) > _CACHE and self.number:
+            self.forget()
+            new = list(units)
+        order, *found = self.viterbi.best(new)
+        base = len(self.number)
+        self.number.update((u, base + i) for i, u in enumerate(order))
+        self.ids, self.sizes, self.scores, self.gaps = (
+            np.concatenate(x) for x in zip((self.ids, self.sizes, self.scores, self.gaps), found, strict=True)
+        )
+        self.begin = np.cumsum(self.sizes) - self.sizes
 
 
 def combinations(choices: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -239,44 +278,33 @@ _NBEST = pa.list_(pa.struct([
 ]))
 
 
-def _encode(pieces: Pieces, n: int):
+def _encode(pieces: Pieces, n: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        viterbi = Viterbi(pieces)
-        cache: dict[str, tuple] = {}
+        known = Known(Viterbi(pieces))
         lists: dict[str, list] = {}
         for batch in sliced(batches, limit=2 << 20):
             texts = [units_of(t or "") for t in batch.column("text").to_pylist()]
-            if len(cache) > _CACHE:
-                cache.clear()
             if len(lists) > _CACHE // 10:
                 lists.clear()
-            different = list(dict.fromkeys(chain.from_iterable(texts)))
-            new = [u for u in different if u not in cache]
-            if new:
-                cache.update(viterbi.best(new))
-            found = [cache[u] for u in different]
-            number = {u: i for i, u in enumerate(different)}
-            sizes = np.array([len(f[0]) for f in found], np.int64)
-            scores_of, gaps_of = np.array([f[1] for f in found]), np.array([f[2] for f in found])
-            ids_of = np.fromiter(chain.from_iterable(f[0] for f in found), np.int32)
-            begin = np.cumsum(sizes) - sizes
+            known.learn(set(chain.from_iterable(texts)))
+            sizes = known.sizes
 
             # The ids of all units one after the other.
             n_units = [len(units) for units in texts]
-            codes = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(n_units))
+            codes = np.fromiter(map(known.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(n_units))
             lengths = sizes[codes]
             place = np.cumsum(lengths) - lengths
-            flat = ids_of[np.arange(int(lengths.sum())) + np.repeat(begin[codes] - place, lengths)]
+            flat = known.ids[np.arange(int(lengths.sum())) + np.repeat(known.begin[codes] - place, lengths)]
             counts, scores, nbest, low = [], [], [], 0
             for units in texts:
                 own_codes = codes[low:low + len(units)]
                 at = place[low:low + len(units)]
                 low += len(units)
                 counts.append(int(sizes[own_codes].sum()))
-                best = float(scores_of[own_codes].sum())
+                best = float(known.scores[own_codes].sum())
                 scores.append(best)
                 # The n best differ from the best in the n - 1 units whose second best costs least.
-                gaps = gaps_of[own_codes]
+                gaps = known.gaps[own_codes]
                 near = np.argpartition(gaps, n - 2)[:n - 1] if len(gaps) >= n > 1 else np.arange(len(gaps))[:n - 1]
                 near = [i for i in np.sort(near).tolist() if gaps[i] < math.inf]
                 choices = []
@@ -292,15 +320,24 @@ def _encode(pieces: Pieces, n: int):
                         for i, c, p in zip(near, choices, picks, strict=True) if p
                     ]})
                 nbest.append(own)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(flat)),
-                 pa.array(scores, pa.float64()), pa.array(nbest, _NBEST)], names=["key", "ids", "score", "alternatives"],
-            )
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns = [
+                batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                pa.array(scores, pa.float64()), pa.array(nbest, _NBEST),
+            ]
+            names = ["key", "ids", "score", "alternatives"]
+            if decoded:
+                back = [decode_ids(flat[a:b].tolist(), pieces) for a, b in pairwise(ends.tolist())]
+                columns.append(pa.array(back, pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
-def encode_nbest(docs: DataFrame, pieces: Pieces, *, n: int = 4, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def encode_nbest(
+    docs: DataFrame, pieces: Pieces, *, n: int = 4, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+    decoded: bool = False,
+) -> DataFrame:
     """The columns ``keep`` with the best segmentation of each whole text and the next ``n`` - 1.
 
     ``ids`` and ``score`` (log probability) are the best's; ``alternatives`` holds, best first, the
@@ -308,6 +345,8 @@ def encode_nbest(docs: DataFrame, pieces: Pieces, *, n: int = 4, keep: tuple[str
     There are fewer where a text has no more segmentations. Texts are not normalised, spaces are kept,
     and characters that are no piece are written as bytes, so decoding gives the text back. Null and
     empty texts have no pieces, score 0 and no alternatives. Other columns of any name are ignored.
+    ``decoded`` adds what the ids of the best decode to, made in the same task: a second Python
+    function, as in ``decode``, would run in workers of its own beside those that encode.
 
     No piece reaches across the start of a word or a line break, so a text's lattice is a chain of small
     ones. The best paths of a task's different units are found together by forward Viterbi in
@@ -321,8 +360,10 @@ def encode_nbest(docs: DataFrame, pieces: Pieces, *, n: int = 4, keep: tuple[str
         "ids array<int>, score double, "
         "alternatives array<struct<score:double,changes:array<struct<at:int,drop:int,ids:array<int>>>>>"
     )
-    done = rows.mapInArrow(_encode(pieces, n), schema_of(rows, ["key"], ddl))
-    return done.select("key.*", "ids", "score", "alternatives")
+    own = ["ids", "score", "alternatives"]
+    if decoded:
+        ddl, own = f"{ddl}, decoded string", [*own, "decoded"]
+    return rows.mapInArrow(_encode(pieces, n, decoded), schema_of(rows, ["key"], ddl)).select("key.*", *own)
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:

@@ -87,7 +87,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> Da
 
     own = pieces.load_pieces(model or public_tokenizers.path("piece_bpe_32k.model"))
     docs = _table(spark, sf_dir, "documents")
-    encoded = pieces.decode(pieces.encode_nbest(docs, own, n=4), own)
+    encoded = pieces.encode_nbest(docs, own, n=4, decoded=True)
     scores = F.transform("alternatives", lambda a: F.round(a["score"], 6))
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
