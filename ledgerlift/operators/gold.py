@@ -173,7 +173,8 @@ def margins_by_cut(sales: DataFrame, basis: str = "local") -> DataFrame:
     return sales.groupingSets(sets, *_CUT_KEYS).agg(label.alias("gold_table"), *measures)
 
 
-def pick_cut(cuts: DataFrame, name: str) -> DataFrame:
-    """One margin table out of ``margins_by_cut``, in no order."""
+def pick_cut(cuts: DataFrame, name: str, *, ordered: bool = True) -> DataFrame:
+    """One margin table out of ``margins_by_cut``, in its order or in none."""
     table = GOLD_TABLES[name]
-    return cuts.where(F.col("gold_table") == name).select(*table.keys, *table.measures)
+    rows = cuts.where(F.col("gold_table") == name).select(*table.keys, *table.measures)
+    return sorted_gold(rows, name) if ordered else rows

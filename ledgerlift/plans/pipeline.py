@@ -200,7 +200,10 @@ def write_gold(tables: Mapping[str, DataFrame], gold: str, *, basis: str = "loca
     write_layer(margins_by_cut(sales, basis), cuts_path)
     cuts = spark.read.parquet(cuts_path)
     for name, table in GOLD_TABLES.items():
-        rows = pick_cut(cuts, name) if name in MARGIN_TABLES else unsorted_gold(tables[table.source], name)
+        if name in MARGIN_TABLES:
+            rows = pick_cut(cuts, name, ordered=False)
+        else:
+            rows = unsorted_gold(tables[table.source], name)
         write_layer(rows, run_path(gold, run_id, name))
     publish(spark, gold, run_id)
 
