@@ -9,10 +9,12 @@ from ledgerlift.llm.common import stored
 from ledgerlift.llm.jaccard_join import near_duplicates
 from ledgerlift.llm.line_dedup import dedupe_lines
 from ledgerlift.llm.packing import pack_documents
+from ledgerlift.llm.passage_dedup import remove_passages
 from ledgerlift.llm.suffix_dedup import remove_repeats
 from ledgerlift.llm.toxicity import fit_toxicity
 
 CAPACITY = 8192  # bytes of a bin
+PASSAGE_WORDS = 51  # a passage of so many words stands once
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +48,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of over 50 words that stand more than once, which are often too short in
+    bytes for the stage before; those of which nothing is left go."""
+    done = remove_passages(docs, words=PASSAGE_WORDS)
+    return done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document lies in which training bin."""
     return pack_documents(
@@ -62,6 +71,7 @@ STAGES = [
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", near_dedup),
     ("suffix-array dedup", suffix_dedup),
+    ("passage dedup", passage_dedup),
     ("best-fit packing", packing),
 ]
 

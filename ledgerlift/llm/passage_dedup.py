@@ -1,0 +1,163 @@
+"""Removal of passages of many words that stand more than once in the corpus."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlift.llm.common import schema_of, sliced, stored
+from ledgerlift.llm.shingles import mixed, word_hashes, words_of
+
+GRAM = 8  # words of a fingerprint
+_CHUNK = 1 << 18  # windows handled at once
+_PLACE_BITS = np.uint64(20)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_runs(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of ``width`` words that share a fingerprint, over texts of ``counts`` words.
+
+    The fingerprint of a window is the smallest hash of its ``GRAM``-word grams, the leftmost among
+    equals, so equal windows have equal ones. Returns the text's number, the fingerprint, the first
+    window's word in its text and the number of windows.
+    """
+    gram = min(GRAM, width)
+    reach, ends, found = width - gram + 1, np.cumsum(counts), []
+    for low in range(0, len(hashes) - width + 1, _CHUNK):
+        n = min(_CHUNK, len(hashes) - width + 1 - low)
+        own = hashes[low:low + n - 1 + width]
+        grams = np.zeros(n + reach - 1, np.uint64)
+        for j in range(gram):
+            grams = grams * _MULTIPLIER + own[j:j + len(grams)]
+        grams = mixed(grams)
+        # The hash decides, then the place: both in one number.
+        key = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
+        step = 1
+        while step * 2 <= reach:
+            key = np.minimum(key[:-step], key[step:])
+            step *= 2
+        key = np.minimum(key[:n], key[reach - step:reach - step + n])
+        place = (key & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        at = np.arange(low, low + n)
+        text = np.searchsorted(ends, at, side="right")
+        inside = at + width <= ends[text]
+        at, text, place = at[inside], text[inside], place[inside]
+        if not len(at):
+            continue
+        new = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+        first = np.flatnonzero(new)
+        found.append((
+            text[first], grams[place[first]], (at - ends[text] + counts[text])[first], np.diff(np.append(first, len(at)))
+        ))
+    if not found:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _marks(width: int):
+    """One row per run of windows: the text's digest, the fingerprint, where the run lies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            words, counts = words_of(batch.column("text"))
+            text, mark, first, n = window_runs(word_hashes(words), counts, width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest").take(pa.array(text)), pa.array(mark.view(np.int64)), pa.array(first.astype(np.int32)),
+                 pa.array(n.astype(np.int32))], names=["digest", "mark", "first", "n"],
+            )
+    return run
+
+
+def _texts_with_words(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, list[str], list]]:
+    words, counts = words_of(batch.column("text"))
+    ends = np.cumsum(counts)
+    for text, own, low, high in zip(
+        batch.column("text").to_pylist(), batch.column(column).to_pylist(), ends - counts, ends, strict=True
+    ):
+        yield text, words.slice(low, high - low).to_pylist() if own else [], own or []
+
+
+def _windows(width: int):
+    """A digest of every window in the runs wanted of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for digest, (_, words, runs) in zip(batch.column("digest").to_pylist(), _texts_with_words(batch, "runs"), strict=True):
+                coded = [w.encode() for w in words]
+                data, starts = memoryview(b" ".join(coded)), np.cumsum([0, *(len(w) + 1 for w in coded)]).tolist()
+                at = [w for r in runs for w in range(r["first"], r["first"] + r["n"])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest] * len(at), pa.binary()), pa.array(at, pa.int32()),
+                     pa.array([xxhash.xxh3_128_digest(data[starts[w]:starts[w + width] - 1]) for w in at], pa.binary())],
+                    names=["digest", "at", "window"],
+                )
+    return run
+
+
+def _remove(width: int):
+    """Spans removed, and what is left, of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            spans, kept = [], []
+            for text, words, hits in _texts_with_words(batch, "hits"):
+                places, at = [], 0
+                for w in words:
+                    at = text.index(w, at)
+                    places.append((at, at + len(w)))
+                    at += len(w)
+                own: list[tuple[int, int]] = []
+                reached = -1  # the word after the last one removed
+                for h in sorted(hits):
+                    start = own.pop()[0] if h < reached else places[h][0]
+                    own.append((start, places[h + width - 1][1]))
+                    reached = h + width
+                rest, at = [], 0
+                for a, b in own:
+                    rest.append(text[at:a])
+                    at = b
+                spans.append([{"start": a, "end": b} for a, b in own])
+                kept.append("".join([*rest, text[at:]]) if own else text)
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(kept, pa.string()), pa.array(spans, span)], names=["row", "kept", "spans"]
+            )
+    return run
+
+
+def remove_passages(docs: DataFrame, *, words: int = 51, text: str = "text") -> DataFrame:
+    """The documents without the passages of ``words`` words or more that also start elsewhere in the
+    corpus, in the same document or another; overlaps count, and no passage crosses documents.
+
+    Returns the columns of ``docs`` with the text replaced, and ``spans`` (array of (start, end) in
+    characters, maximal removed runs), which replaces a column of this name. Words are separated by
+    white space, of whatever kind and length. Every copy goes, the first too; rows that repeat are
+    documents like any other. A null text stays null. An empty table gives no rows.
+
+    Only the smallest gram hash of each window of ``words`` words is shuffled at first (winnowing).
+    Equal windows have equal ones, so windows whose own stands at one place only are settled; a 128-bit
+    digest of each other window is counted.
+    """
+    rest = [c for c in docs.columns if c.lower() != "spans" and c != text]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(True))
+    value = F.col(f"`{text}`")
+    keyed = docs.select(
+        value.alias("text"), F.unhex(F.md5(F.coalesce(value, F.lit("")).cast("binary"))).alias("digest"), row.alias("row")
+    )
+    plain = keyed.select("digest", "text")
+    every = stored(plain.mapInArrow(_marks(words), "digest binary, mark bigint, first int, n int"), "marks")
+    common = every.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1").select("mark")
+    wanted = every.join(common, "mark").groupBy("digest").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    wanted = stored(wanted.withColumnRenamed("digest", "source"), "runs")
+    source = plain.join(wanted, plain["digest"] == wanted["source"]).select("digest", "text", "runs")
+    windows = stored(source.mapInArrow(_windows(words), "digest binary, at int, window binary"), "windows")
+    twice = windows.groupBy("window").agg(F.count("*").alias("places")).where("places > 1").select("window")
+    hits = windows.join(twice, "window").groupBy(F.col("digest").alias("marked")).agg(F.collect_set("at").alias("hits"))
+    hits = stored(hits, "hits")
+    joined = keyed.join(hits, keyed["digest"] == hits["marked"], "left")
+    schema = schema_of(keyed, ["row"], "kept string, spans array<struct<start:bigint,end:bigint>>")
+    done = joined.select("row", "text", "hits").mapInArrow(_remove(words), schema)
+    kept = [F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "spans"]
+    return done.select(*kept, "spans")

@@ -1,10 +1,13 @@
 """Each stage against a brute-force version on its own input, and the whole run."""
 
-from collections import defaultdict
+import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
+from ledgerlift.llm.common import stored
 from tests.llm.brute import components, shingle_set
 
 
@@ -86,6 +89,50 @@ def test_suffix_dedup(stages):
     assert {r["doc_id"]: r["text"] for r in after} == expected
 
 
+def test_passage_dedup(stages):
+    before, after, *_ = stages["passage dedup"]
+    assert {r["doc_id"]: r["text"] for r in after} == without_passages({r["doc_id"]: r["text"] for r in before})
+
+
+def without_passages(texts, width=51):
+    """Brute force: every window of words that stands twice goes."""
+    words = {i: list(re.finditer(r"\S+", t)) for i, t in texts.items()}
+    counts = Counter(
+        tuple(m.group() for m in w[j:j + width]) for w in words.values() for j in range(len(w) - width + 1)
+    )
+    expected = {}
+    for i, w in words.items():
+        gone = set()
+        for j in range(len(w) - width + 1):
+            if counts[tuple(m.group() for m in w[j:j + width])] > 1:
+                gone.update(range(w[j].start(), w[j + width - 1].end()))
+        left = "".join(x for k, x in enumerate(texts[i]) if k not in gone)
+        if not gone or left.strip():
+            expected[i] = left
+    return expected
+
+
+def test_planted_passages(spark, sf_dir):
+    """Passages of 51 words under 400 bytes, on one line of documents that share nothing else."""
+    rng = random.Random(1)
+
+    def words(n, letters):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=letters)) for _ in range(n))
+
+    passages = [words(51, n) for n in (2, 4, 5, 6)]
+    assert [len(p) for p in passages] == [152, 254, 305, 356]
+    planted = {2 * k + side: p for k, p in enumerate(passages) for side in (0, 1)}
+    texts = {i: f"{words(90, 8)} {p} {words(90, 8)}" for i, p in planted.items()}
+    short = words(50, 5)
+    for i in range(20, 24):  # 50 words in common stay
+        texts[i] = f"{words(80, 7)} {short} {words(80, 7)}"
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id bigint, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left == {i: t.replace(planted[i], "") if i in planted else t for i, t in texts.items()}
+
+
 def test_packing(stages, spark, sf_dir):
     before, after, *_ = stages["best-fit packing"]
     length = defaultdict(int)
