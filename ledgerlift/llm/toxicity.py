@@ -44,13 +44,14 @@ def _traits(token: str, lexicon: dict[str, float]) -> tuple[float, ...]:
     """What one token adds to the sums that the features are made of."""
     letters = _LETTERS.findall(token)
     word = max(letters, key=len).lower() if letters else ""
-    whole = lexicon.get(word, 0.0)
-    stem = max((lexicon.get(t, 0.0) for t in terms_of(word)[1:]), default=0.0)
+    runs = {run.lower() for run in letters}  # learned from one by one, too
+    whole = max((lexicon.get(run, 0.0) for run in runs), default=0.0)
+    stem = max((lexicon.get(t, 0.0) for run in runs for t in terms_of(run)[1:]), default=0.0)
     n_letters = sum(map(len, letters))
     inside = token.strip(".,;:!?\"'()[]-…")
     disguised = bool(n_letters) and len(letters[0]) < len(inside) and not inside.isalpha()
     hidden = 0.0
-    if disguised and not whole:
+    if disguised and not lexicon.get(word):
         plain = "".join(_LETTERS.findall(inside.lower().translate(_DISGUISE)))
         hidden = lexicon.get(plain, 0.0)
     capitals = sum(c.isupper() for c in token)

@@ -76,6 +76,15 @@ def test_toxicity(spark, dirty, empty):
         assert model.score(empty, ["doc_id"]).collect() == []
 
 
+def test_toxic_word_joined_to_a_longer_one():
+    lexicon = {"idiot": 3.0, "moro*": 2.5}
+    for token, hits in {
+        "idiot.However": (1.0, 0.0, 3.0), "everybody-idiot": (1.0, 0.0, 3.0), "morons/wonderful": (0.0, 1.0, 2.5),
+        "idiot/moronic": (1.0, 1.0, 3.0), "However.wonderful": (0.0, 0.0, 0.0), "1d1ot": (0.0, 0.0, 3.0), "...": (0.0, 0.0, 0.0),
+    }.items():
+        assert toxicity._traits(token, lexicon)[:3] == hits, token
+
+
 def test_line_dedup(dirty, empty):
     done = line_dedup.dedupe_lines(dirty)
     assert [c for c in dirty.columns if c != "n_lines"] + ["n_lines", "n_removed"] == done.columns
