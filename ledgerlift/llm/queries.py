@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, pieces, sharding, suffix_dedup, toxicity
+from ledgerlift.llm import (
+    chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, periodic_runs, pieces, sharding, spelling, suffix_dedup,
+    toxicity, window_packing,
+)
 from ledgerlift.sources.shared import work_dir
 
 
@@ -100,6 +104,47 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedupe_exact(_table(spark, sf_dir, "documents"), index)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), at_least=7, twice=2, slip=31)
+    return spelling.group_spellings(words, factor=10)
+
+
+def _with_repetitions(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts with their words repeated from some place on, as the query's contract plants them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words").cast("long")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    places = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)))
+    own = F.transform(places, lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(
+        F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    planted = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(own, " "))
+    return docs.select("doc_id", F.coalesce(planted, F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_repetitions(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = periodic_runs.periodic_runs(docs, exponent=4, shortest=6)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"),
+                                                               r["period"].alias("period"))))
+    length = -F.col("first.less")
+    return done.withColumn("first", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("first.start").alias("start"), length.alias("length"),
+        F.col("first.period").alias("period"), F.floor(1000 * length / F.col("first.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    described = Path(tokenizer or public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    return window_packing.pack_windows(_table(spark, sf_dir, "documents"), described, end=2, window=4096, with_ids=False)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -111,6 +156,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_window_packing": op13_window_packing,
 }
 
 SQL = {
@@ -154,6 +202,48 @@ select conv_id, count(*) as n_turns,
            when 'assistant' then before = 'user' else false end is true)
     and arg_max(role, (turn, role, text)) = 'assistant' as valid
 from linked group by conv_id
+""",
+    "op11_spelling": r"""
+with recursive crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+    from (select unnest(range(256)) as i))
+), runs as (
+  select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) as run from documents
+), lowered as (
+  select coalesce(doc_id::varchar, '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run,
+    count(*) as times
+  from runs group by all
+), coded as (
+  select run, times, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+    string_split(id || ':' || run, ''),
+    lambda ch: case when unicode(ch) < 128 then [unicode(ch)::bigint] else [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] end))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) as h
+  from lowered, crc_table
+), slipped as (
+  select times, case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word
+  from coded
+), words as (
+  select word, sum(times)::bigint as n from slipped where length(word) >= 7 group by word having sum(times) >= 2
+), holes as (
+  select word, n, unnest(range(1, length(word) + 1)) as i from words
+), cut as (
+  select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from holes
+), near as (
+  select a.word, b.word as other, b.n as other_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select c.word, w.word, w.n from cut c join words w on c.rest = w.word
+  union select w.word, c.word, c.n from cut c join words w on c.rest = w.word
+), top as (
+  select word, count(*) as n_near, max(other_n) as top_n from near group by word
+), forms as (
+  select w.word, w.n, coalesce(t.n_near, 0) as n_near, case when t.top_n >= 10 * w.n then t.top_n end as form_n,
+    case when t.top_n >= 10 * w.n then (select min(x.other) from near x where x.word = w.word and x.other_n = t.top_n) end as form
+  from words w left join top t on w.word = t.word
+), chain as (
+  select word, word as root, form as next from forms
+  union all select c.word, c.next, f.form from chain c join forms f on c.next = f.word
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c on f.word = c.word and c.next is null
 """,
     "op10_exact_dedup": r"""
 with d as (
