@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ledgerlift.llm.common import schema_of, sliced, stored
 
+# How byte-level tokenizers write the bytes of UTF-8: printable ones of Latin-1 as they are, others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _CACHED_WORDS = 1_000_000  # of one worker; beyond that it starts anew
 _WORD_ENDS = ".,;:!?"
 
@@ -28,15 +31,27 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, each different word encoded once.
 
     Texts are cut at ASCII white space, and behind the Latin letters of a word that ends in plain punctuation;
-    the tokenizer cuts there as well and composes nothing across, so the ids are those of the whole text.
+    the tokenizer cuts there as well and composes nothing across, so the ids are those of the whole text. Words of
+    Latin letters go to its model straight, where that gives the same for words of every such letter.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        letters = [c for c in map(chr, range(256)) if c.isalpha()]
+        probes = [*letters, *(f"x{a}{b}" for a in letters for b in ("y", *letters[::7]))]
+        batch = self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)
+        # Whether Latin words may be given to the model as they are, without the steps before it.
+        self.direct = all(self._pieces_of(w) == e.ids for w, e in zip(probes, batch, strict=True))
         self._forget()
 
+    def _pieces_of(self, word: str) -> list[int]:
+        """The ids of a word of Latin letters by the model alone."""
+        word = word.lower()
+        return [t.id for t in self.tokenizer.model.tokenize(
+            word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+
     def _forget(self) -> None:
         self.places: dict[str, int] = {}  # of a word among the words learned
         self.starts = self.sizes = np.zeros(0, np.int64)
@@ -49,18 +64,23 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self, words: list[str]) -> None:
-        joined, whole, parts = [], [], []
+        joined, parts, plain, whole = [], [], [], []
         for w in words:
             core = w.rstrip(_WORD_ENDS)
             if core.isalpha() and max(core) < "\u0100":
                 joined.append(w)
-                parts += (core.lower() if core.isascii() else core, w[len(core):])
+                core, end = core.lower() if core.isascii() else core, w[len(core):]
+                parts += (core, end)
+                (plain if self.direct else whole).append(core)
+                whole.append(end)
             else:
                 whole.append(w)
-        fresh = [x for x in dict.fromkeys([*whole, *parts]) if x not in self.places]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        plain = [x for x in dict.fromkeys(plain) if x not in self.places]
+        whole = [x for x in dict.fromkeys(whole) if x not in self.places]
+        encoded = [self._pieces_of(w) for w in plain]
+        encoded += [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self._add(fresh, sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
+        self._add(plain + whole, sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
         ids, sizes = self._gather(np.array([self.places[x] for x in parts], np.int64))
         new = [i for i, w in enumerate(joined) if w not in self.places]
         sizes = sizes.reshape(-1, 2).sum(axis=1)
