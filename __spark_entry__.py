@@ -143,6 +143,15 @@ def _read_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _item_columns(bronze.read_bronze(spark, _exported_items(spark, sf_dir)[1]))
 
 
+def _read_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, exported to one file and read back by several tasks."""
+    folder = work_dir(spark, "quoted-export")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    documents.write.option("header", True).option("escape", '"').csv(f"{folder}/documents.csv")
+    read = bronze.read_bronze(spark, f"{folder}/documents.csv", multiline=True)
+    return read.select("doc_id", "source", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def _land_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, export = _exported_items(spark, sf_dir)
     name = bronze.land_bronze(spark, export, f"{folder}/bronze")
@@ -430,6 +439,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gold_sentinel": _sentinel,
         "extract_headers_folder": _folder_headers,
         "read_bronze": _read_bronze,
+        "read_quoted": _read_quoted,
         "land_bronze": _land_bronze,
         "land_bronze_stream": _land_stream,
         "metric_json": _metric_json,

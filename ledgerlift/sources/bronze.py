@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlift.functions.headers import header_names
-from ledgerlift.schemas import LANDED_BATCH, POSITION
+from ledgerlift.schemas import LANDED_BATCH, POSITION, ContractError
+from ledgerlift.sources.quoted import quoted_records
 
 # The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''. The
 # two are told apart by a null marker that no export contains.
@@ -69,6 +70,26 @@ def whole_records(df: DataFrame, schema: T.StructType, multiline: bool = False)
     return df.where(fine & (F.coalesce(F.length(f"`{schema.names[0]}`"), F.lit(0)) >= 0)).drop(_RAW)
 
 
+def _read_quoted(spark: SparkSession, path: str, schema: T.StructType, with_position: bool) -> DataFrame:
+    """The rows of exports whose quoted cells may hold line breaks, each file read by many tasks."""
+    records = quoted_records(spark, path)
+    options = {k: str(v) for k, v in csv_options(True).items() if k in ("escape", "nullValue", "emptyValue", "multiLine")}
+    cells = [f"c{i}" for i in range(len(schema.names))]
+    # The header is the first record of each file; it has to be the same in all.
+    header = F.from_csv(F.replace("value", F.lit("\ufeff"), F.lit("")), ", ".join(f"{c} string" for c in cells), options)
+    different = records.where("head").select(header.alias("header")).distinct().limit(2).collect()
+    if len(different) > 1:
+        raise ContractError(f"the files at {path} differ in their header")
+    parsed = F.from_csv("value", ", ".join(f"{c} string" for c in [*cells, _RAW]), {**options, "columnNameOfCorruptRecord": _RAW})
+    place = F.struct(F.col("file").alias("file_path"), F.col("block").alias("file_block_start"), F.col("line").alias("row"))
+    rows = records.where("not head").select(parsed.alias("cell"), place.alias("place"))
+    df = rows.select(
+        *(F.col(f"cell.{c}").alias(name) for c, name in zip(cells, schema.names, strict=True)), f"cell.{_RAW}",
+        *([F.col("place").alias(POSITION)] if with_position else []),
+    )
+    return whole_records(df, schema, multiline=True)
+
+
 def read_bronze(
     spark: SparkSession, path: str, *, with_position: bool = False, multiline: bool = False
 ) -> DataFrame:
@@ -77,8 +98,8 @@ def read_bronze(
     All files of a CSV folder must have the header of the first one; a file that differs is an
     error rather than shifted columns, and so is a record that would lose data (``whole_records``).
     ``with_position`` adds the struct ``_pos`` that orders rows as they stood in their files, whatever
-    the splits. ``multiline`` allows line breaks inside quotes, at the price of reading each file in
-    one task.
+    the splits. ``multiline`` allows line breaks inside quotes: files are split all the same, at the price
+    of keeping their lines once in the shared folder (``quoted_records``).
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path).drop(LANDED_BATCH)
@@ -89,11 +110,13 @@ def read_bronze(
             return df
     else:
         schema = export_schema(spark, path, multiline)
-        df = raw_reader(spark.read, schema, multiline).csv(path)
+        if multiline:
+            return tidy_names(_read_quoted(spark, path, schema, with_position))
+        df = raw_reader(spark.read, schema).csv(path)
         if with_position:
             place = F.struct(*_POSITION_PARTS, F.monotonically_increasing_id().alias("row"))
             df = df.select("*", place.alias(POSITION))
-        return tidy_names(whole_records(df, schema, multiline))
+        return tidy_names(whole_records(df, schema))
     if with_position:
         place = F.struct(*_POSITION_PARTS, F.monotonically_increasing_id().alias("row"))
         df = df.select("*", place.alias(POSITION))

@@ -408,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
             f"from (describe {plain_sql(text)}) where column_name <> 'row_no'" for name, text in VIEWS.items()
         ),
         "read_bronze": silver + _ITEM_STRINGS,
+        "read_quoted": "select doc_id::varchar as doc_id, source, length(text) as n_chars, sha256(text) as text_sha256 from documents",
         "land_bronze": silver + _ITEM_STRINGS,
         "land_bronze_stream": silver + _ITEM_STRINGS,
         "metric_json": _METRICS,

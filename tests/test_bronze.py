@@ -1,9 +1,14 @@
 """CSV reading keeps every cell or fails."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from ledgerlift.sources.bronze import extract_headers, land_bronze, read_bronze
+from ledgerlift.schemas import ContractError
+from ledgerlift.sources.bronze import csv_options, extract_headers, land_bronze, read_bronze
+from ledgerlift.sources.quoted import end_state, quoted_records
 
 
 def read(spark, tmp_path, text, **options):
@@ -50,3 +55,64 @@ def test_header_bytes(spark, tmp_path):
     (tmp_path / "none.csv").write_bytes(b"x" * (3 << 20))
     with pytest.raises(PySparkException, match="no line break in the first"):
         extract_headers(spark, str(tmp_path)).collect()
+
+
+# --- line breaks in quotes, files split ---------------------------------------------------------------
+
+@pytest.fixture
+def small_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "997b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "997b")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+CELLS = ["", "plain", "two\nlines", "a,b", 'say ""hi""', "\n\n", "x\r\ny", "é\n\"\"\n,", 'open""', "\n", ",", "long " * 40 + "\n" + "tail " * 30]
+
+
+def quoted_file(seed, rows, end="\n"):
+    rng = random.Random(seed)
+    lines = ['id,"first\ncell",last']
+    for i in range(rows):
+        cells = [rng.choice(CELLS) for _ in range(2)]
+        # A quote within an unquoted cell is a character like any other.
+        lines.append(",".join([str(i), *(f'"{c}"' if c or rng.random() < 0.5 else rng.choice(["", '5" pipe', "a\"b"]) for c in cells)]))
+        if rng.random() < 0.1:
+            lines.append("")
+    return end.join(lines) + (end if seed % 2 else "")
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_split_reading_equals_one_task(spark, tmp_path, small_splits, seed):
+    end = "\r\n" if seed == 3 else "\n"
+    for n in range(2):
+        (tmp_path / f"{n}.csv").write_bytes(quoted_file(10 * n + seed, 70, end).encode())
+    path = str(tmp_path)
+    one_task = spark.read.options(**csv_options(multiline=True), lineSep=end).csv(path)
+    assert one_task.rdd.getNumPartitions() <= 2 and spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 6
+    found = read_bronze(spark, path, multiline=True, with_position=True)
+    assert sorted(map(str, found.drop("_pos").collect())) == sorted(map(str, one_task.collect()))
+    for file in "01":
+        own = found.where(F.col("_pos.file_path").endswith(f"/{file}.csv")).orderBy("_pos").select("id").collect()
+        assert [int(r["id"]) for r in own] == list(range(70))
+
+
+def test_a_quote_that_stays_open_is_an_error(spark, tmp_path, small_splits):
+    (tmp_path / "x.csv").write_text("a,b\n" + '1,"2\n' + "3,4\n" * 200)
+    with pytest.raises(ValueError, match="a quote is not closed"):
+        list(quoted_records(spark, str(tmp_path / "x.csv"), max_record_bytes=500).collect())
+    (tmp_path / "y.csv").write_text("a,c\n1,2\n")
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ContractError, match="differ in their header"):
+        read_bronze(spark, str(tmp_path), multiline=True)
+
+
+@pytest.mark.parametrize("line, outside, inside", [
+    ("", False, True), ("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('"a""', True, False), ('"a"""', False, False),
+    ('x,"', True, False), ('",""', True, False), ('a"",b', False, True), ('"a" b,"c', True, True), ('""', False, True), ('"",",', True, False),
+])
+def test_end_state(line, outside, inside):
+    assert (end_state(line, False), end_state(line, True)) == (outside, inside)
