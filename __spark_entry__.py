@@ -428,7 +428,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_cosine": _knn("cosine"),
         "knn_join_l2": _knn_join("l2"),
         "knn_join_cosine": _knn_join("cosine"),
-        "knn_join_blocks": _knn_join("l2", max_shared_queries=100, rows_per_cell=200),
+        "knn_join_blocks": _knn_join("l2", queries_per_block=100, rows_per_part=200),
         "embed_texts": _embed,
         "semantic_search": _semantic,
         "search_store": _search_store,

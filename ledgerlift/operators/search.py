@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlift.functions.vectors import check_dim, cosine_distance, l2_distance
+from ledgerlift.sources.shared import work_dir
 
 METRICS = {"l2": l2_distance, "cosine": cosine_distance}
 
@@ -110,6 +112,90 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+# --- bulk search ----------------------------------------------------------------------------------
+
+MAX_PIVOTS = 1024
+_CELL, _CELLS, _GAP = "_cell", "_cells", "_gap"
+
+
+def _points(metric: str, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in the space where distances obey the triangle inequality, and which have a place there."""
+    m = m.astype("f8")
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = (m * m).sum(axis=1)
+    fine = np.isfinite(squares) & ((squares > 0) | (metric != "cosine"))
+    m[~fine] = 0.0
+    return (_unit(m) if metric == "cosine" else m), fine
+
+
+def _gaps(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances from points to pivots, and a bound of their rounding error for each point."""
+    left, right = (points * points).sum(axis=1), (pivots * pivots).sum(axis=1)
+    squares = left[:, None] + right[None, :] - 2.0 * (points @ pivots.T)
+    error = np.sqrt(8.0 * points.shape[1] * np.finfo("f8").eps * (left + right.max(initial=0.0)))
+    return np.sqrt(np.maximum(squares, 0.0)), error
+
+
+def _pick_pivots(known: DataFrame, n_rows: int, dim: int, metric: str) -> np.ndarray:
+    """Some different vectors of the corpus, the same in every run: those of the smallest hashes in a sample by id."""
+    wanted = min(MAX_PIVOTS, max(1, round(n_rows ** 0.5 / 2)))
+    share = min(1.0, 16 * wanted / max(1, n_rows))
+    sampled = known.where(F.pmod(F.xxhash64(_MATCH), F.lit(1 << 20)) < max(1, round(share * (1 << 20))))
+    # Copies are combined before they meet.
+    different = sampled.groupBy(F.xxhash64(_VECTOR).alias("h")).agg(F.any_value(_VECTOR).alias(_VECTOR))
+    few = different.orderBy("h").limit(wanted).select(_VECTOR).toArrow()
+    points, fine = _points(metric, _matrix(few[_VECTOR], dim))
+    return points[fine] if fine.any() else np.zeros((1, dim))
+
+
+def _to_cells(pivots: np.ndarray, dim: int, metric: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, gap = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            for low in range(0, batch.num_rows, step := max(1, _PAIRS_AT_ONCE // len(pivots))):
+                part = slice(low, low + step)
+                points, fine = _points(metric, _matrix(batch.column(1)[part], dim))
+                gaps, error = _gaps(points, pivots)
+                own = gaps.argmin(axis=1)
+                cell[part] = np.where(fine, own, -1)
+                gap[part] = gaps[np.arange(len(own)), own] + error
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell), pa.array(gap)], names=[_MATCH, _VECTOR, _CELL, _GAP]
+            )
+    return run
+
+
+def _to_visit(pivots: np.ndarray, radius: np.ndarray, rows: np.ndarray, k: int, dim: int, metric: str):
+    """The cells that a query visits: first, without a limit, the nearest ones that hold ``k`` rows together;
+    then, with the distance of the k-th row found there, all others that may hold a nearer one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            again = batch.num_columns == 3
+            cells: list[np.ndarray] = []
+            for low in range(0, batch.num_rows, step := max(1, _PAIRS_AT_ONCE // len(pivots))):
+                points, fine = _points(metric, _matrix(batch.column(1)[low:low + step], dim))
+                gaps, error = _gaps(points, pivots)
+                gaps[:, rows == 0] = np.inf
+                near = np.argsort(gaps, axis=1, kind="stable")
+                held = np.cumsum(rows[near], axis=1)
+                # As many of the nearest cells as it takes to have k rows.
+                first = (held - rows[near] < k) & (rows[near] > 0) & fine[:, None]
+                if again:
+                    limit = batch.column(2)[low:low + step].to_numpy(zero_copy_only=False).astype("f8")
+                    limit = np.where(np.isnan(limit), np.inf, np.sqrt(2.0 * np.maximum(limit, 0.0)) if metric == "cosine" else limit)
+                    # The root of a tiny cosine distance carries the rounding error of 1.
+                    limit = limit * (1 + 1e-9) + (1e-7 if metric == "cosine" else 0.0)
+                    least = np.take_along_axis(gaps - radius[None, :], near, axis=1) - error[:, None]
+                    chosen = ~first & (rows[near] > 0) & (least <= limit[:, None]) & fine[:, None]
+                else:
+                    chosen = first
+                cells += [n[c].astype(np.int32) for n, c in zip(near, chosen, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=[_QUERY, _VECTOR, _CELLS]
+            )
+    return run
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -121,68 +207,108 @@ def knn_join(
     vector: str = "vector",
     dim: int,
     metric: str = "l2",
-    max_shared_queries: int = 4096,
-    rows_per_cell: int = 20_000,
+    queries_per_block: int = 4096,
+    rows_per_part: int = 20_000,
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """For every query row the ``k`` nearest corpus rows: ``query_id``, ``id``, ``distance``, ``rank``.
 
-    Exact: all pairs are compared, but each task hands on only its best ``k`` per query. Ids must
-    differ between the two tables by column name. Up to ``max_shared_queries`` queries (counted
-    first) are sent to every task and the corpus is not shuffled. More queries are split into
-    blocks of that size and the corpus into cells of about ``rows_per_cell``; block and cell meet
-    by key, so no task and no message grows with either table. Vectors whose length is not ``dim``
-    are an error. Null and non-finite cells are allowed: such rows have no distance and rank last, by
-    id, for every query, and such a query has the ``k`` lowest ids without a distance.
+    Exact, without comparing all pairs where the data has any structure. The corpus is dealt into cells around
+    pivots, vectors of its own (half the root of its rows, ``MAX_PIVOTS`` at most), each with a radius. A
+    query first visits the nearest cells that hold ``k`` rows together. The k-th distance found there closes
+    every cell whose pivot is farther than that distance and the radius together, by the triangle
+    inequality; the others are visited in a second round. Cosine distances are pruned as lengths between unit vectors.
+
+    Cells meet their queries by key, in parts of about ``rows_per_part`` rows and blocks of about
+    ``queries_per_block`` queries, so a cell or a query that fills a third of a table is spread. The driver holds
+    the pivots and a count and radius for each. ``counts`` receives the number of pairs ``compared`` and of
+    ``all`` pairs.
+
+    Ids must differ between the two tables by column name. Vectors whose length is not ``dim`` are an error.
+    Null and non-finite cells are allowed: such rows (for cosine also zero vectors) have no distance and rank
+    last, by id, for every query, and such a query has the ``k`` lowest ids without a distance.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     spark = corpus.sparkSession
     asked = queries.select(F.col(query_id).alias(_QUERY), check_dim(F.col(query_vector), dim).alias(_VECTOR))
     known = corpus.select(F.col(id).alias(_MATCH), check_dim(F.col(vector), dim).alias(_VECTOR))
-    types = {_QUERY: asked.schema[_QUERY].dataType, _MATCH: known.schema[_MATCH].dataType}
-    schema = f"{_QUERY} {types[_QUERY].simpleString()}, {_MATCH} {types[_MATCH].simpleString()}, distance double"
-
-    few = asked.limit(max_shared_queries + 1).toArrow()
-    if few.num_rows <= max_shared_queries:
-        shared = spark.sparkContext.broadcast(
-            (few[_QUERY].to_numpy(), _matrix(few[_VECTOR], dim).astype("f8"))
+    query_type, match_type = asked.schema[_QUERY].dataType, known.schema[_MATCH].dataType
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = work_dir(spark, "knn")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    pivots = _pick_pivots(known, known.count(), dim, metric)
+    schema = T.StructType([*known.schema.fields, T.StructField(_CELL, T.IntegerType()), T.StructField(_GAP, T.DoubleType())])
+    cells = kept(known.mapInArrow(_to_cells(pivots, dim, metric), schema))
+    rows, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in cells.where(F.col(_CELL) >= 0).groupBy(_CELL).agg(F.count("*").alias("n"), F.max(_GAP).alias("gap")).collect():
+        rows[r[_CELL]], radius[r[_CELL]] = r["n"], r["gap"]
+    visit = _to_visit(pivots, radius, rows, k, dim, metric)
+    visits_schema = T.StructType([*asked.schema.fields, T.StructField(_CELLS, T.ArrayType(T.IntegerType()))])
+    pair_schema = T.StructType([
+        T.StructField(_QUERY, query_type), T.StructField(_MATCH, match_type), T.StructField(_DISTANCE, T.DoubleType()),
+    ])
+
+    def meet(ask: pa.Table, have: pa.Table) -> pa.Table:
+        if not ask.num_rows or not have.num_rows:
+            return pa.table({_QUERY: ask[_QUERY][:0], _MATCH: have[_MATCH][:0], _DISTANCE: pa.array([], pa.float64())})
+        # Rows of one query stay apart by their number; ids come back at the end.
+        found = _batch_nearest(
+            np.arange(ask.num_rows), _matrix(ask[_VECTOR], dim).astype("f8"), np.arange(have.num_rows),
+            _matrix(have[_VECTOR], dim), k, metric,
+        )
+        return pa.table({
+            _QUERY: ask[_QUERY].take(pa.array(found[_QUERY].to_numpy())),
+            _MATCH: have[_MATCH].take(pa.array(found[_MATCH].to_numpy())),
+            _DISTANCE: pa.array(found[_DISTANCE].to_numpy(), from_pandas=True),
+        })
+
+    def compare(visits: DataFrame) -> DataFrame:
+        """The best of each cell visited."""
+        each = visits.select(_QUERY, _VECTOR, F.explode(_CELLS).alias(_CELL))
+        asking = {r[_CELL]: r["n"] for r in each.groupBy(_CELL).agg(F.count("*").alias("n")).collect()}
+        if counts is not None:
+            counts["compared"] = counts.get("compared", 0) + sum(int(rows[c]) * n for c, n in asking.items())
+        deal = spark.createDataFrame(
+            [(c, -(-int(rows[c]) // rows_per_part), -(-n // queries_per_block)) for c, n in asking.items()],
+            f"{_CELL} int, _parts int, _blocks int",
         )
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, points = shared.value
-            best = None
-            for batch in batches:
-                if batch.num_rows == 0 or len(query_ids) == 0:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                found = _batch_nearest(query_ids, points, ids, _matrix(batch.column(1), dim), k, metric)
-                best = found if best is None else _trim(pd.concat([best, found]), k)
-            if best is not None:
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-        found = known.mapInArrow(scan, schema)
-    else:
-        blocks = -(-queries.count() // max_shared_queries)
-        cells = max(1, -(-corpus.count() // rows_per_cell))
-        each_cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-        each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        # The vector is part of the cell's hash: rows that share one id spread over cells.
-        block_of = F.pmod(F.xxhash64(_QUERY, _VECTOR), F.lit(blocks)).cast("int")
-        cell_of = F.pmod(F.xxhash64(_MATCH, _VECTOR), F.lit(cells)).cast("int")
-        left = asked.withColumn("_block", block_of).withColumn("_cell", each_cell)
-        right = known.withColumn("_cell", cell_of).withColumn("_block", each_block)
-
-        def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-            if ask.empty or have.empty:
-                return pd.DataFrame({_QUERY: ask[_QUERY][:0], _MATCH: have[_MATCH][:0], _DISTANCE: []})
-            points, rows = (np.array([np.asarray(v, "f8") for v in side[_VECTOR]]) for side in (ask, have))
-            return _batch_nearest(
-                ask[_QUERY].to_numpy(), points.astype("f8"), have[_MATCH].to_numpy(), rows, k, metric
-            )
+        def every(n: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-        found = left.groupBy("_block", "_cell").cogroup(right.groupBy("_block", "_cell")).applyInPandas(meet, schema)
+        # The vector is part of the hash: rows that share one id spread over parts.
+        left = each.join(deal, _CELL).withColumn("_block", F.pmod(F.xxhash64(_QUERY, _VECTOR), "_blocks").cast("int"))
+        right = cells.join(deal, _CELL).withColumn("_part", F.pmod(F.xxhash64(_MATCH, _VECTOR), "_parts").cast("int"))
+        left = left.select(_QUERY, _VECTOR, _CELL, "_block", every("_parts").alias("_part"))
+        right = right.select(_MATCH, _VECTOR, _CELL, "_part", every("_blocks").alias("_block")).sortWithinPartitions(_MATCH)
+        keys = (_CELL, "_part", "_block")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b.sort_by(_MATCH)), pair_schema)
 
     place = Window.partitionBy(_QUERY).orderBy(F.col(_DISTANCE).asc_nulls_last(), _MATCH)
+    first = kept(asked.mapInArrow(visit, visits_schema))
+    found = kept(compare(first))
+    limits = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select(
+        F.col(_QUERY).alias("_limited"), F.col(_DISTANCE).alias("_limit"))
+    limited = first.join(limits, F.col(_QUERY).eqNullSafe(F.col("_limited")), "left").select(_QUERY, _VECTOR, "_limit")
+    second = kept(limited.mapInArrow(visit, visits_schema))
+    found = found.unionByName(compare(second))
+
+    # What has no distance follows in the order of ids: k of them at most.
+    lost = cells.where(F.col(_CELL) < 0)
+    behind = [r[_MATCH] for r in lost.select(_MATCH).orderBy(_MATCH).limit(k).collect()] if rows.sum() < k else []
+    lowest = [r[_MATCH] for r in cells.select(_MATCH).orderBy(_MATCH).limit(k).collect()]
+    no_place = F.size(_CELLS) == 0
+    for ids, who in ((behind, ~no_place), (lowest, no_place)):
+        if ids:
+            listed = F.array(*(F.lit(i) for i in ids)).cast(T.ArrayType(match_type))
+            found = found.unionByName(first.where(who).select(
+                _QUERY, F.explode(listed).alias(_MATCH), F.lit(None).cast("double").alias(_DISTANCE)))
+    if counts is not None:
+        counts["all"] = first.count() * int(rows.sum())
     return (
         found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
         .select(F.col(_QUERY).alias(query_id), F.col(_MATCH).alias(id), _DISTANCE, "rank")

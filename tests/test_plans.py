@@ -99,7 +99,7 @@ def test_searches_have_no_cross_join(spark, sf_dir):
     single = plan(nearest(vectors, [0.0] * 64, 3, id="vec_id", vector="embedding"))
     assert "TakeOrderedAndProject" in single and "Exchange" not in single
     queries = vectors.withColumnRenamed("vec_id", "query_id")
-    for limits in ({}, {"max_shared_queries": 10}):
+    for limits in ({}, {"queries_per_block": 10}):
         text = plan(knn_join(
             queries, vectors, 3, query_id="query_id", id="vec_id", query_vector="embedding", vector="embedding", dim=64, **limits
         ))

@@ -42,7 +42,7 @@ def points():
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("limits", [{}, {"max_shared_queries": 16, "rows_per_cell": 50}])
+@pytest.mark.parametrize("limits", [{}, {"queries_per_block": 16, "rows_per_part": 50}])
 @pytest.mark.parametrize("k", [1, 5, 500])
 def test_knn_join_equals_brute_force(spark, points, metric, limits, k):
     queries, corpus = points
@@ -65,7 +65,7 @@ def test_knn_join_with_nothing_to_compare(spark, points):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("limits", [{}, {"max_shared_queries": 2, "rows_per_cell": 2}])
+@pytest.mark.parametrize("limits", [{}, {"queries_per_block": 2, "rows_per_part": 2}])
 def test_knn_join_ranks_what_has_no_distance_last(spark, metric, limits):
     nan, one = float("nan"), [1.0] * DIM
     corpus = [(1, [nan] + one[1:]), (2, one), (3, [None] + one[1:]), (4, [float("inf")] * DIM), (5, [2.0] * DIM), (5, one)]
@@ -81,7 +81,7 @@ def test_knn_join_ranks_what_has_no_distance_last(spark, metric, limits):
     assert by_query[2] == by_query[3] == [(1, False), (2, False), (3, False), (4, False)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_shared_queries": 1}])
+@pytest.mark.parametrize("limits", [{}, {"queries_per_block": 1}])
 def test_wrong_width_is_an_error(spark, limits):
     q = spark.createDataFrame([(1, [0.0] * DIM), (2, [0.0] * DIM)], "q long, v array<float>")
     c = spark.createDataFrame([(1, [0.0] * DIM), (2, [0.0] * (DIM // 2)), (3, [0.0] * (DIM // 2))], "c long, w array<float>")
@@ -141,3 +141,22 @@ def test_vector_table(spark, tmp_path):
     assert [(r["text"], r["distance"]) for r in found.collect()] == [("a", 0.0)]
     assert found.schema == search_store(spark, "a", str(tmp_path / "none"), 3, dim=2).schema
     assert found.where(F.col("distance") > 0).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_far_cells_are_not_compared(spark, metric):
+    """On clustered vectors a small part of all pairs is compared, and the result is that of all."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, DIM)) * 20
+    corpus = [(i, (centres[i % 40] + rng.standard_normal(DIM) * 0.1).tolist()) for i in range(4000)]
+    queries = [(i, (centres[i % 7] + rng.standard_normal(DIM) * 0.1).tolist()) for i in range(50)]
+    q = spark.createDataFrame(queries, "q long, v array<double>")
+    c = spark.createDataFrame(corpus, "c long, w array<double>")
+    counts = {}
+    found = knn_join(q, c, 5, query_id="q", id="c", query_vector="v", vector="w", dim=DIM, metric=metric, counts=counts).collect()
+    vectors = {i: np.array(v) for i, v in corpus}
+    for i, v in queries[:10]:
+        a, m = np.array(v), np.array(list(vectors.values()))
+        d = np.sqrt(((m - a) ** 2).sum(axis=1)) if metric == "l2" else 1 - (m @ a) / np.linalg.norm(m, axis=1) / np.linalg.norm(a)
+        assert [r["c"] for r in sorted((r for r in found if r["q"] == i), key=lambda r: r["rank"])] == list(np.argsort(d, kind="stable")[:5])
+    assert counts["all"] == 200_000 and counts["compared"] < 0.2 * counts["all"]
