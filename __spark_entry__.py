@@ -14,7 +14,8 @@ _ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(_ROOT))
 
 from pyspark import cloudpickle  # noqa: E402
-from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
+from pyspark.errors import PySparkException  # noqa: E402
+from pyspark.sql import DataFrame, Observation, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -90,7 +91,7 @@ def _mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _mapping_rows(spark, sf_dir)
-    is_new = F.col("origin") == "R"
+    is_new = F.col("origin").eqNullSafe("R")
     return mapping.upsert_mapping(
         rows.where(~is_new).drop("origin"), rows.where(is_new).drop("origin"), ("tenant", "data_type")
     )
@@ -296,14 +297,48 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest by rounded distance and text; a table that is missing adds nothing."""
+    """Gold is built into a vector table, which answers with the distances of the five nearest texts; a table that is
+    missing adds nothing. Sentences of equal distance are many, so the texts themselves are not compared."""
     folder, question = work_dir(spark, "vectors"), "Which route has a critical delay?"
-    sentences = insights_all(_gold(spark, sf_dir))
-    layers.write_vectors(embed_texts(sentences), f"{folder}/vectors")
-    # Ranks of the exact and the rounded distance may differ, so all are asked for.
-    found = pipeline.search_store(spark, question, f"{folder}/vectors", 2**31 - 1)
+    # Gold with rounded numbers, so that the sentences do not depend on the order of summation.
+    for name, df in _gold(spark, sf_dir).items():
+        layers.write_layer(df, layers.run_path(f"{folder}/gold", "rounded", name))
+    layers.publish(spark, f"{folder}/gold", "rounded")
+    pipeline.build_vectors(spark, f"{folder}/gold", f"{folder}/vectors")
+    found = pipeline.search_store(spark, question, f"{folder}/vectors", 5)
     found = found.unionByName(pipeline.search_store(spark, question, f"{folder}/missing", 5))
-    return found.withColumn("distance", F.round("distance", 6)).orderBy("distance", "text").limit(5)
+    by_distance = Window.orderBy("distance", "text")  # five rows
+    return found.where("text is not null").select(
+        F.row_number().over(by_distance).alias("rank"), F.round("distance", 5).alias("distance"))
+
+
+def _vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table as published, by a build that succeeds and one that fails after it."""
+    path = f"{work_dir(spark, 'vector-table')}/vectors"
+    sentences = insights_all(_gold(spark, sf_dir))
+    layers.write_vectors(embed_texts(sentences, dim=_VECTOR_DIM), path, _VECTOR_DIM)
+    try:
+        layers.write_vectors(embed_texts(sentences, dim=_VECTOR_DIM), path, _VECTOR_DIM + 1)
+    except PySparkException:
+        pass  # the table stays
+    table = layers.read_vectors(spark, path)
+    return table.select("table_name", "text", F.size("vector").alias("cells"))
+
+
+def _failed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that passes its checks and is published, and one that fails them and is not."""
+    silver = work_dir(spark, "gate")
+    tables = {name: _silver(spark, sf_dir, name) for name in layers.SILVER_TABLES}
+    first = pipeline.write_silver(spark, tables, silver, _BOUNDS)
+    try:
+        pipeline.write_silver(spark, tables, silver, pipeline.RowBounds(max_sales=1))
+        failed = False
+    except checks.ChecksFailed:
+        failed = True
+    stays = layers.current_run(spark, silver) == first
+    sales = layers.read_silver(spark, silver, "sales_enriched")
+    return sales.agg(F.count("*").alias("sales_rows")).select(
+        F.lit(failed).alias("failed"), F.lit(stays).alias("first_stays"), "sales_rows")
 
 
 def _semantic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,6 +470,8 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "semantic_search_batch": _semantic_batch,
         "validate_sales_bounds": _sales_bounds,
         "checks_gate": _gate,
+        "failed_run": _failed_run,
+        "vector_table": _vector_table,
         "step_counts": _step_counts,
         "gold_sentinel": _sentinel,
         "extract_headers_folder": _folder_headers,

@@ -29,7 +29,6 @@ from ledgerlift.sources.layers import (
     SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish, read_gold, read_silver,
     read_vectors, run_path, write_layer, write_vectors,
 )
-from ledgerlift.sources.shared import read_if_present
 
 log = logging.getLogger(__name__)
 
@@ -222,7 +221,7 @@ def load_gold_context(spark: SparkSession, gold: str) -> DataFrame | None:
 def build_vectors(
     spark: SparkSession, gold: str, vectors: str, *, embedder: Embedder | None = None, dim: int = EMBEDDING_DIM
 ) -> None:
-    """Replace the vector table by the embedded insight sentences of Gold."""
+    """Publish the embedded insight sentences of Gold as the new vector table."""
     sentences = insights_all(read_gold(spark, gold))
     write_vectors(embed_texts(sentences, embedder=embedder, dim=dim), vectors, dim)
 
@@ -238,7 +237,8 @@ def search_store(
     nothing = spark.createDataFrame([], VECTOR_SCHEMA).select(
         "text", "table_name", F.lit(None).cast("double").alias("distance")
     )
-    if read_if_present(spark, vectors) is None:
+    run_id = current_run(spark, vectors)
+    if run_id is None:
         return nothing
     question = spark.createDataFrame([(query,)], "text string")
     try:
@@ -246,7 +246,7 @@ def search_store(
     except PythonException as problem:  # the embedder's; a failing cluster is no empty answer
         log.warning("query not embedded: %s", problem)
         return nothing
-    return semantic_search(read_vectors(spark, vectors), point, limit, metric)
+    return semantic_search(read_vectors(spark, vectors, run_id), point, limit, metric)
 
 
 def run_all(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -13,9 +15,11 @@ from ledgerlift.functions.vectors import check_dim
 from ledgerlift.operators.gold import GOLD_TABLES, sorted_gold
 from ledgerlift.operators.mapping import MAPPING_SCHEMA, upsert_mapping
 from ledgerlift.schemas import EMBEDDING_DIM
+from ledgerlift.sources.commits import CommitLog, Conflict
 from ledgerlift.sources.shared import read_if_present
 
-MAPPING_FILE = "field_mapping.json"
+MAPPING_FILE, MAPPING_VERSIONS = "field_mapping.json", "field_mapping.versions"
+_ATTEMPTS = 50
 SILVER_TABLES = ("sales_enriched", "controlling_enriched", "delivery_enriched")
 
 _CONFIG_SCHEMA = "map<string, struct<file: string, mapping: array<struct<header: string, canonical: string>>>>"
@@ -38,30 +42,25 @@ def run_path(folder: str, run_id: str, table: str) -> str:
     return f"{folder}/run={run_id}/{table}"
 
 
-def _listing(spark: SparkSession, folder: str) -> DataFrame | None:
-    return read_if_present(spark, f"{folder}/published")
+def _published_runs(spark: SparkSession, folder: str) -> CommitLog:
+    return CommitLog(spark, f"{folder}/published")
 
 
-_ORDER = ("number", "published_at", "run_id")
+def publish(spark: SparkSession, folder: str, run_id: str) -> int:
+    """List a complete run as published, and return its number. This one small file makes all its tables
+    current at once, with no renaming or copying of data, so it also holds on object stores.
 
-
-def publish(spark: SparkSession, folder: str, run_id: str) -> None:
-    """List a complete run as published. This one small write makes all its tables current at once,
-    with no renaming or copying of data, so it also holds on object stores.
-
-    Runs are numbered in the order of publishing, so that order does not hang on the drivers' clocks.
+    Runs are numbered in the order of publishing. A number is taken by one driver only; of two that
+    publish at a time, one comes after the other.
     """
-    listed = _listing(spark, folder)
-    number = 1 if listed is None else listed.agg(F.max("number")).first()[0] + 1
-    row = [(run_id, number, datetime.now(timezone.utc).replace(tzinfo=None))]
-    listing = spark.createDataFrame(row, "run_id string, number bigint, published_at timestamp_ntz")
-    listing.coalesce(1).write.mode("append").parquet(f"{folder}/published")
+    entry = {"run_id": run_id, "published_at": datetime.now(timezone.utc).isoformat()}
+    return _published_runs(spark, folder).add(json.dumps(entry))
 
 
 def current_run(spark: SparkSession, folder: str) -> str | None:
     """The run published last, or None."""
-    listing = _listing(spark, folder)
-    return None if listing is None else listing.agg(F.max_by("run_id", F.struct(*_ORDER))).first()[0]
+    last = _published_runs(spark, folder).last()
+    return None if last is None else json.loads(last[1])["run_id"]
 
 
 def drop_runs(spark: SparkSession, folder: str, keep: int) -> list[str]:
@@ -71,11 +70,7 @@ def drop_runs(spark: SparkSession, folder: str, keep: int) -> list[str]:
     """
     if keep < 1:
         raise ValueError("keep at least the current run")
-    listing = _listing(spark, folder)
-    if listing is None:
-        return []
-    # One row per run ever published.
-    runs = [r["run_id"] for r in listing.orderBy(*(F.desc(c) for c in _ORDER)).select("run_id").collect()]
+    runs = [json.loads(content)["run_id"] for _, content in reversed(_published_runs(spark, folder).entries())]
     dropped = []
     for run_id in runs[keep:]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/run={run_id}")
@@ -166,44 +161,71 @@ def mapping_document(mapping: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _mapping_versions(spark: SparkSession, config: str) -> CommitLog:
+    return CommitLog(spark, f"{config}/{MAPPING_VERSIONS}")
+
+
+def _mapping_text(spark: SparkSession, config: str) -> tuple[int, DataFrame | None]:
+    """The number and text of the version in force. The plain file counts as version 0."""
+    last = _mapping_versions(spark, config).last()
+    if last is not None:
+        return last[0], spark.createDataFrame([(last[1],)], "value string")
+    return 0, read_if_present(spark, f"{config}/{MAPPING_FILE}", "text", wholetext=True)
+
+
 def load_mapping(spark: SparkSession, config: str, *, strict: bool = False) -> DataFrame | None:
-    """The confirmed mapping as rows ``MAPPING_SCHEMA``; None when there is no mapping file."""
-    text = read_if_present(spark, f"{config}/{MAPPING_FILE}", "text", wholetext=True)
+    """The confirmed mapping as rows ``MAPPING_SCHEMA``; None when there is none.
+
+    That is the version saved last, or before any is saved the file ``field_mapping.json``.
+    """
+    text = _mapping_text(spark, config)[1]
     return None if text is None else parse_mapping(text, strict=strict)
 
 
-def save_mapping(mapping: DataFrame, config: str) -> None:
-    """Replace the mapping file by the given rows.
+def save_mapping(mapping: DataFrame, config: str, *, after: int | None = None) -> int:
+    """Save the given rows as the next version of the mapping and return its number; older versions stay.
 
-    It is a control file of a few dozen rows; they pass through the driver because the rows may
-    come from the very file that is replaced.
+    With ``after``, the version that the rows were made from, it is an error (``Conflict``) if another
+    was saved since. A mapping is a control document of a few dozen rows; they pass through the driver.
     """
     document = mapping_document(mapping).collect()
-    mapping.sparkSession.createDataFrame(document, "value string").coalesce(1).write.mode("overwrite").text(
-        f"{config}/{MAPPING_FILE}"
-    )
+    content = document[0]["value"] if document else "{}"
+    return _mapping_versions(mapping.sparkSession, config).add(content, after)
 
 
 def confirm_mapping(
     spark: SparkSession, config: str, data_type: str, file: str,
     mapping: Sequence[tuple[str, str | None]],
-) -> None:
-    """Store the reviewed mapping of one data type and keep the other types' entries."""
+) -> int:
+    """Store the reviewed mapping of one data type, keep the other types' entries, and return the version.
+
+    Where another reviewer saved meanwhile, their version is read and the entry is put into that.
+    """
     rows = [(data_type, file, i, header, canonical) for i, (header, canonical) in enumerate(mapping)]
     new = spark.createDataFrame(rows or [(data_type, file, None, None, None)], MAPPING_SCHEMA)
-    old = load_mapping(spark, config)
-    save_mapping(new if old is None else upsert_mapping(old, new), config)
+    for _ in range(_ATTEMPTS):
+        version, text = _mapping_text(spark, config)
+        merged = new if text is None else upsert_mapping(parse_mapping(text), new)
+        try:
+            return save_mapping(merged, config, after=version)
+        except Conflict:
+            continue
+    raise Conflict(f"{_ATTEMPTS} others saved a mapping in {config} meanwhile")
 
 
 # --- Vectors ---------------------------------------------------------------------------------
 
-def write_vectors(df: DataFrame, path: str, dim: int = EMBEDDING_DIM) -> None:
-    """Replace the vector table. A vector of another length fails the write."""
+def write_vectors(df: DataFrame, path: str, dim: int = EMBEDDING_DIM) -> str:
+    """Publish a new vector table as a run and return the run's id. A vector of another length fails the
+    write; readers then keep the table published before."""
+    run_id = uuid.uuid4().hex
     checked = df.withColumn("vector", check_dim(F.col("vector"), dim))
-    write_layer(checked.select("text", "table_name", "vector"), path)
+    write_layer(checked.select("text", "table_name", "vector"), run_path(path, run_id, "vectors"))
+    publish(df.sparkSession, path, run_id)
+    return run_id
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table; without one, an empty table."""
-    found = read_if_present(spark, path)
-    return spark.createDataFrame([], VECTOR_SCHEMA) if found is None else found
+def read_vectors(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """The vector table of one run, by default the one published last; without any, an empty table."""
+    run_id = run_id or current_run(spark, path)
+    return spark.createDataFrame([], VECTOR_SCHEMA) if run_id is None else spark.read.parquet(run_path(path, run_id, "vectors"))

@@ -172,7 +172,7 @@ _NAMES = """
         lambda n: n <> '') as names
       from lines)"""
 _MAPPING = ("mapping_rows", plain_sql(MAPPING_ROWS))
-_OLD = ("old", "select tenant, data_type, file, header, canonical from mapping_rows where origin <> 'R'")
+_OLD = ("old", "select tenant, data_type, file, header, canonical from mapping_rows where origin is distinct from 'R'")
 _NEW = ("new", "select tenant, data_type, file, header, canonical from mapping_rows where origin = 'R'")
 
 
@@ -393,12 +393,14 @@ def oracle_sql() -> dict[str, str]:
         ) + "select id as doc_id, distance from closest",
         "search_store": _closest(
             "select text as id, text from insights", "select 0 as id, 'Which route has a critical delay?' as text", 5,
-        ) + "select id as text, table_name, distance from closest join insights on id = text",
+        ) + "select row_number() over (order by distance, id) as rank, round(distance, 5) as distance from closest",
         "semantic_search_batch": _SEARCH_BATCH,
         "validate_sales_bounds": silver + "select b.bounds, n >= b.low and (b.high is null or n <= b.high) as passed, "
         "'fail' as severity from (select count(*) as n from sales_enriched), (values ('wide', 500, 1000000000000), "
         "('low', 1, 10), ('high', 1000000000000, null)) b(bounds, low, high)",
         "checks_gate": _GATE,
+        "failed_run": silver + "select true as failed, true as first_stays, count(*) as sales_rows from sales_enriched",
+        "vector_table": _with(*_GOLD, _ALL_INSIGHTS) + "select table_name, text, 64 as cells from insights",
         "step_counts": silver + "\nunion all\n".join(
             f"select '{step}' as step, count(*) as n_rows from {source}" for step, source in _STEPS.items()
         ),
