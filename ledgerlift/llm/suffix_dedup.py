@@ -212,7 +212,15 @@ def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFr
     ))
 
 
-def _remove(length: int):
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words that lie in a span of a text with both of their ends."""
+    n = len(data[start:end].split())
+    cut_before = start > 0 and not data[start - 1:start].isspace() and not data[start:start + 1].isspace()
+    cut_behind = end < len(data) and not data[end:end + 1].isspace() and not data[end - 1:end].isspace()
+    return n - max(cut_before, cut_behind) if n == 1 else n - cut_before - cut_behind
+
+
+def _remove(length: int, min_words: int):
     """Spans removed, and what is left, of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -230,6 +238,8 @@ def _remove(length: int):
                             own[-1] = (own[-1][0], max(own[-1][1], h["last"] + length))
                         else:
                             own.append((h["first"], h["last"] + length))
+                if min_words:
+                    own = [s for s in own if whole_words(data, *s) >= min_words]
                 rest, at = [], 0
                 for a, b in own:
                     rest.append(data[at:a])
@@ -251,9 +261,12 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, *, min_bytes: int = 400, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, min_bytes: int = 400, min_words: int = 0, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """The documents without the bytes covered by strings of ``min_bytes`` bytes that also start elsewhere
-    in the corpus, in the same document or another; overlaps count, and no string crosses documents.
+    in the corpus, in the same document or another; overlaps count, and no string crosses documents. With
+    ``min_words`` a run of such bytes that holds fewer whole words stays.
 
     Returns the columns of ``docs`` with the text replaced, and ``n_bytes``, ``spans`` (array of (start,
     end) in bytes, maximal removed runs) and ``kept_sha256`` (of the remaining bytes), which replace
@@ -322,7 +335,7 @@ def remove_repeats(docs: DataFrame, *, min_bytes: int = 400, id: str = "doc_id",
     schema = schema_of(
         keyed, ["row"], "kept string, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
     )
-    done = joined.select("row", "text", "hits", "copies").mapInArrow(_remove(min_bytes), schema)
+    done = joined.select("row", "text", "hits", "copies").mapInArrow(_remove(min_bytes, min_words), schema)
     kept = [
         F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added
     ]
