@@ -79,21 +79,36 @@ def n_best(unit: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     """The ``n`` best segmentations of a unit, best first, as (log probability, ids).
 
     Forward Viterbi gives the best score of every prefix. A* runs backward from the end with these as
-    its heuristic; as it is exact, hypotheses leave the queue in the order of their full scores.
+    its heuristic; as it is exact, hypotheses leave the queue in the order of their full scores. No place is
+    expanded more than ``n`` times, as no more of the suffixes from there can be in the ``n`` best; so ties do not
+    branch without end. Hypotheses point back to the one they lengthen.
     """
     lattice = arcs_of(unit, pieces)
     forward = [0.0]
     for arcs in lattice[1:]:
         forward.append(max(forward[start] + score for start, _, score in arcs))
-    queue = [(-forward[-1], (), len(unit), 0.0)]
-    found = []
+    # (negative full score, number, place, score behind it, ids added, hypothesis lengthened)
+    queue = [(-forward[-1], 0, len(unit), 0.0, (), None)]
+    expanded = [0] * (len(unit) + 1)
+    found, number = [], 0
     while queue and len(found) < n:
-        _, ids, place, behind = heapq.heappop(queue)
+        best = heapq.heappop(queue)
+        _, _, place, behind, _, _ = best
         if place == 0:
-            found.append((behind, ids))
+            ids: list[int] = []
+            step = best
+            while step is not None:
+                ids += step[4]
+                step = step[5]
+            found.append((behind, tuple(ids)))
             continue
+        if expanded[place] == n:
+            continue
+        expanded[place] += 1
         for start, own, score in lattice[place]:
-            heapq.heappush(queue, (-(forward[start] + score + behind), own + ids, start, score + behind))
+            if expanded[start] < n:
+                number += 1
+                heapq.heappush(queue, (-(forward[start] + score + behind), number, start, score + behind, own, best))
     return found
 
 
@@ -122,8 +137,9 @@ class Viterbi:
     def _slot(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def _lattice(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For units of one size: scores and ids of the pieces by length less one, start and unit.
+    def _lattice(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """For units of one size: the lengths of the pieces in them from 1 on, and scores and ids by length, start
+        and unit.
 
         Where no piece is, the score is minus infinity. A character that is no piece has the negative id
         -1 - code, for its bytes.
@@ -132,7 +148,7 @@ class Viterbi:
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T
         chars = np.ascontiguousarray(chars).astype(np.uint64) + np.uint64(1)
         longest = min(size, self.pieces.longest)
-        scores, ids = np.full((longest, size, n), -np.inf), np.zeros((longest, size, n), np.int32)
+        lengths, scores, ids = [], [], []
         h = np.zeros((size, n), np.uint64)
         for length in range(1, longest + 1):
             h = h[:size - length + 1] * _PRIME + chars[length - 1:]
@@ -140,53 +156,57 @@ class Viterbi:
             maybe = np.flatnonzero(self.filter[self._slot(flat)])
             place = np.minimum(np.searchsorted(self.hashes, flat[maybe]), len(self.hashes) - 1)
             hit = self.hashes[place] == flat[maybe]
+            if length > 1 and not hit.any():
+                continue
             at = np.divmod(maybe[hit], n)
-            scores[length - 1][at] = self.scores[place[hit]]
-            ids[length - 1][at] = self.piece_ids[place[hit]]
+            lengths.append(length)
+            scores.append(np.full((size, n), -np.inf))
+            ids.append(np.zeros((size, n), np.int32))
+            scores[-1][at] = self.scores[place[hit]]
+            ids[-1][at] = self.piece_ids[place[hit]]
         odd = np.isinf(scores[0])
         code = chars[odd].astype(np.int64) - 1
         in_bytes = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
         scores[0][odd] = in_bytes * self.pieces.byte_score
         ids[0][odd] = -1 - code
-        return scores, ids
+        return lengths, np.stack(scores), np.stack(ids)
 
     def _best_of_one_size(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size, n = len(units[0]), len(units)
-        scores, ids = self._lattice(units)
-        longest = len(scores)
+        lengths, scores, ids = self._lattice(units)
+        length_of = np.array(lengths)
         there = np.isfinite(scores).any(axis=2)
         forward, backward = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
         forward[0], backward[size] = 0.0, 0.0
         chosen = np.zeros((size + 1, n), np.int8)
         for end in range(1, size + 1):
-            for length in range(1, min(longest, end) + 1):
-                if there[length - 1, end - length]:
-                    value = forward[end - length] + scores[length - 1, end - length]
+            for row, length in enumerate(lengths):
+                if length <= end and there[row, end - length]:
+                    value = forward[end - length] + scores[row, end - length]
                     better = value > forward[end]
                     np.copyto(forward[end], value, where=better)
-                    np.copyto(chosen[end], length, where=better)
+                    np.copyto(chosen[end], row, where=better)
         for start in range(size - 1, -1, -1):
-            for length in range(1, min(longest, size - start) + 1):
-                if there[length - 1, start]:
-                    np.maximum(backward[start], scores[length - 1, start] + backward[start + length], out=backward[start])
+            for row, length in enumerate(lengths):
+                if there[row, start]:
+                    np.maximum(backward[start], scores[row, start] + backward[start + length], out=backward[start])
 
         steps = []
         at, unit = np.full(n, size), np.arange(n)
         while len(at):
-            length = chosen[at, unit].astype(np.int64)
-            at = at - length
+            row = chosen[at, unit].astype(np.int64)
+            at = at - length_of[row]
             own = np.full(n, _NO_PIECE, np.int32)
-            own[unit] = ids[length - 1, at, unit]
+            own[unit] = ids[row, at, unit]
             steps.append(own)
-            scores[length - 1, at, unit] = -np.inf  # what is left leads off the best path
+            scores[row, at, unit] = -np.inf  # what is left leads off the best path
             going = at > 0
             at, unit = at[going], unit[going]
         second = np.full(n, -np.inf)
-        for length in range(1, longest + 1):
+        for row, length in enumerate(lengths):
             upto = size - length + 1
-            if there[length - 1].any():
-                through = forward[:upto] + scores[length - 1, :upto] + backward[length:]
-                np.maximum(second, through.max(axis=0), out=second)
+            through = forward[:upto] + scores[row, :upto] + backward[length:]
+            np.maximum(second, through.max(axis=0), out=second)
         path = np.stack(steps[::-1], axis=1)
         real = path != _NO_PIECE
         flat, counts = path[real], real.sum(axis=1)
