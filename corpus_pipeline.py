@@ -9,50 +9,57 @@ from ledgerlift.llm.common import stored
 from ledgerlift.llm.jaccard_join import near_duplicates
 from ledgerlift.llm.line_dedup import dedupe_lines
 from ledgerlift.llm.packing import pack_documents
-from ledgerlift.llm.passage_dedup import remove_passages
 from ledgerlift.llm.suffix_dedup import remove_repeats
 from ledgerlift.llm.toxicity import fit_toxicity
 
 CAPACITY = 8192  # bytes of a bin
-PASSAGE_WORDS = 51  # a passage of so many words stands once
+PASSAGE_WORDS = 51  # a passage of so many words stands once,
+PASSAGE_BYTES = 200  # if it is as long as this: 51 words of three letters or more are
+
+
+def _bare(docs: DataFrame) -> DataFrame:
+    """Id and text, and the other columns out of the operators' way, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(True)).alias("carried"))
+
+
+def _whole(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``_bare`` with the columns of ``docs`` and the text as it is now."""
+    return done.select(*(c if c in ("doc_id", "text") else F.col(f"carried.`{c}`") for c in docs.columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not take for toxic."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, docs.columns).where("predicted = 0").select(*_own(docs))
+    """Documents that the classifier does not take for toxic.
+
+    As in all stages, other columns keep their values, whatever their names; null and empty texts and
+    rows that repeat are documents like any other, and an empty table gives no rows.
+    """
+    bare = _bare(docs)
+    model = fit_toxicity(bare, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _whole(model.score(bare, bare.columns).where("predicted = 0"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that stood earlier; those of which nothing is left go."""
-    done = dedupe_lines(docs)
-    return done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
+    done = dedupe_lines(_bare(docs))
+    return _whole(done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near duplicates; of rows equal in id and text, one."""
-    found = near_duplicates(docs)
+    bare = _bare(docs).withColumn("k", F.xxhash64("text"))
+    found = near_duplicates(bare)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("k") == F.col("group_k"))).select(
         F.col("doc_id").alias("first_id"), F.col("k").alias("first_k")
     )
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(
-        first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_text_hash") == F.col("first_k")), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*_own(docs))
+    kept = bare.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("k") == F.col("first_k")), "left_semi")
+    return _whole(kept.dropDuplicates(["doc_id", "k"]), docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without long passages that stand more than once; those of which nothing is left go."""
-    done = remove_repeats(docs)
-    return done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
-
-
-def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of over 50 words that stand more than once, which are often too short in
-    bytes for the stage before; those of which nothing is left go."""
-    done = remove_passages(docs, words=PASSAGE_WORDS)
-    return done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")).select(*_own(docs))
+    """Documents without passages of over 50 words that stand more than once; those of which nothing is left go."""
+    done = remove_repeats(_bare(docs), min_bytes=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
+    return _whole(done.where((F.size("spans") == 0) | F.col("text").rlike(r"\S")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,16 +69,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def _own(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES = [
     ("toxicity", toxicity),
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", near_dedup),
     ("suffix-array dedup", suffix_dedup),
-    ("passage dedup", passage_dedup),
     ("best-fit packing", packing),
 ]
 
