@@ -25,6 +25,11 @@ def stages(spark, sf_dir, tmp_path_factory):
     return found
 
 
+def test_stages_are_those_dealt():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "line dedup", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
+
+
 def test_columns_stay(stages):
     for name, (_, _, before, after) in list(stages.items())[:-1]:
         assert before == after, name
@@ -69,58 +74,40 @@ def test_near_dedup(stages):
     assert sorted(r["doc_id"] for r in after) == [i for i in ids if top[i] == i]
 
 
-def test_suffix_dedup(stages):
-    before, after, *_ = stages["suffix-array dedup"]
-    counts = defaultdict(int)
-    for r in before:
-        t = r["text"].encode()
-        for i in range(len(t) - 399):
-            counts[t[i:i + 400]] += 1
+def without_passages(texts, size=corpus_pipeline.PASSAGE_BYTES, least=corpus_pipeline.PASSAGE_WORDS):
+    """Brute force: runs of bytes of strings that stand twice go where they hold enough whole words."""
+    data = {i: t.encode() for i, t in texts.items()}
+    counts = Counter(t[i:i + size] for t in data.values() for i in range(len(t) - size + 1))
     expected = {}
-    for r in before:
-        t = r["text"].encode()
-        gone = set()
-        for i in range(len(t) - 399):
-            if counts[t[i:i + 400]] > 1:
-                gone.update(range(i, i + 400))
-        left = bytes(x for i, x in enumerate(t) if i not in gone).decode("utf-8", "ignore")
-        if not gone or left.strip():
-            expected[r["doc_id"]] = left
-    assert {r["doc_id"]: r["text"] for r in after} == expected
+    for doc_id, t in data.items():
+        gone = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if counts[t[i:i + size]] > 1:
+                gone[i:i + size] = b"\1" * size
+        for run in re.finditer(b"\1+", bytes(gone)):
+            words = sum(1 for w in re.finditer(rb"\S+", t) if run.start() <= w.start() and w.end() <= run.end())
+            if words < least:
+                gone[run.start():run.end()] = bytes(len(run.group()))
+        left = bytes(x for x, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if not any(gone) or left.strip():
+            expected[doc_id] = left
+    return expected
 
 
-def test_passage_dedup(stages):
-    before, after, *_ = stages["passage dedup"]
+def test_suffix_dedup(stages):
+    before, after, *_ = stages["suffix-array dedup"]
     assert {r["doc_id"]: r["text"] for r in after} == without_passages({r["doc_id"]: r["text"] for r in before})
 
 
-def without_passages(texts, width=51):
-    """Brute force: every window of words that stands twice goes."""
-    words = {i: list(re.finditer(r"\S+", t)) for i, t in texts.items()}
-    counts = Counter(
-        tuple(m.group() for m in w[j:j + width]) for w in words.values() for j in range(len(w) - width + 1)
-    )
-    expected = {}
-    for i, w in words.items():
-        gone = set()
-        for j in range(len(w) - width + 1):
-            if counts[tuple(m.group() for m in w[j:j + width])] > 1:
-                gone.update(range(w[j].start(), w[j + width - 1].end()))
-        left = "".join(x for k, x in enumerate(texts[i]) if k not in gone)
-        if not gone or left.strip():
-            expected[i] = left
-    return expected
-
-
 def test_planted_passages(spark, sf_dir):
-    """Passages of 51 words under 400 bytes, on one line of documents that share nothing else."""
+    """Passages of 51 words from 203 bytes on, on one line of documents that share nothing else."""
     rng = random.Random(1)
 
     def words(n, letters):
         return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=letters)) for _ in range(n))
 
-    passages = [words(51, n) for n in (2, 4, 5, 6)]
-    assert [len(p) for p in passages] == [152, 254, 305, 356]
+    passages = [words(51, n) for n in (3, 4, 5, 6)]
+    assert [len(p) for p in passages] == [203, 254, 305, 356]
     planted = {2 * k + side: p for k, p in enumerate(passages) for side in (0, 1)}
     texts = {i: f"{words(90, 8)} {p} {words(90, 8)}" for i, p in planted.items()}
     short = words(50, 5)
@@ -130,7 +117,8 @@ def test_planted_passages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     left = {r.doc_id: r.text for r in docs.collect()}
-    assert left == {i: t.replace(planted[i], "") if i in planted else t for i, t in texts.items()}
+    assert left == without_passages(texts)
+    assert all((planted[i] not in left[i]) if i in planted else left[i] == t for i, t in texts.items())
 
 
 def test_packing(stages, spark, sf_dir):

@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import heapq
 import math
+import random
 import uuid
 
 import public_tokenizers
@@ -20,6 +22,7 @@ CLASHES = (
     "prediction", "n_lines", "kept", "spans", "hits", "copies", "marked", "ids", "starts", "run_id", "first", "length",
     "part", "cluster", "label", "toxic", "group", "size", "class", "weight", "_text_hash",
 )
+STAGE_CLASHES = (*CLASHES, "first_id", "first_k", "n_bytes", "predicted", "kept_sha256", "n_removed", "carried", "document")
 LONG = " ".join(f"word{i} of{i % 7}" for i in range(30_000))
 LINES = "first line here\nsecond line here\nthird line here\nfourth line here"
 ROWS = [
@@ -233,6 +236,23 @@ def test_pieces(dirty, empty):
     assert pieces.encode_nbest(dirty.where("doc_id = 6"), own, n=1).first().alternatives == []
 
 
+@pytest.mark.parametrize("size", [50, 3000, 100_000])
+def test_pieces_of_long_units(size):
+    """One unbroken unit, of one letter (nothing but ties) and of random letters, against lists of the best."""
+    own = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(size)
+    for unit in ("a" * size, "ab" * (size // 2), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))):
+        found = pieces.n_best(unit, own, 4)
+        tops = [[0.0]]
+        for arcs in pieces.arcs_of(unit, own)[1:]:
+            tops.append(heapq.nlargest(4, (s + score for start, _, score in arcs for s in tops[start])))
+        assert [s for s, _ in found] == pytest.approx(tops[-1], rel=1e-9)
+        assert len({ids for _, ids in found}) == len(found) and all(pieces.decode_ids(ids, own) == unit for _, ids in found)
+        _, ids, counts, best, gap = pieces.Viterbi(own).best([unit])
+        assert best[0] == pytest.approx(tops[-1][0], rel=1e-9) and gap[0] == pytest.approx(tops[-1][0] - tops[-1][1], abs=1e-6 * size)
+        assert pieces.decode_ids(ids.tolist(), own) == unit and counts[0] == len(ids)
+
+
 def test_exact_dedup(spark, dirty, empty):
     def index():
         return exact_dedup.DigestIndex(spark, work_dir(spark, "index"), name=f"t{uuid.uuid4().hex}", buckets=4)
@@ -269,8 +289,13 @@ def test_components(spark):
 
 def test_pipeline_stages(spark, dirty, empty, tmp_path):
     spark.createDataFrame([(1, 0), (6, 1)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (dirty, empty):
+    more = {c: F.lit(f"{c} column") for c in STAGE_CLASHES}
+    for docs in (dirty.withColumns(more), empty.withColumns(more)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
-            out.collect()
-            assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+            kept = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                assert all(r[c] == f"{c} column" for r in kept for c in STAGE_CLASHES)
+                assert {(r["doc_id"], r["n_chars"], r["source"]) for r in kept} <= {
+                    (i, None if t is None else len(t), "s" if i is not None and i % 3 == 0 else None) for i, t in ROWS}
