@@ -33,7 +33,7 @@ from ledgerlift.plans.adapters import (  # noqa: E402
 from ledgerlift.schemas import EMBEDDING_DIM, KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
 from ledgerlift.sources import bronze, layers  # noqa: E402
 from ledgerlift.sources.shared import work_dir  # noqa: E402
-from ledgerlift.streaming.landing import land_bronze_stream  # noqa: E402
+from ledgerlift.streaming.landing import compact_landed, drop_gathered, land_bronze_stream  # noqa: E402
 
 # Tasks get the library's functions with the job, so nothing has to be installed on the executors.
 cloudpickle.register_pickle_by_value(ledgerlift)
@@ -166,6 +166,18 @@ def _land_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _item_columns(bronze.read_bronze(spark, target))
 
 
+def _land_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports landed one file at a time; the small files are gathered, and the batch landed last is not."""
+    folder = work_dir(spark, "items")
+    items = view(spark, sf_dir, VIEWS["sales_items"]).repartition(4)
+    items.write.option("header", True).option("escape", '"').csv(f"{folder}/items.csv")
+    target = f"{folder}/landed.parquet"
+    land_bronze_stream(spark, f"{folder}/items.csv", target, f"{folder}/checkpoint", max_files_per_batch=1).awaitTermination()
+    compact_landed(spark, target)
+    drop_gathered(spark, target)
+    return _item_columns(bronze.read_bronze(spark, target))
+
+
 _BOUNDS = pipeline.RowBounds(max_sales=None)
 
 
@@ -479,6 +491,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_quoted": _read_quoted,
         "land_bronze": _land_bronze,
         "land_bronze_stream": _land_stream,
+        "land_compacted": _land_compacted,
         "metric_json": _metric_json,
         "pipeline_sales": _pipeline_sales,
         "pipeline_native_sales": _pipeline_native,

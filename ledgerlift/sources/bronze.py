@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ledgerlift.functions.headers import header_names
 from ledgerlift.schemas import LANDED_BATCH, POSITION, ContractError
+from ledgerlift.sources.commits import CommitLog
 from ledgerlift.sources.quoted import quoted_records
 
 # The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''. The
@@ -90,6 +92,27 @@ def _read_quoted(spark: SparkSession, path: str, schema: T.StructType, with_posi
     return whole_records(df, schema, multiline=True)
 
 
+def manifest(spark: SparkSession, target: str) -> CommitLog:
+    """Where the compactions of a landed table are listed."""
+    return CommitLog(spark, f"{target.rstrip('/')}.manifest")
+
+
+def compacted(spark: SparkSession, target: str) -> tuple[int, dict]:
+    """The number of the manifest entry in force (0 for none), the last batch that it covers and its folders."""
+    last = manifest(spark, target).last()
+    return (0, {"upto": -1, "folders": []}) if last is None else (last[0], json.loads(last[1]))
+
+
+def _read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """A landed table: batches that a compaction has gathered are read from its files."""
+    df = spark.read.parquet(path)
+    if LANDED_BATCH not in df.columns:
+        return df
+    _, state = compacted(spark, path)
+    later = df.where(F.col(LANDED_BATCH) > state["upto"]).drop(LANDED_BATCH)
+    return later.unionByName(spark.read.parquet(*state["folders"])) if state["folders"] else later
+
+
 def read_bronze(
     spark: SparkSession, path: str, *, with_position: bool = False, multiline: bool = False
 ) -> DataFrame:
@@ -102,7 +125,7 @@ def read_bronze(
     of keeping their lines once in the shared folder (``quoted_records``).
     """
     if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path).drop(LANDED_BATCH)
+        df = _read_landed(spark, path)
         stored = POSITION in df.columns
         if stored and not with_position:
             return df.drop(POSITION)

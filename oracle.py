@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
         "read_quoted": "select doc_id::varchar as doc_id, source, length(text) as n_chars, sha256(text) as text_sha256 from documents",
         "land_bronze": silver + _ITEM_STRINGS,
         "land_bronze_stream": silver + _ITEM_STRINGS,
+        "land_compacted": silver + _ITEM_STRINGS,
         "metric_json": _METRICS,
         "pipeline_sales": silver + _PIPELINE_SALES,
         "pipeline_native_sales": silver + _PIPELINE_SALES,

@@ -1,9 +1,12 @@
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from ledgerlift.operators.sales import dedupe_first
 from ledgerlift.sources.bronze import land_bronze, read_bronze
-from ledgerlift.streaming.landing import land_bronze_stream
+from ledgerlift.sources.commits import Conflict
+from ledgerlift.streaming import landing
+from ledgerlift.streaming.landing import compact_landed, drop_gathered, land_bronze_stream
 
 
 def test_every_file_is_landed_once(spark, tmp_path):
@@ -46,3 +49,48 @@ def test_stream_refuses_records_that_lose_data(spark, tmp_path):
     query = land_bronze_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp"))
     with pytest.raises(StreamingQueryException, match="more cells"):
         query.awaitTermination()
+
+
+def test_small_files_are_gathered(spark, tmp_path, monkeypatch):
+    source, target, checkpoint = tmp_path / "in", str(tmp_path / "out.parquet"), str(tmp_path / "cp")
+    source.mkdir()
+
+    def land(first, last):
+        for i in range(first, last):
+            (source / f"{i}.csv").write_text(f"id,v\n{i:03},a{i}\n{i:03},b{i}\n")
+        land_bronze_stream(spark, str(source), target, checkpoint, max_files_per_batch=1).awaitTermination()
+
+    def found():
+        return sorted((r["id"], r["v"]) for r in read_bronze(spark, target).collect())
+
+    def expected(n):
+        return [(f"{i:03}", f"{x}{i}") for i in range(n) for x in "ab"]
+
+    land(0, 1)
+    assert compact_landed(spark, target) is None  # the newest batch stays
+    land(1, 6)
+    reader = read_bronze(spark, target)
+    before = reader.count()
+    assert compact_landed(spark, target) == 4 and compact_landed(spark, target) is None
+    assert found() == expected(6) and reader.count() == before == 12
+    files = list((tmp_path / "out.parquet.compacted").glob("*/part-*"))
+    assert len(files) == 1 and read_bronze(spark, target).select(F.input_file_name()).distinct().count() == 2
+    first = dedupe_first(read_bronze(spark, target, with_position=True), "id").collect()
+    assert {r["id"]: r["v"] for r in first} == {f"{i:03}": f"a{i}" for i in range(6)}
+
+    # The newest batch repeated after a failure replaces itself; a compaction that dies lists nothing.
+    again = spark.read.parquet(f"{target}/ledgerlift_batch=5")
+    again.write.parquet(f"{target}.compacted/dead")
+    spark.createDataFrame(again.collect(), again.schema).write.mode("overwrite").parquet(f"{target}/ledgerlift_batch=5")
+    assert found() == expected(6)
+    land(6, 9)
+    assert found() == expected(9)
+    state = landing.compacted(spark, target)
+    assert compact_landed(spark, target) == 7
+    monkeypatch.setattr(landing, "compacted", lambda *_: state)
+    with pytest.raises(Conflict):
+        compact_landed(spark, target)
+    monkeypatch.undo()
+    assert found() == expected(9) and drop_gathered(spark, target) == 8 and found() == expected(9)
+    land(9, 10)
+    assert found() == expected(10)
