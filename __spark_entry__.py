@@ -22,9 +22,11 @@ from pyspark.sql import types as T  # noqa: E402
 import ledgerlift  # noqa: E402
 from ledgerlift.operators import checks, context, mapping  # noqa: E402
 from ledgerlift.operators.embedding import embed_texts  # noqa: E402
-from ledgerlift.operators.gold import GOLD_BUILDERS, GOLD_TABLES, margins_by_cut  # noqa: E402
+from ledgerlift.operators.gold import (  # noqa: E402
+    GOLD_BUILDERS, GOLD_TABLES, margins_by_cut, margins_of_lines, segment_margins,
+)
 from ledgerlift.operators.insights import INSIGHT_BUILDERS, insights_all  # noqa: E402
-from ledgerlift.operators.sales import conform, dedupe_first, enrich_sales  # noqa: E402
+from ledgerlift.operators.sales import add_margins, conform, dedupe_first, enrich_sales, equi_join  # noqa: E402
 from ledgerlift.operators.search import knn_join, nearest  # noqa: E402
 from ledgerlift.plans import pipeline  # noqa: E402
 from ledgerlift.plans.adapters import (  # noqa: E402
@@ -64,6 +66,12 @@ def _silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return enrich_sales(*(_table(spark, sf_dir, part) for part in parts))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines with margins, without their customers."""
+    header, items = (conform(_table(spark, sf_dir, name)) for name in ("sales_header", "sales_items"))
+    return add_margins(equi_join(header, items, "order_id", "inner"))
+
+
 def _gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All Gold tables, written and read back as in a real run.
 
@@ -455,7 +463,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "margin_by_material_usd": lambda s, d: _rounded(
             GOLD_BUILDERS["margin_by_material"](silver(s, d, "sales_enriched"), basis="usd")
         ),
-        "margins_by_cut": lambda s, d: _rounded(margins_by_cut(silver(s, d, "sales_enriched"))),
+        "margin_by_segment": lambda s, d: _rounded(segment_margins(_lines(s, d), _table(s, d, "customer_master"))),
+        "margins_by_cut": lambda s, d: _rounded(margins_of_lines(_lines(s, d), _table(s, d, "customer_master"))),
+        "margins_by_cut_joined": lambda s, d: _rounded(margins_by_cut(silver(s, d, "sales_enriched"))),
         "validate_sales": lambda s, d: checks.validate_sales(silver(s, d, "sales_enriched"), 500, None),
         "validate_controlling": lambda s, d: checks.validate_controlling(silver(s, d, "controlling_enriched")),
         "validate_delivery": lambda s, d: checks.validate_delivery(silver(s, d, "delivery_enriched")),

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlift.schemas import ContractError
+
 
 def _without_nan(name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None))
@@ -173,6 +175,83 @@ def margins_by_cut(sales: DataFrame, basis: str = "local") -> DataFrame:
     return sales.groupingSets(sets, *_CUT_KEYS).agg(label.alias("gold_table"), *measures)
 
 
+def _partial_measures(basis: str) -> list[Column]:
+    """What the margin measures can be put together from, group by group; an average is kept as sum and count."""
+    measures = _measures("sales_enriched", basis)
+    net, cost = {"local": ("net_value", "estimated_cost"), "usd": ("netwr_usd", "estimated_cost_usd")}[basis]
+    return [
+        F.sum("margin_pct").alias("margin_sum"), F.count("margin_pct").alias("margin_count"),
+        F.sum(net).alias("net_sum"), F.sum(cost).alias("cost_sum"),
+        *(measures[m].alias(m) for m in ("min_margin_pct", "max_margin_pct", "squeeze_count", "order_count")),
+    ]
+
+
+def _final_measures() -> dict[str, Column]:
+    return {
+        "avg_margin_pct": F.sum("margin_sum") / F.nullif(F.sum("margin_count"), F.lit(0)),
+        "min_margin_pct": F.min("min_margin_pct"), "max_margin_pct": F.max("max_margin_pct"),
+        "total_net_value_usd": _total("net_sum"), "total_cost_usd": _total("cost_sum"),
+        "squeeze_count": F.sum("squeeze_count"), "order_count": F.sum("order_count"),
+    }
+
+
+_SEGMENT = GOLD_TABLES["margin_by_segment"].keys
+
+
+def _by_segment(partial: DataFrame, customers: DataFrame) -> DataFrame:
+    """Partial measures per customer, joined with the customers' segments and put together by these."""
+    segments = customers.select("customer_id", *_SEGMENT)
+    measures = [c.alias(m) for m, c in _final_measures().items()]
+    return partial.join(segments, "customer_id", "left").groupBy(*_SEGMENT).agg(*measures)
+
+
+def _without_segment(lines: DataFrame) -> DataFrame:
+    present = [c for c in _SEGMENT if c in lines.columns]
+    if present:
+        raise ContractError(f"the lines have {', '.join(present)} already; aggregate them with margins_by_cut")
+    return lines
+
+
+def segment_margins(lines: DataFrame, customers: DataFrame, basis: str = "local") -> DataFrame:
+    """``margin_by_segment`` from lines that were not joined with the customers (unique per id).
+
+    Lines are aggregated per customer first, so one row per customer and task is shuffled, not each line; a
+    customer with a third of all lines is a row like any other. An average is made of sum and count.
+    """
+    partial = _without_segment(lines).groupBy("customer_id").agg(*_partial_measures(basis))
+    table = GOLD_TABLES["margin_by_segment"]
+    return sorted_gold(_by_segment(partial, customers).select(*table.keys, *table.measures), "margin_by_segment")
+
+
+def margins_of_lines(lines: DataFrame, customers: DataFrame, basis: str = "local") -> DataFrame:
+    """``margins_by_cut`` from lines that were not joined with the customers (unique per id).
+
+    One pass aggregates the lines by material, channel, sales organisation and customer; what the
+    customers' rows leave is then joined with the customers. See ``segment_margins``.
+    """
+    own = [n for n in MARGIN_TABLES if n != "margin_by_segment"]
+    keys = [*(k for n in own for k in GOLD_TABLES[n].keys), "customer_id"]
+    place = {n: len(keys) - 1 - i for i, n in enumerate([*own, "margin_by_segment"])}
+    all_bits = (1 << len(keys)) - 1
+    label = F.lit(None).cast("string")
+    for name, bit in place.items():
+        label = F.when(F.grouping_id() == all_bits - (1 << bit), name).otherwise(label)
+    sets = [[F.col(k)] for k in keys]
+    partial = _without_segment(lines).groupingSets(sets, *keys).agg(label.alias("gold_table"), *_partial_measures(basis))
+    measures = _final_measures()
+    whole = partial.where(F.col("gold_table") != "margin_by_segment").select(
+        *keys[:-1], *(F.lit(None).cast(customers.schema[k].dataType).alias(k) for k in _SEGMENT), "gold_table",
+        (F.col("margin_sum") / F.nullif(F.col("margin_count"), F.lit(0))).alias("avg_margin_pct"),
+        "min_margin_pct", "max_margin_pct", F.coalesce("net_sum", F.lit(0.0)).alias("total_net_value_usd"),
+        F.coalesce("cost_sum", F.lit(0.0)).alias("total_cost_usd"), "squeeze_count", "order_count",
+    )
+    by_segment = _by_segment(partial.where(F.col("gold_table") == "margin_by_segment"), customers).select(
+        *(F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in keys[:-1]), *_SEGMENT,
+        F.lit("margin_by_segment").alias("gold_table"), *measures,
+    )
+    return whole.unionByName(by_segment)
+
+
 def pick_cut(cuts: DataFrame, name: str, *, ordered: bool = True) -> DataFrame:
     """One margin table out of ``margins_by_cut``, in its order or in none."""
     table = GOLD_TABLES[name]

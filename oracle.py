@@ -356,6 +356,7 @@ def oracle_sql() -> dict[str, str]:
         **{name: gold + f"select * from {name}" for name in GOLD_TABLES},
         "margin_by_material_usd": silver + _gold_select("margin_by_material", basis="usd"),
         "margins_by_cut": silver + "\nunion all\n".join(_cut(name) for name in MARGIN_TABLES),
+        "margins_by_cut_joined": silver + "\nunion all\n".join(_cut(name) for name in MARGIN_TABLES),
         **_CHECKS,
         "extract_headers": _with(("lines", plain_sql(DOCUMENT_LINES))) + _NAMES,
         "match_headers": _with(_EXPORTS, _MATCHES) + "select * from matches",

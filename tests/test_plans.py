@@ -5,11 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlift.operators.gold import margin_by_material, margin_by_segment, margins_by_cut
-from ledgerlift.operators.sales import dedupe_first, enrich_sales
+from ledgerlift.operators.gold import (
+    margin_by_material, margin_by_segment, margins_by_cut, margins_of_lines, segment_margins,
+)
+from ledgerlift.operators.sales import add_margins, dedupe_first, enrich_sales, equi_join
 from ledgerlift.operators.search import knn_join, nearest
 from ledgerlift.plans.adapters import VIEWS, erp_table
 from ledgerlift.plans.pipeline import silver_tables
+from ledgerlift.schemas import ContractError
 
 
 def plan(df):
@@ -105,3 +108,41 @@ def test_searches_have_no_cross_join(spark, sf_dir):
         ))
         assert "NestedLoop" not in text and "Cartesian" not in text
         assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_lines_are_aggregated_before_they_meet_customers(spark, sf_dir):
+    """Beyond a broadcast too, what is shuffled by customer is partial rows only."""
+    header = spark.range(0, 4000, 1, 4).select(
+        F.col("id").alias("order_id"), (F.col("id") % 40).alias("customer_id"), F.lit("USD").alias("currency"),
+        F.lit("web").alias("distribution_channel"), F.when(F.col("id") % 3 == 0, "S").alias("sales_org"),
+    )
+    items = spark.range(0, 8000, 1, 4).select(
+        (F.col("id") % 4000).alias("order_id"), (F.col("id") % 7).cast("string").alias("material_id"),
+        (F.col("id") % 90 + 10.0).alias("net_value"), F.when(F.col("id") % 11 > 0, F.col("id") % 80 + 5.0).alias("estimated_cost"),
+    )
+    customers = spark.range(35).select(
+        F.col("id").alias("customer_id"), (F.col("id") % 3).cast("string").alias("industry"),
+        F.when(F.col("id") % 2 == 0, "R").alias("region_group"))
+    lines = add_margins(equi_join(header, items, "order_id", "inner"))
+    joined = add_margins(equi_join(equi_join(header, items, "order_id", "inner"), customers, "customer_id", "left"))
+    names = sorted(margins_by_cut(joined).columns)
+
+    def found(df):
+        return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect()), key=str)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for basis in ("local", "usd"):
+            assert found(margins_of_lines(lines, customers, basis)) == found(margins_by_cut(joined, basis))
+        own = [tuple(r) for r in segment_margins(lines, customers).collect()]
+        assert sorted(map(str, own)) != [] and len(own) == len(margin_by_segment(joined).collect())
+        for df in (margins_of_lines(lines, customers), segment_margins(lines, customers)):
+            text = plan(df).splitlines()
+            places = [i for i, x in enumerate(text) if "Exchange hashpartitioning(customer_id" in x and "order_id" not in x]
+            below = ["\n".join(text[i + 1:i + 3]) for i in places]
+            assert places and all("Aggregate" in x or "Range" in x or "Project [id" in x for x in below), below
+            assert any("Aggregate" in x for x in below)
+        with pytest.raises(ContractError, match="industry"):
+            segment_margins(joined, customers)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
