@@ -75,18 +75,26 @@ def _bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(column.buffers()[2] or b""), offsets.astype(np.int64)
 
 
+def _in_bytes(hashes: np.ndarray) -> list[bytes]:
+    data = hashes.astype("<u8").tobytes()
+    return [data[i:i + 8] for i in range(0, len(data), 8)]
+
+
 def _anchor_rows(length: int):
-    """One row per run: the text's digest, the anchor's hash, a digest of the run's bytes, where it lies."""
+    """One row per run: the text's digest, the anchor's hash and one of the run's bytes in one key, where it lies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, offsets = _bytes_of(batch.column("text"))
             text, hashes, first, last = anchors(data, offsets, length)
-            segment = [xxhash.xxh3_128_digest(data[a:b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            segment = [
+                anchor + xxhash.xxh3_64_digest(data[a:b + length])
+                for anchor, a, b in zip(_in_bytes(hashes), first.tolist(), last.tolist(), strict=True)
+            ]
             start = first - offsets[text]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest").take(pa.array(text)), pa.array(hashes.view(np.int64)),
-                 pa.array(segment, pa.binary()), pa.array(start), pa.array((last - first + length).astype(np.int32))],
-                names=["digest", "anchor", "segment", "start", "size"],
+                [batch.column("digest").take(pa.array(text)), pa.array(segment, pa.binary()), pa.array(start),
+                 pa.array((last - first + length).astype(np.int32))],
+                names=["digest", "segment", "start", "size"],
             )
     return run
 
@@ -99,7 +107,8 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = text.encode()
             for w in wanted:
                 blob = data[w["start"]:w["start"] + w["size"]]
-                for column, x in zip(rows, (w["anchor"], w["segment"], w["weight"], blob), strict=True):
+                anchor = int.from_bytes(w["segment"][:8], "little", signed=True)
+                for column, x in zip(rows, (anchor, w["segment"], w["weight"], blob), strict=True):
                     column.append(x)
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays(
@@ -295,18 +304,19 @@ def remove_repeats(
     plain = keyed.select("doc_id", "text", "digest")
     # One row of each text stands for its copies; ids may repeat, so both tell it.
     texts = stored(plain.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
-    schema = schema_of(plain, ["digest"], "anchor bigint, segment binary, start bigint, size int")
+    schema = schema_of(plain, ["digest"], "segment binary, start bigint, size int")
     every = stored(plain.select("digest", "text").mapInArrow(_anchor_rows(min_bytes), schema), "anchors")
-    counted = every.groupBy("anchor", "segment").agg(
-        F.min(F.struct("digest", "start")).alias("low"), F.any_value("size").alias("size"),
+    counted = every.groupBy("segment").agg(
+        F.min(F.struct("digest", "start")).alias("low"), F.max("size").alias("size"),
         F.least(F.count("*"), F.lit(2)).cast("long").alias("weight"),
     )
     counted = stored(counted, "segments")
+    anchor = F.substring("segment", 1, 8).alias("anchor")
     # Where every segment of an anchor occurs twice, all of their windows do.
-    varied = counted.groupBy("anchor").agg(F.count("*").alias("n"), F.min("weight").alias("least"))
+    varied = counted.groupBy(anchor).agg(F.count("*").alias("n"), F.min("weight").alias("least"))
     varied = varied.where("n > 1 and least = 1").select("anchor")
-    place = F.struct("anchor", "segment", F.col("low.start").alias("start"), "size", "weight")
-    wanted = counted.join(varied, "anchor").groupBy(F.col("low.digest").alias("digest")).agg(F.collect_list(place).alias("wanted"))
+    place = F.struct("segment", F.col("low.start").alias("start"), "size", "weight")
+    wanted = counted.withColumn("anchor", anchor).join(varied, "anchor").groupBy(F.col("low.digest").alias("digest")).agg(F.collect_list(place).alias("wanted"))
     wanted = wanted.join(texts, "digest").select("doc_id", "digest", "wanted")
     source = plain.join(
         wanted.withColumnsRenamed({"doc_id": "source_id", "digest": "source"}),
