@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_COPIES = 4096  # of one row, numbered at once
+
 
 def pack(items: list[tuple[int, str | None, str | None]], capacity: int) -> list[tuple[int, int]]:
     """For every item (length, source, cluster) its bin and its offset there.
@@ -99,8 +101,8 @@ def pack_documents(
     Documents are dealt by a hash of id, length, source and cluster over groups of about ``per_group``
     rows, each packed by one task, so any source or cluster spreads evenly and a bin's content depends on
     its group alone. The number of groups follows the input (one count). A group holds ids and
-    lengths only. Ids may be null or repeat. Rows that agree in all four values are dealt to one
-    group; where a table repeats one row without bound, use a length or id that differs.
+    lengths only. Ids may be null or repeat. Rows that agree in all four values are counted, and the
+    copies numbered, so that they are dealt over all groups as well, however many they are.
 
     Null lengths count as 0; a document of length 0 has one row with no bin, piece 0 and length 0. An
     empty table gives no rows. Other columns are ignored.
@@ -112,9 +114,18 @@ def pack_documents(
         cluster.cast("string").alias("cluster"),
     )
     key = F.xxhash64("row_id", "length", "source", "cluster")
-    groups = max(1, -(-items.where("length > 0").count() // per_group))
-    dealt = items.where("length > 0").withColumn("order_key", key).withColumn(
-        "part", F.pmod(F.xxhash64("order_key"), F.lit(groups))
+    solid = items.where("length > 0")
+    groups = max(1, -(-solid.count() // per_group))
+    alike = solid.groupBy("row_id", "length", "source", "cluster").agg(F.count("*").alias("n"))
+    # Copies are numbered in runs, and the runs are spread, so that no task makes all copies of a row.
+    runs = alike.select("*", key.alias("order_key"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _COPIES))).alias("run")
+    ).repartition("order_key", "run")
+    low = F.col("run") * _COPIES
+    copies = runs.select("*", F.explode(F.sequence(low, F.least(low + _COPIES, "n") - 1)).alias("copy"))
+    dealt = copies.select(
+        "row_id", "length", "source", "cluster", "order_key",
+        F.pmod(F.xxhash64("order_key", "copy"), F.lit(groups)).alias("part"),
     ).repartition("part").sortWithinPartitions("part")
     schema = T.StructType.fromDDL(
         "row_id string, bin_id bigint, piece int, start bigint, length bigint, bin_offset bigint"
