@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +17,27 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark trusts the order of a bucket that is one file."""
+    before = spark.conf.get(_ORDERED)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, before)
+
+
 class DigestIndex:
     """One row per text seen so far: ``digest``, ``keep_id`` (the id that stays), ``first_batch``.
 
     The table is bucketed and sorted by digest. New rows are reduced to one per digest, joined
     against the index by a sort-merge anti-join, for which the index is not shuffled, and appended.
+    A batch adds one file to a bucket; while a bucket is one file its order is used, later it is sorted
+    within the bucket.
     The files outlive the session: a later one attaches them with the same name, path and number of
     buckets. An entry is never changed, so a text that was kept stays kept.
     """
@@ -41,8 +60,34 @@ class DigestIndex:
 
     def append(self, batch: DataFrame, number: int, id: str = "id", digest: str = "digest") -> None:
         """Add the texts of a batch that are new. Repeating a batch adds nothing."""
-        new = self.candidates(batch, id, digest).select("digest", "keep_id", F.lit(number).cast("bigint"))
-        new.repartition(self.buckets, "digest").write.insertInto(self.name)
+        with ordered_scans(self.spark):
+            new = self.candidates(batch, id, digest).select("digest", "keep_id", F.lit(number).cast("bigint"))
+            new.repartition(self.buckets, "digest").write.insertInto(self.name)
+
+
+def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``text_sha256`` of each row, stored. Texts are read here only."""
+    digest = F.sha2(normalised(F.col(f"`{text}`")), 256)
+    return stored(docs.select(F.col(f"`{id}`").alias("doc_id"), digest.alias("text_sha256")), "digests")
+
+
+def halves(rows: DataFrame) -> list[DataFrame]:
+    """The rows in two batches: ids from the (approximate) median on, and null ones, come second."""
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    if middle is None:
+        return [rows]
+    early = F.coalesce(F.col("doc_id") < middle, F.lit(False))
+    return [rows.where(early), rows.where(~early)]
+
+
+def resolved(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """For each of the rows of ``digests``, all of them in the index, the row that stays."""
+    sizes = rows.groupBy(F.col("text_sha256").alias("digest")).agg(F.count("*").alias("group_size"))
+    known = stored(sizes.join(index.rows().hint("merge").select("digest", "keep_id"), "digest"), "groups")
+    joined = rows.join(known, rows["text_sha256"] == known["digest"])
+    return joined.select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    )
 
 
 def dedupe_exact(docs: DataFrame, index: DigestIndex, *, batch: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,12 +105,6 @@ def dedupe_exact(docs: DataFrame, index: DigestIndex, *, batch: int = 0, id: str
     final join returns the group's row to each of its members, and adaptive execution splits it
     where one group holds much of the table.
     """
-    digest = F.sha2(normalised(F.col(f"`{text}`")), 256)
-    rows = stored(docs.select(F.col(f"`{id}`").alias("doc_id"), digest.alias("text_sha256")), "digests")
+    rows = digests(docs, id, text)
     index.append(rows, batch, "doc_id", "text_sha256")
-    sizes = rows.groupBy(F.col("text_sha256").alias("digest")).agg(F.count("*").alias("group_size"))
-    known = stored(sizes.join(index.rows().hint("merge").select("digest", "keep_id"), "digest"), "groups")
-    joined = rows.join(known, rows["text_sha256"] == known["digest"])
-    return joined.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    return resolved(rows, index)

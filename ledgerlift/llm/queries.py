@@ -102,7 +102,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> Da
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, work_dir(spark, "index"), name=f"digests_{uuid.uuid4().hex}")
-    return exact_dedup.dedupe_exact(_table(spark, sf_dir, "documents"), index)
+    rows = exact_dedup.digests(_table(spark, sf_dir, "documents"))
+    # The smallest id of a text stays, so smaller ids enter the index first.
+    for number, batch in enumerate(exact_dedup.halves(rows)):
+        index.append(batch, number, "doc_id", "text_sha256")
+    return exact_dedup.resolved(rows, index)
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
