@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +14,51 @@ from pyspark.sql import types as T
 from ledgerlift.sources.shared import work_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read back.
 
     This cuts lineage: a lost executor costs the running stage only, and a table read twice is
-    computed once.
+    computed once. The shuffle files of the write go when it ends, as nothing reads them any more.
     """
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _write(df, work_dir(df.sparkSession, purpose))
+
+
+class Scratch:
+    """Stored tables that are removed when the ``with`` block ends, also by an error.
+
+    What is still needed then has to be stored elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, purpose: str) -> DataFrame:
+        self.paths.append(work_dir(self.spark, purpose))
+        return _write(df, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *problem: object) -> None:
+        context = self.spark.sparkContext
+        for name in self.paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -44,11 +80,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(low, high - low)
 
 
-def min_labels(edges: DataFrame, purpose: str = "components") -> DataFrame:
+def min_labels(
+    edges: DataFrame, purpose: str = "components", store: Callable[[DataFrame, str], DataFrame] = stored
+) -> DataFrame:
     """Connected components of an undirected graph given by its edges ``a``, ``b``.
 
     Returns (``node``, ``label``), where the label is the smallest node reachable; nodes without an
-    edge are absent. Large-star and small-star rounds: every round links each node to the smallest of
+    edge are absent. The result reads what ``store`` has written. Large-star and small-star rounds: every round links each node to the smallest of
     its neighbours, both of them aggregations with map-side combining plus a join, until no edge
     changes; the number of rounds grows with the logarithm of the graph's diameter. Each round is
     written to the shared folder. Only a count and a sum of hashes reach the driver.
@@ -73,13 +111,13 @@ def min_labels(edges: DataFrame, purpose: str = "components") -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    current = stored(
+    current = store(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         purpose,
     )
     before = state(current)
     while True:
-        current = stored(star(star(current, large=True), large=False), purpose)
+        current = store(star(star(current, large=True), large=False), purpose)
         now = state(current)
         if now == before:
             break

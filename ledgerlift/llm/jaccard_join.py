@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlift.llm.common import min_labels, schema_of, sliced, stored
+from ledgerlift.llm.common import Scratch, min_labels, schema_of, sliced, stored
 from ledgerlift.llm.shingles import shingle_sets
 
 _COLUMNS_AT_ONCE = 4096  # shingles per matrix product
@@ -193,39 +193,11 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, *, width: int = 5, threshold: float = 0.8, recall: float = 0.9995, seed: int = 5,
-    block: int = 512, id: str = "doc_id", text: str = "text",
+def _linked(
+    work: Scratch, keyed: DataFrame, members: DataFrame, width: int, threshold: float, bands: int, block: int
 ) -> DataFrame:
-    """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of
-    ``threshold`` or more.
-
-    Returns one row per row of ``docs``: ``doc_id``, ``k`` (a hash of the text, which tells rows of one
-    id apart), ``group_id`` and ``group_k`` (the smallest (id, k) reachable by links, itself included) and
-    ``n_links`` (long, other documents linked directly; equal sets are linked).
-
-    Words are separated by white space and compared exactly; a text of fewer words has one shingle of
-    all of them. Null, empty and blank texts have no shingles, link with nothing and form groups of
-    their own. Rows that repeat are documents like any other. Null ids come first. An empty table
-    gives no rows; other columns are ignored.
-
-    Bands and rows follow from the threshold and the ``recall`` wanted for a pair just at it; more
-    similar pairs are found more surely. Documents with equal sets are one class. Classes meet in
-    buckets of equal band hashes; buckets of one class, and those whose members all share an earlier
-    band, are left out. The members' full sets are then shipped to each bucket, and pairs are verified
-    exactly there, each in the bucket of its first common band, so nothing is counted twice. A bucket
-    above ``block`` classes is dealt over blocks, and each pair of blocks is a group of its own: no
-    task holds more than two blocks. What leaves a group is a count for each class and the edges of a
-    spanning forest, never all pairs. Groups are then the connected components of those edges.
-    """
-    bands, rows = banding(threshold, recall)
-    keyed = docs.select(
-        F.col(f"`{id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("k"), F.col(f"`{text}`").alias("text")
-    )
-    schema = schema_of(keyed, ["doc_id", "k"], "digest binary, bands array<bigint>")
-    members = stored(keyed.mapInArrow(_signatures(width, bands, rows, seed), schema), "signatures")
-
-    classes = stored(members.where("digest is not null").groupBy("digest").agg(
+    """For each class of equal sets that has copies or near ones its group and its number of links."""
+    classes = work.stored(members.where("digest is not null").groupBy("digest").agg(
         F.count("*").alias("size"), F.min(F.struct("doc_id", "k")).alias("first"), F.any_value("bands").alias("bands"),
     ), "classes")
     placed = classes.select("digest", F.explode("bands").alias("bucket"))
@@ -233,7 +205,7 @@ def near_duplicates(
     shared = placed.join(full, "bucket").groupBy("digest").agg(F.collect_set("bucket").alias("met"))
     # Bands in which a class is alone hold 0.
     met = F.transform("bands", lambda h: F.when(F.array_contains("met", h), h).otherwise(F.lit(0).cast("long")))
-    shared = stored(
+    shared = work.stored(
         classes.join(shared, "digest").select("digest", "size", "first", met.alias("shared")), "shared"
     )
     spread = shared.select("shared", F.posexplode("shared").alias("band", "bucket")).where("bucket <> 0")
@@ -258,22 +230,58 @@ def near_duplicates(
         F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)).alias("other"),
     ).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "digest")
-    found = stored(
+    found = work.stored(
         dealt.select("bucket", "i", "j", "block", "digest", "size", "shared", "blob").mapInArrow(
             _verify(threshold), "a binary, b binary, weight bigint"
         ), "links",
     )
     weights = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("weight").alias("weight"))
-    labels = min_labels(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
+    labels = min_labels(
+        found.where("b is not null").select("a", "b"), store=work.stored
+    ).withColumnRenamed("node", "digest")
     linked = classes.select("digest", "size", "first").where("size > 1").unionByName(
         classes.join(labels, "digest", "left_semi").where("size = 1").select("digest", "size", "first")
     ).join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     groups = linked.groupBy("label").agg(F.min("first").alias("group"))
-    info = stored(
-        linked.join(groups, "label").join(weights, "digest", "left").select(
-            F.col("digest").alias("class"), "group", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links")
-        ), "groups",
+    return linked.join(groups, "label").join(weights, "digest", "left").select(
+        F.col("digest").alias("class"), "group", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, *, width: int = 5, threshold: float = 0.8, recall: float = 0.9995, seed: int = 5,
+    block: int = 512, id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of
+    ``threshold`` or more.
+
+    Returns one row per row of ``docs``: ``doc_id``, ``k`` (a hash of the text, which tells rows of one
+    id apart), ``group_id`` and ``group_k`` (the smallest (id, k) reachable by links, itself included) and
+    ``n_links`` (long, other documents linked directly; equal sets are linked).
+
+    Words are separated by white space and compared exactly; a text of fewer words has one shingle of
+    all of them. Null, empty and blank texts have no shingles, link with nothing and form groups of
+    their own. Rows that repeat are documents like any other. Null ids come first. An empty table
+    gives no rows; other columns are ignored.
+
+    Bands and rows follow from the threshold and the ``recall`` wanted for a pair just at it; more
+    similar pairs are found more surely. Documents with equal sets are one class. Classes meet in
+    buckets of equal band hashes; buckets of one class, and those whose members all share an earlier
+    band, are left out. The members' full sets are then shipped to each bucket, and pairs are verified
+    exactly there, each in the bucket of its first common band, so nothing is counted twice. A bucket
+    above ``block`` classes is dealt over blocks, and each pair of blocks is a group of its own: no
+    task holds more than two blocks. What leaves a group is a count for each class and the edges of a
+    spanning forest, never all pairs. Groups are then the connected components of those edges.
+    """
+    bands, rows = banding(threshold, recall)
+    keyed = docs.select(
+        F.col(f"`{id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("k"), F.col(f"`{text}`").alias("text")
+    )
+    schema = schema_of(keyed, ["doc_id", "k"], "digest binary, bands array<bigint>")
+    members = stored(keyed.mapInArrow(_signatures(width, bands, rows, seed), schema), "signatures")
+
+    with Scratch(docs.sparkSession) as work:
+        info = stored(_linked(work, keyed, members, width, threshold, bands, block), "groups")
     done = members.join(info, members["digest"] == info["class"], "left")
     return done.select(
         "doc_id", "k", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("group.doc_id")).alias("group_id"),

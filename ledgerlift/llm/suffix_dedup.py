@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlift.llm.bwt import repeated_starts
-from ledgerlift.llm.common import schema_of, sliced, stored
+from ledgerlift.llm.common import Scratch, schema_of, sliced, stored
 from ledgerlift.llm.shingles import mixed
 
 GRAM = 16  # bytes of an anchor
@@ -184,7 +184,7 @@ def _index_groups(length: int):
     return run
 
 
-def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
+def _repeats(work: Scratch, segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
     """(segment, first, last) for the repeated window starts in ``segments``, which has columns ``anchor``,
     ``group``, ``segment``, ``weight`` and ``blob``: the different segments of groups of two or more.
 
@@ -194,26 +194,26 @@ def _repeats(segments: DataFrame, length: int, steps: tuple[int, ...]) -> DataFr
     counts = segments.groupBy("group").agg(F.countDistinct("segment").alias("n"))
     sized = segments.join(counts.where("n > 1"), "group")
     small = sized.where(F.col("n") <= GROUP_SEGMENTS).select("group", "segment", "weight", "blob")
-    found = stored(
+    found = work.stored(
         small.repartition("group").sortWithinPartitions("group", "segment").mapInArrow(
             _index_groups(length), "segment binary, first int, last int"
         ), "repeats",
     )
-    large = stored(sized.where(F.col("n") > GROUP_SEGMENTS).select(
+    large = work.stored(sized.where(F.col("n") > GROUP_SEGMENTS).select(
         "anchor", "group", "segment", "weight", "blob"), "large")
     if large.isEmpty():
         return found
     schema = schema_of(large, ["anchor", "group", "segment", "weight", "blob"], "parent binary, at int")
-    pieces = stored(large.mapInArrow(_split_segments(length, steps[0]), schema), "pieces")
+    pieces = work.stored(large.mapInArrow(_split_segments(length, steps[0]), schema), "pieces")
     alike = pieces.groupBy("group", "segment").agg(
         F.any_value("anchor").alias("anchor"), F.sum("weight").alias("weight"), F.any_value("blob").alias("blob")
     )
-    alike = stored(alike, "alike")
+    alike = work.stored(alike, "alike")
     whole = alike.where("weight > 1").select(
         "segment", F.lit(0).alias("first"), (F.octet_length("blob") - length).cast("int").alias("last")
     )
     if steps[0] > 1:
-        whole = whole.unionByName(_repeats(alike, length, steps[1:]))
+        whole = whole.unionByName(_repeats(work, alike, length, steps[1:]))
     back = pieces.select("segment", "parent", "at").join(whole, "segment")
     return found.unionByName(back.select(
         F.col("parent").alias("segment"), (F.col("first") + F.col("at")).alias("first"),
@@ -270,6 +270,52 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _repeated(work: Scratch, plain: DataFrame, texts: DataFrame, every: DataFrame, length: int) -> DataFrame:
+    """The repeated window starts of each segment, as (first, last) pairs, from the segments of all texts."""
+    counted = every.groupBy("segment").agg(
+        F.min(F.struct("digest", "start")).alias("low"), F.max("size").alias("size"),
+        F.least(F.count("*"), F.lit(2)).cast("long").alias("weight"),
+    )
+    counted = work.stored(counted, "segments")
+    anchor = F.substring("segment", 1, 8).alias("anchor")
+    # Where every segment of an anchor occurs twice, all of their windows do.
+    varied = counted.groupBy(anchor).agg(F.count("*").alias("n"), F.min("weight").alias("least"))
+    varied = varied.where("n > 1 and least = 1").select("anchor")
+    place = F.struct("segment", F.col("low.start").alias("start"), "size", "weight")
+    wanted = counted.withColumn("anchor", anchor).join(varied, "anchor").groupBy(F.col("low.digest").alias("digest")).agg(F.collect_list(place).alias("wanted"))
+    wanted = wanted.join(texts, "digest").select("doc_id", "digest", "wanted")
+    source = plain.join(
+        wanted.withColumnsRenamed({"doc_id": "source_id", "digest": "source"}),
+        F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("digest") == F.col("source")),
+    ).select("text", "wanted")
+    segments = source.mapInArrow(_cut_segments, "group bigint, segment binary, weight bigint, blob binary")
+    segments = work.stored(segments.withColumn("anchor", F.col("group")), "blobs")
+    steps = (193, 24, 1) if length > 193 else (1,)
+    parts = _repeats(work, segments, length, steps)
+    whole = counted.where("weight > 1").select(
+        "segment", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last")
+    )
+    return whole.unionByName(parts).groupBy("segment").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
+
+
+def _marked(work: Scratch, plain: DataFrame, length: int) -> DataFrame:
+    """For the digest of each text that loses bytes, whether it has copies, and its repeated window starts."""
+    # One row of each text stands for its copies; ids may repeat, so both tell it.
+    texts = work.stored(plain.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
+    schema = schema_of(plain, ["digest"], "segment binary, start bigint, size int")
+    every = work.stored(plain.select("digest", "text").mapInArrow(_anchor_rows(length), schema), "anchors")
+    with Scratch(plain.sparkSession) as own:
+        repeats = work.stored(_repeated(own, plain, texts, every, length), "repeated")
+    hits = every.join(repeats, "segment").select("digest", "start", F.explode("parts").alias("part")).select(
+        "digest", F.struct((F.col("start") + F.col("part.first")).alias("first"),
+                           (F.col("start") + F.col("part.last")).alias("last")).alias("hit"),
+    ).groupBy("digest").agg(F.collect_set("hit").alias("hits"))
+    return texts.join(hits, "digest", "left").where("copies > 1 or hits is not null").select(
+        F.col("digest").alias("marked"), (F.col("copies") > 1).alias("copies"),
+        F.when(F.col("copies") == 1, F.col("hits")).alias("hits"),
+    )
+
+
 def remove_repeats(
     docs: DataFrame, *, min_bytes: int = 400, min_words: int = 0, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -301,46 +347,8 @@ def remove_repeats(
         F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _digest(F.col(f"`{text}`")).alias("digest"),
         row.alias("row"),
     )
-    plain = keyed.select("doc_id", "text", "digest")
-    # One row of each text stands for its copies; ids may repeat, so both tell it.
-    texts = stored(plain.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "texts")
-    schema = schema_of(plain, ["digest"], "segment binary, start bigint, size int")
-    every = stored(plain.select("digest", "text").mapInArrow(_anchor_rows(min_bytes), schema), "anchors")
-    counted = every.groupBy("segment").agg(
-        F.min(F.struct("digest", "start")).alias("low"), F.max("size").alias("size"),
-        F.least(F.count("*"), F.lit(2)).cast("long").alias("weight"),
-    )
-    counted = stored(counted, "segments")
-    anchor = F.substring("segment", 1, 8).alias("anchor")
-    # Where every segment of an anchor occurs twice, all of their windows do.
-    varied = counted.groupBy(anchor).agg(F.count("*").alias("n"), F.min("weight").alias("least"))
-    varied = varied.where("n > 1 and least = 1").select("anchor")
-    place = F.struct("segment", F.col("low.start").alias("start"), "size", "weight")
-    wanted = counted.withColumn("anchor", anchor).join(varied, "anchor").groupBy(F.col("low.digest").alias("digest")).agg(F.collect_list(place).alias("wanted"))
-    wanted = wanted.join(texts, "digest").select("doc_id", "digest", "wanted")
-    source = plain.join(
-        wanted.withColumnsRenamed({"doc_id": "source_id", "digest": "source"}),
-        F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("digest") == F.col("source")),
-    ).select("text", "wanted")
-    segments = source.mapInArrow(_cut_segments, "group bigint, segment binary, weight bigint, blob binary")
-    segments = stored(segments.withColumn("anchor", F.col("group")), "blobs")
-    steps = (193, 24, 1) if min_bytes > 193 else (1,)
-    parts = _repeats(segments, min_bytes, steps)
-    whole = counted.where("weight > 1").select(
-        "segment", F.lit(0).alias("first"), (F.col("size") - min_bytes).cast("int").alias("last")
-    )
-    repeats = stored(whole.unionByName(parts).groupBy("segment").agg(
-        F.collect_set(F.struct("first", "last")).alias("parts")), "repeated")
-
-    hits = every.join(repeats, "segment").select("digest", "start", F.explode("parts").alias("part")).select(
-        "digest", F.struct((F.col("start") + F.col("part.first")).alias("first"),
-                           (F.col("start") + F.col("part.last")).alias("last")).alias("hit"),
-    ).groupBy("digest").agg(F.collect_set("hit").alias("hits"))
-    marked = texts.join(hits, "digest", "left").where("copies > 1 or hits is not null").select(
-        F.col("digest").alias("marked"), (F.col("copies") > 1).alias("copies"),
-        F.when(F.col("copies") == 1, F.col("hits")).alias("hits"),
-    )
-    marked = stored(marked, "marked")
+    with Scratch(docs.sparkSession) as work:
+        marked = stored(_marked(work, keyed.select("doc_id", "text", "digest"), min_bytes), "marked")
     joined = keyed.join(marked, keyed["digest"] == marked["marked"], "left")
     schema = schema_of(
         keyed, ["row"], "kept string, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"

@@ -5,6 +5,8 @@ import heapq
 import math
 import random
 import uuid
+from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -12,7 +14,7 @@ import pytest
 import corpus_pipeline
 from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, pieces, sharding, suffix_dedup
 from ledgerlift.llm import toxicity
-from ledgerlift.llm.common import min_labels
+from ledgerlift.llm.common import Scratch, min_labels, stored
 from ledgerlift.sources.shared import work_dir
 from pyspark.sql import functions as F
 
@@ -110,6 +112,28 @@ def test_packing(dirty, empty):
     assert packing.pack_documents(empty, **own).collect() == []
 
 
+def test_packing_of_repeated_rows(spark):
+    """Copies of one row are dealt over all groups, each once, and share no bin."""
+    docs = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "other")], "doc_id bigint, text string"))
+    done = packing.pack_documents(
+        docs, length=F.octet_length("text"), source=F.lit("s"), cluster=F.col("text"), capacity=100, per_group=100
+    ).collect()
+    assert sorted(r.doc_id for r in done) == [1] + [7] * 10_000
+    assert len({r.bin_id for r in done}) == len(done)
+    groups = Counter(r.bin_id >> 40 for r in done)
+    assert len(groups) == 101 and max(groups.values()) < 200
+
+
+def test_scratch(spark, tmp_path):
+    work = Scratch(spark)
+    with pytest.raises(ValueError), work:
+        kept = stored(work.stored(spark.range(5), "gone"), "stays")
+        assert Path(work.paths[0].removeprefix("file:")).exists()
+        raise ValueError
+    assert not Path(work.paths[0].removeprefix("file:")).exists() and kept.count() == 5
+
+
 def test_pack():
     """Against trying every bin, tightest first."""
     items = sorted(((i * 7919 % 97 + 1, f"s{i % 5}" if i % 3 else None, f"c{i % 11}") for i in range(300)), reverse=True,
@@ -281,6 +305,29 @@ def test_index_outlives_batches(spark):
     assert "SortMergeJoin" in text and "LeftAnti" in text and text.count("Exchange hashpartitioning") == 1
 
 
+def test_index_in_two_batches(spark):
+    """The second half meets what the first left in the index, in the order in which it lies there."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id") % 300).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "t 5"), (None, "new")], "doc_id bigint, text string"))
+    index = exact_dedup.DigestIndex(spark, work_dir(spark, "index"), name=f"t{uuid.uuid4().hex}", buckets=4)
+    rows = exact_dedup.digests(docs)
+    early, late = exact_dedup.halves(rows)
+    assert early.agg(F.max("doc_id")).first()[0] < late.agg(F.min("doc_id")).first()[0]
+    index.append(early, 0, "doc_id", "text_sha256")
+    with exact_dedup.ordered_scans(spark):
+        plan = index.candidates(late, "doc_id", "text_sha256")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Sort [digest" not in plan  # the index neither moves nor is sorted,
+    assert plan.count("Sort [text_sha256") == 1 and plan.count("Exchange hashpartitioning") == 1  # the batch does
+    index.append(late, 1, "doc_id", "text_sha256")
+    assert {r.first_batch: r["count"] for r in index.rows().groupBy("first_batch").count().collect()} == {0: 300, 1: 1}
+    found = rows_of(exact_dedup.resolved(rows, index), "doc_id", "keep_id", "group_size", "kept")
+    size = Counter(i % 300 for i in range(1000))
+    assert found == sorted(
+        [(i, i % 300, size[i % 300] + (i % 300 == 5), i < 300) for i in range(1000)]
+        + [(None, 5, size[5] + 1, False), (None, None, 1, True)], key=str)
+    assert len(exact_dedup.halves(rows.where("doc_id is null"))) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (50, 3)]
     found = dict(min_labels(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
