@@ -59,10 +59,21 @@ def _trim(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
     return pairs.sort_values([_QUERY, _DISTANCE, _MATCH], na_position="last").groupby(_QUERY).head(k)
 
 
+def _first_of_each(q: np.ndarray, values: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+    """Places of the pairs whose value may be among the ``k`` least of their query ``q``."""
+    order = np.lexsort((values, q))
+    counts = np.bincount(q, minlength=len(slack))
+    last = np.minimum(counts, k) - 1 + np.cumsum(counts) - counts
+    limit = np.full(len(slack), np.inf)
+    limit[counts > 0] = values[order][last[counts > 0]]
+    return order[values[order] <= (limit + slack)[q[order]]]
+
+
 def _batch_nearest(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, metric: str
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, metric: str,
+    limits: np.ndarray | None = None,
 ) -> pd.DataFrame:
-    """The ``k`` nearest rows of one batch for each query.
+    """The ``k`` nearest rows of one batch for each query, without those farther than its limit.
 
     Copies of a vector are equally near to everything, so of each only the ``k`` lowest ids can be
     in a result; the rest is put aside before any distance is taken. One matrix product then finds
@@ -93,15 +104,21 @@ def _batch_nearest(
             near[:, right_sq == 0.0] = np.inf  # no direction, so nearest to nothing
         near[:, lost] = np.inf
         near[~np.isfinite(left_sq[part])] = np.inf
-        if len(rows) > k:
-            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + 2.0 * np.nan_to_num(slack[part], nan=0.0)
+        loose = 2.0 * np.nan_to_num(slack[part], nan=0.0)
+        if limits is not None and np.isfinite(limits[part]).all():
+            bound = limits[part] ** 2 if metric == "l2" else 2.0 * limits[part]
+            q, r = np.nonzero(near <= (bound + loose)[:, None])
+            few = _first_of_each(q, near[q, r], k, loose)
+            q, r = q[few], r[few]
+        elif len(rows) > k:
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + loose
             q, r = np.nonzero(near <= limit[:, None])
         else:
             q, r = (i.ravel() for i in np.indices(near.shape))
         q = q + start
         size = max(1, _PAIRS_AT_ONCE // rows.shape[1])
         distances = [_exact(metric, queries[q[i:i + size]], rows[r[i:i + size]]) for i in range(0, len(q), size)]
-        pairs = {_QUERY: query_ids[q], _MATCH: ids[r], _DISTANCE: np.concatenate(distances)}
+        pairs = {_QUERY: query_ids[q], _MATCH: ids[r], _DISTANCE: np.concatenate([np.empty(0), *distances])}
         found.append(_trim(pd.DataFrame(pairs), k))
     return pd.concat(found)
 
@@ -115,7 +132,38 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 # --- bulk search ----------------------------------------------------------------------------------
 
 MAX_PIVOTS = 1024
-_CELL, _CELLS, _GAP = "_cell", "_cells", "_gap"
+# Blocks and parts grow with their tables so that a row is sent to about this many, until one of
+# them holds this many bytes of vectors.
+_COPIES, _SIDE_BYTES = 16, 32 * 1024**2
+# From this share of visited pairs on, a block is compared with a whole part at once instead of cell by cell.
+_DENSE = 0.5
+_CELL, _GAP, _VISITS, _PART, _BITS, _PAIRS, _LIMIT = "_cell", "_gap", "_visits", "_part", "_bits", "_pairs", "_limit"
+
+
+def _side_rows(asked: int, n_rows: int, dim: int) -> int:
+    """How many rows a block or part holds: ``asked`` ones, more in a table that would be sent too often."""
+    return max(1, min(max(asked, -(-n_rows // _COPIES)), _SIDE_BYTES // (4 * dim)))
+
+
+def _group_cells(rows: np.ndarray, per_part: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Each cell's first part and number of parts, and the cells of every part.
+
+    Small cells share a part; one of more than ``per_part`` rows has several to itself.
+    """
+    first, n_parts, cells = np.zeros(len(rows), np.int32), np.ones(len(rows), np.int32), []
+    held = per_part
+    for cell in np.flatnonzero(rows):
+        n_parts[cell] = -(-rows[cell] // per_part)
+        alone = rows[cell] >= per_part
+        if alone or held + rows[cell] > per_part:
+            first[cell] = len(cells)
+            cells += [[cell] for _ in range(n_parts[cell])]
+            held = per_part if alone else rows[cell]
+        else:
+            first[cell] = len(cells) - 1
+            cells[-1].append(cell)
+            held += rows[cell]
+    return first, n_parts, [np.array(c) for c in cells]
 
 
 def _points(metric: str, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,33 +213,57 @@ def _to_cells(pivots: np.ndarray, dim: int, metric: str):
     return run
 
 
-def _to_visit(pivots: np.ndarray, radius: np.ndarray, rows: np.ndarray, k: int, dim: int, metric: str):
-    """The cells that a query visits: first, without a limit, the nearest ones that hold ``k`` rows together;
-    then, with the distance of the k-th row found there, all others that may hold a nearer one."""
+def _visit_lists(mask: np.ndarray, cells_of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The visits of some queries in their order: number per query, parts, and a bit for each cell of the part."""
+    who, parts, bits = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
+    for part, cells in enumerate(cells_of):
+        asking = np.flatnonzero(mask[:, cells].any(axis=1))
+        who.append(asking)
+        parts.append(np.full(len(asking), part, np.int32))
+        bits += [b.tobytes() for b in np.packbits(mask[np.ix_(asking, cells)], axis=1)]
+    all_who = np.concatenate(who)
+    order = np.argsort(all_who, kind="stable")
+    return np.bincount(all_who, minlength=len(mask)), np.concatenate(parts)[order], [bits[i] for i in order]
+
+
+def _to_visit(
+    pivots: np.ndarray, radius: np.ndarray, rows: np.ndarray, cells_of: list[np.ndarray], k: int, dim: int, metric: str
+):
+    """The cells that a query visits, by part: first, without a limit, the nearest ones that hold ``k`` rows
+    together; then, with the distance of the k-th row found there, all that may hold a row as near as that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             again = batch.num_columns == 3
-            cells: list[np.ndarray] = []
+            counts, parts, bits, pairs = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], [], [np.empty(0, np.int64)]
             for low in range(0, batch.num_rows, step := max(1, _PAIRS_AT_ONCE // len(pivots))):
                 points, fine = _points(metric, _matrix(batch.column(1)[low:low + step], dim))
                 gaps, error = _gaps(points, pivots)
-                gaps[:, rows == 0] = np.inf
-                near = np.argsort(gaps, axis=1, kind="stable")
-                held = np.cumsum(rows[near], axis=1)
-                # As many of the nearest cells as it takes to have k rows.
-                first = (held - rows[near] < k) & (rows[near] > 0) & fine[:, None]
                 if again:
                     limit = batch.column(2)[low:low + step].to_numpy(zero_copy_only=False).astype("f8")
                     limit = np.where(np.isnan(limit), np.inf, np.sqrt(2.0 * np.maximum(limit, 0.0)) if metric == "cosine" else limit)
                     # The root of a tiny cosine distance carries the rounding error of 1.
                     limit = limit * (1 + 1e-9) + (1e-7 if metric == "cosine" else 0.0)
-                    least = np.take_along_axis(gaps - radius[None, :], near, axis=1) - error[:, None]
-                    chosen = ~first & (rows[near] > 0) & (least <= limit[:, None]) & fine[:, None]
+                    mask = gaps - radius[None, :] - error[:, None] <= limit[:, None]
                 else:
-                    chosen = first
-                cells += [n[c].astype(np.int32) for n, c in zip(near, chosen, strict=True)]
+                    gaps[:, rows == 0] = np.inf
+                    near = np.argsort(gaps, axis=1, kind="stable")
+                    held = np.cumsum(rows[near], axis=1)
+                    # As many of the nearest cells as it takes to have k rows.
+                    mask = np.empty(gaps.shape, bool)
+                    np.put_along_axis(mask, near, held - rows[near] < k, axis=1)
+                mask &= (rows > 0)[None, :] & fine[:, None]
+                n, p, b = _visit_lists(mask, cells_of)
+                counts.append(n)
+                parts.append(p)
+                bits += b
+                pairs.append(mask @ rows)
+            visits = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(parts)), pa.array(bits, pa.binary())], names=[_PART, _BITS])
+            offsets = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
+            limits = batch.column(2) if again else pa.nulls(batch.num_rows, pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=[_QUERY, _VECTOR, _CELLS]
+                [batch.column(0), batch.column(1), limits, pa.ListArray.from_arrays(offsets, visits), pa.array(np.concatenate(pairs))],
+                names=[_QUERY, _VECTOR, _LIMIT, _VISITS, _PAIRS],
             )
     return run
 
@@ -219,10 +291,12 @@ def knn_join(
     every cell whose pivot is farther than that distance and the radius together, by the triangle
     inequality; the others are visited in a second round. Cosine distances are pruned as lengths between unit vectors.
 
-    Cells meet their queries by key, in parts of about ``rows_per_part`` rows and blocks of about
-    ``queries_per_block`` queries, so a cell or a query that fills a third of a table is spread. The driver holds
-    the pivots and a count and radius for each. ``counts`` receives the number of pairs ``compared`` and of
-    ``all`` pairs.
+    Cells are gathered into parts of about ``rows_per_part`` rows, which meet blocks of about ``queries_per_block``
+    queries by key, so a cell or a query that fills a third of a table is spread. A vector is sent once to a part or
+    block, however many cells meet there. In large tables parts and blocks grow, so that a vector is sent to about 16 of them
+    in a round, until they hold 32 MB of vectors; from there on (2 million vectors of 64 cells) the shuffle
+    grows with the pairs of parts. The driver holds the pivots and a count and radius for each. ``counts`` receives the
+    number of pairs to be ``compared``, in both rounds, and of ``all`` pairs.
 
     Ids must differ between the two tables by column name. Vectors whose length is not ``dim`` are an error.
     Null and non-finite cells are allowed: such rows (for cosine also zero vectors) have no distance and rank
@@ -246,68 +320,88 @@ def knn_join(
     rows, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in cells.where(F.col(_CELL) >= 0).groupBy(_CELL).agg(F.count("*").alias("n"), F.max(_GAP).alias("gap")).collect():
         rows[r[_CELL]], radius[r[_CELL]] = r["n"], r["gap"]
-    visit = _to_visit(pivots, radius, rows, k, dim, metric)
-    visits_schema = T.StructType([*asked.schema.fields, T.StructField(_CELLS, T.ArrayType(T.IntegerType()))])
+    first_part, n_parts, cells_of = _group_cells(rows, _side_rows(rows_per_part, int(rows.sum()), dim))
+    visit = _to_visit(pivots, radius, rows, cells_of, k, dim, metric)
+    limit_field, pairs_field = T.StructField(_LIMIT, T.DoubleType()), T.StructField(_PAIRS, T.LongType())
+    visit_type = T.StructType([T.StructField(_PART, T.IntegerType()), T.StructField(_BITS, T.BinaryType())])
+    visits_schema = T.StructType([
+        *asked.schema.fields, limit_field, T.StructField(_VISITS, T.ArrayType(visit_type)), pairs_field])
     pair_schema = T.StructType([
         T.StructField(_QUERY, query_type), T.StructField(_MATCH, match_type), T.StructField(_DISTANCE, T.DoubleType()),
     ])
 
     def meet(ask: pa.Table, have: pa.Table) -> pa.Table:
+        """A block of queries and a part: all at once, or where few of its cells are visited cell by cell."""
         if not ask.num_rows or not have.num_rows:
             return pa.table({_QUERY: ask[_QUERY][:0], _MATCH: have[_MATCH][:0], _DISTANCE: pa.array([], pa.float64())})
+        own = cells_of[ask[_PART][0].as_py()]
+        packed = np.frombuffer(b"".join(ask[_BITS].to_pylist()), np.uint8).reshape(ask.num_rows, -1)
+        bits = np.unpackbits(packed, axis=1, count=len(own)).astype(bool)
+        cell = have[_CELL].to_numpy()
+        held = np.array([(cell == c).sum() for c in own])
+        if (bits @ held).sum() >= _DENSE * ask.num_rows * have.num_rows:
+            meetings = [(np.arange(ask.num_rows), np.arange(have.num_rows))]
+        else:
+            meetings = [(np.flatnonzero(bits[:, i]), np.flatnonzero(cell == c)) for i, c in enumerate(own)]
+        queries, vectors = _matrix(ask[_VECTOR], dim), _matrix(have[_VECTOR], dim)
+        limits = ask[_LIMIT].to_numpy()
         # Rows of one query stay apart by their number; ids come back at the end.
-        found = _batch_nearest(
-            np.arange(ask.num_rows), _matrix(ask[_VECTOR], dim).astype("f8"), np.arange(have.num_rows),
-            _matrix(have[_VECTOR], dim), k, metric,
-        )
+        found = pd.concat([
+            _batch_nearest(q, queries[q].astype("f8"), r, vectors[r], k, metric, limits[q])
+            for q, r in meetings if len(q) and len(r)
+        ])
+        if len(meetings) > 1:
+            found = _trim(found, k)
         return pa.table({
             _QUERY: ask[_QUERY].take(pa.array(found[_QUERY].to_numpy())),
             _MATCH: have[_MATCH].take(pa.array(found[_MATCH].to_numpy())),
             _DISTANCE: pa.array(found[_DISTANCE].to_numpy(), from_pandas=True),
         })
 
+    places = spark.createDataFrame(
+        [(int(c), int(first_part[c]), int(n_parts[c])) for c in np.flatnonzero(rows)],
+        f"{_CELL} int, _first int, _parts int",
+    )
+    # The vector is part of the hash: rows that share one id spread over parts.
+    placed = cells.join(F.broadcast(places), _CELL).select(
+        _MATCH, _VECTOR, _CELL,
+        (F.col("_first") + F.pmod(F.xxhash64(_MATCH, _VECTOR), "_parts").cast("int")).alias(_PART))
+
     def compare(visits: DataFrame) -> DataFrame:
-        """The best of each cell visited."""
-        each = visits.select(_QUERY, _VECTOR, F.explode(_CELLS).alias(_CELL))
-        asking = {r[_CELL]: r["n"] for r in each.groupBy(_CELL).agg(F.count("*").alias("n")).collect()}
-        if counts is not None:
-            counts["compared"] = counts.get("compared", 0) + sum(int(rows[c]) * n for c, n in asking.items())
-        deal = spark.createDataFrame(
-            [(c, -(-int(rows[c]) // rows_per_part), -(-n // queries_per_block)) for c, n in asking.items()],
-            f"{_CELL} int, _parts int, _blocks int",
-        )
-
-        def every(n: str) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-        # The vector is part of the hash: rows that share one id spread over parts.
-        left = each.join(deal, _CELL).withColumn("_block", F.pmod(F.xxhash64(_QUERY, _VECTOR), "_blocks").cast("int"))
-        right = cells.join(deal, _CELL).withColumn("_part", F.pmod(F.xxhash64(_MATCH, _VECTOR), "_parts").cast("int"))
-        left = left.select(_QUERY, _VECTOR, _CELL, "_block", every("_parts").alias("_part"))
-        right = right.select(_MATCH, _VECTOR, _CELL, "_part", every("_blocks").alias("_block")).sortWithinPartitions(_MATCH)
-        keys = (_CELL, "_part", "_block")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b.sort_by(_MATCH)), pair_schema)
+        """The best of each part visited."""
+        per_block = _side_rows(queries_per_block, visits.count(), dim)
+        each = visits.select(_QUERY, _VECTOR, _LIMIT, F.inline(_VISITS))
+        asking = each.groupBy(_PART).agg(F.count("*").alias("n")).collect()
+        deal = F.broadcast(spark.createDataFrame(
+            [(r[_PART], -(-r["n"] // per_block)) for r in asking], f"{_PART} int, _blocks int"))
+        left = each.join(deal, _PART).withColumn("_block", F.pmod(F.xxhash64(_QUERY, _VECTOR), "_blocks").cast("int"))
+        right = placed.join(deal, _PART).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        keys = (_PART, "_block")
+        return left.drop("_blocks").groupBy(*keys).cogroup(right.drop("_blocks").groupBy(*keys)).applyInArrow(
+            lambda a, b: meet(a, b.sort_by(_MATCH)), pair_schema)
 
     place = Window.partitionBy(_QUERY).orderBy(F.col(_DISTANCE).asc_nulls_last(), _MATCH)
     first = kept(asked.mapInArrow(visit, visits_schema))
-    found = kept(compare(first))
-    limits = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select(
-        F.col(_QUERY).alias("_limited"), F.col(_DISTANCE).alias("_limit"))
-    limited = first.join(limits, F.col(_QUERY).eqNullSafe(F.col("_limited")), "left").select(_QUERY, _VECTOR, "_limit")
+    limits = compare(first).withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select(
+        F.col(_QUERY).alias("_limited"), F.col(_DISTANCE).alias("_found"))
+    limited = first.join(limits, F.col(_QUERY).eqNullSafe(F.col("_limited")), "left").select(
+        _QUERY, _VECTOR, F.col("_found").alias(_LIMIT))
+    # The second round visits the cells of the first again, where its limit lets it: its result is whole.
     second = kept(limited.mapInArrow(visit, visits_schema))
-    found = found.unionByName(compare(second))
+    found = compare(second)
 
     # What has no distance follows in the order of ids: k of them at most.
     lost = cells.where(F.col(_CELL) < 0)
     behind = [r[_MATCH] for r in lost.select(_MATCH).orderBy(_MATCH).limit(k).collect()] if rows.sum() < k else []
     lowest = [r[_MATCH] for r in cells.select(_MATCH).orderBy(_MATCH).limit(k).collect()]
-    no_place = F.size(_CELLS) == 0
+    no_place = F.size(_VISITS) == 0
     for ids, who in ((behind, ~no_place), (lowest, no_place)):
         if ids:
             listed = F.array(*(F.lit(i) for i in ids)).cast(T.ArrayType(match_type))
             found = found.unionByName(first.where(who).select(
                 _QUERY, F.explode(listed).alias(_MATCH), F.lit(None).cast("double").alias(_DISTANCE)))
     if counts is not None:
+        counts["compared"] = sum(v.agg(F.coalesce(F.sum(_PAIRS), F.lit(0))).first()[0] for v in (first, second))
         counts["all"] = first.count() * int(rows.sum())
     return (
         found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

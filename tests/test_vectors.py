@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerlift.operators.embedding import embed_texts
-from ledgerlift.operators.search import knn_join, nearest, semantic_search
+from ledgerlift.operators.search import _group_cells, _side_rows, knn_join, nearest, semantic_search
 from ledgerlift.plans.pipeline import search_store
 from ledgerlift.sources.layers import read_vectors, write_vectors
 
@@ -160,3 +160,15 @@ def test_far_cells_are_not_compared(spark, metric):
         d = np.sqrt(((m - a) ** 2).sum(axis=1)) if metric == "l2" else 1 - (m @ a) / np.linalg.norm(m, axis=1) / np.linalg.norm(a)
         assert [r["c"] for r in sorted((r for r in found if r["q"] == i), key=lambda r: r["rank"])] == list(np.argsort(d, kind="stable")[:5])
     assert counts["all"] == 200_000 and counts["compared"] < 0.2 * counts["all"]
+
+
+def test_vectors_are_sent_to_few_parts_however_small_the_limits():
+    rows = np.random.default_rng(3).integers(0, 200, 1024)
+    rows[7] = 20_000
+    per_part = _side_rows(200, int(rows.sum()), 64)
+    first, n_parts, cells = _group_cells(rows, per_part)
+    assert len(cells) <= 2 * 16 and n_parts[7] > 1
+    for cell in np.flatnonzero(rows):
+        assert [p for p, own in enumerate(cells) if cell in own] == list(range(first[cell], first[cell] + n_parts[cell]))
+    assert all(rows[own].sum() <= per_part for own in cells if 7 not in own)
+    assert _side_rows(20_000, 10**9, 768) * 768 * 4 <= 32 * 1024**2
