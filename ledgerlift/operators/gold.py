@@ -15,9 +15,24 @@ def _without_nan(name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None))
 
 
+def _sum(name: str) -> Column:
+    """The sum of doubles without the error that grows with the rows, so it does not depend on their order.
+
+    Whole parts and the first 20 binary places of the rests add up exactly, and what is left is too small to
+    matter. A sum above 2^53 is rounded as any other.
+    """
+    def rest(value: Column, part: Column) -> Column:
+        return F.nanvl(value - part, F.lit(0.0))  # infinity and NaN are in the whole part
+
+    whole = F.rint(name)
+    places = rest(F.col(name), whole)
+    first = F.rint(places * float(1 << 20)) / float(1 << 20)
+    return F.sum(whole) + (F.sum(first) + F.sum(rest(places, first)))
+
+
 def _total(name: str) -> Column:
     """Sum of the non-null values; 0 where a group has none."""
-    return F.coalesce(F.sum(name), F.lit(0.0))
+    return F.coalesce(_sum(name), F.lit(0.0))
 
 
 def _margin_measures(net: str, cost: str) -> dict[str, Column]:
@@ -181,7 +196,7 @@ def _partial_measures(basis: str) -> list[Column]:
     net, cost = {"local": ("net_value", "estimated_cost"), "usd": ("netwr_usd", "estimated_cost_usd")}[basis]
     return [
         F.sum("margin_pct").alias("margin_sum"), F.count("margin_pct").alias("margin_count"),
-        F.sum(net).alias("net_sum"), F.sum(cost).alias("cost_sum"),
+        _sum(net).alias("net_sum"), _sum(cost).alias("cost_sum"),
         *(measures[m].alias(m) for m in ("min_margin_pct", "max_margin_pct", "squeeze_count", "order_count")),
     ]
 

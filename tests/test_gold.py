@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlift.operators.gold import (
     GOLD_BUILDERS, GOLD_TABLES, MARGIN_TABLES, budget_variance, delivery_performance, margin_by_material,
@@ -73,3 +74,19 @@ def test_delivery_performance(spark, rows):
         "route string, transport_type string, days_late double, freight_cost_usd double, delivery_id long",
     )
     assert rows(delivery_performance(df)) == [("R1", "SEA", None, None, 0.0, 0), ("R1", "AIR", 3.0, 10.0, 10.0, 2)]
+
+
+def test_totals_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("R", "T", 0.0, v, float(i)) for i, v in enumerate([1e15, *[0.05] * 1000, -1e15, *[0.1] * 10])]
+    delivery = spark.createDataFrame(rows, "route string, transport_type string, days_late double, freight_cost_usd double, i double")
+    delivery = delivery.withColumn("delivery_id", F.col("i").cast("long"))
+    for order in (F.col("i"), F.col("i").desc(), F.col("freight_cost_usd")):
+        one = delivery.coalesce(1).sortWithinPartitions(order)
+        assert delivery_performance(one).first()["total_freight_cost"] == pytest.approx(51.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("value", [math.inf, -math.inf, math.nan])
+def test_totals_keep_what_is_no_number(spark, value):
+    rows = [("R", "T", 0.0, v, 1) for v in (1.5, value, None)]
+    delivery = spark.createDataFrame(rows, "route string, transport_type string, days_late double, freight_cost_usd double, delivery_id long")
+    assert str(delivery_performance(delivery).first()["total_freight_cost"]) == str(value)
