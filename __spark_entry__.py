@@ -15,7 +15,7 @@ sys.path.insert(0, str(_ROOT))
 
 from pyspark import cloudpickle  # noqa: E402
 from pyspark.errors import PySparkException  # noqa: E402
-from pyspark.sql import DataFrame, Observation, SparkSession, Window  # noqa: E402
+from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
@@ -317,19 +317,16 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold is built into a vector table, which answers with the distances of the five nearest texts; a table that is
-    missing adds nothing. Sentences of equal distance are many, so the texts themselves are not compared."""
+    """Gold is built into a vector table, which answers with the five texts nearest by rounded distance, then text; a
+    table that is missing adds nothing."""
     folder, question = work_dir(spark, "vectors"), "Which route has a critical delay?"
     # Gold with rounded numbers, so that the sentences do not depend on the order of summation.
     for name, df in _gold(spark, sf_dir).items():
         layers.write_layer(df, layers.run_path(f"{folder}/gold", "rounded", name))
     layers.publish(spark, f"{folder}/gold", "rounded")
     pipeline.build_vectors(spark, f"{folder}/gold", f"{folder}/vectors")
-    found = pipeline.search_store(spark, question, f"{folder}/vectors", 5)
-    found = found.unionByName(pipeline.search_store(spark, question, f"{folder}/missing", 5))
-    by_distance = Window.orderBy("distance", "text")  # five rows
-    return found.where("text is not null").select(
-        F.row_number().over(by_distance).alias("rank"), F.round("distance", 5).alias("distance"))
+    found = pipeline.search_store(spark, question, f"{folder}/vectors", 5, digits=6)
+    return found.unionByName(pipeline.search_store(spark, question, f"{folder}/missing", 5))
 
 
 def _vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,20 +22,25 @@ _QUERY, _MATCH, _VECTOR, _DISTANCE = "_query", "_match", "_vector", "distance"
 
 
 def nearest(
-    vectors: DataFrame, query: Sequence[float], k: int, *, id: str, vector: str = "vector", metric: str = "l2"
+    vectors: DataFrame, query: Sequence[float], k: int, *, id: str, vector: str = "vector", metric: str = "l2",
+    digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` rows nearest to one query vector, with ``distance``, nearest first, ties by ``id``.
 
-    Every task keeps its own best ``k``; only those meet.
+    Every task keeps its own best ``k``; only those meet. With ``digits`` distances are rounded before they are
+    compared, so equal ones stay ties whatever the order in which their cells were added up.
     """
     at = F.lit(np.asarray(query, dtype="f8"))
-    found = vectors.withColumn(_DISTANCE, METRICS[metric](F.col(vector), at))
+    distance = METRICS[metric](F.col(vector), at)
+    found = vectors.withColumn(_DISTANCE, distance if digits is None else F.round(distance, digits))
     return found.orderBy(F.col(_DISTANCE).asc_nulls_last(), id).limit(k)
 
 
-def semantic_search(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "l2") -> DataFrame:
-    """Texts of the ``k`` rows of a vector table nearest to ``query``, nearest first."""
-    found = nearest(vectors, query, k, id="text", metric=metric)
+def semantic_search(
+    vectors: DataFrame, query: Sequence[float], k: int, metric: str = "l2", digits: int | None = None
+) -> DataFrame:
+    """Texts of the ``k`` rows of a vector table nearest to ``query``, nearest first; ``digits`` as in ``nearest``."""
+    found = nearest(vectors, query, k, id="text", metric=metric, digits=digits)
     return found.where(F.col("text").isNotNull()).select("text", "table_name", _DISTANCE)
 
 

@@ -228,9 +228,9 @@ def build_vectors(
 
 def search_store(
     spark: SparkSession, query: str, vectors: str, limit: int, *,
-    embedder: Embedder | None = None, dim: int = EMBEDDING_DIM, metric: str = "l2",
+    embedder: Embedder | None = None, dim: int = EMBEDDING_DIM, metric: str = "l2", digits: int | None = None,
 ) -> DataFrame:
-    """The ``limit`` stored texts nearest to a query text.
+    """The ``limit`` stored texts nearest to a query text; ``digits`` as in ``nearest``.
 
     No vector table, or a query that cannot be embedded, gives an empty result.
     """
@@ -246,7 +246,7 @@ def search_store(
     except PythonException as problem:  # the embedder's; a failing cluster is no empty answer
         log.warning("query not embedded: %s", problem)
         return nothing
-    return semantic_search(read_vectors(spark, vectors, run_id), point, limit, metric)
+    return semantic_search(read_vectors(spark, vectors, run_id), point, limit, metric, digits)
 
 
 def run_all(

@@ -105,6 +105,14 @@ def test_search_drops_null_text_after_the_limit(spark):
     assert [r["text"] for r in semantic_search(df, [0.0, 0.0], 2).collect()] == ["a"]
 
 
+def test_equal_distances_are_ties_by_text(spark):
+    """The cells are added up in another order, which leaves distances a bit apart."""
+    rows = [("b", "t", [0.7, 0.2, 0.9]), ("a", "t", [0.7, 0.9, 0.2])]
+    df = spark.createDataFrame(rows, "text string, table_name string, vector array<double>")
+    found = semantic_search(df, [0.0, 0.0, 0.0], 2, digits=6).collect()
+    assert [r["text"] for r in found] == ["a", "b"] and len({r["distance"] for r in found}) == 1
+
+
 def test_default_embedding(spark):
     df = spark.createDataFrame([("Late, late ROUTE",), ("route late late",), ("",), (None,), ("Größe",)], "text string")
     late, same, empty, null, word = (np.asarray(r["vector"]) for r in embed_texts(df, dim=64).collect())
