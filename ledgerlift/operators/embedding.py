@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ledgerlift.functions.vectors import check_dim
 from ledgerlift.schemas import EMBEDDING_DIM
 
+# Rows of a batch whose words a task counts at once: what it holds does not grow with the batch.
+_ROWS_AT_ONCE = 512
+
 # Takes a batch of texts, returns one vector per text.
 Embedder = Callable[[Sequence[str]], "np.ndarray | Sequence[Sequence[float]]"]
 
@@ -26,18 +29,25 @@ def words_of(text: Column) -> Column:
 def _bucket_vectors(dim: int) -> Callable[[Column], Column]:
     @F.arrow_udf("array<float>")
     def count_and_normalise(words: pa.Array) -> pa.Array:
-        rows = len(words)
-        lengths = words.value_lengths().to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        # Each different word of the batch is hashed once.
-        bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()], "i8")
-        flat = bucket[coded.indices.to_numpy(zero_copy_only=False)]
-        cell = np.repeat(np.arange(rows, dtype="i8"), lengths) * dim + flat
-        counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype("f8")
-        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        vectors = counts / np.where(norms == 0.0, 1.0, norms)
-        offsets = np.arange(0, rows * dim + 1, dim, dtype="i4")
-        return pa.ListArray.from_arrays(offsets, vectors.astype("f4").ravel())
+        found, bucket_of = np.empty((len(words), dim), "f4"), {}
+        for low in range(0, len(words), _ROWS_AT_ONCE):
+            some = words.slice(low, _ROWS_AT_ONCE)
+            rows = len(some)
+            lengths = some.value_lengths().to_numpy(zero_copy_only=False)
+            coded = some.flatten().dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            # Each different word of the batch is hashed once.
+            for word in different:
+                if word not in bucket_of:
+                    bucket_of[word] = int(md5(word.encode()).hexdigest()[:8], 16) % dim
+            bucket = np.array([bucket_of[w] for w in different], "i8")
+            flat = bucket[coded.indices.to_numpy(zero_copy_only=False)]
+            cell = np.repeat(np.arange(rows, dtype="i8"), lengths) * dim + flat
+            counts = np.bincount(cell, minlength=rows * dim).reshape(rows, dim).astype("f8")
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            found[low:low + rows] = counts / np.where(norms == 0.0, 1.0, norms)
+        offsets = np.arange(0, len(words) * dim + 1, dim, dtype="i4")
+        return pa.ListArray.from_arrays(offsets, found.ravel())
 
     return count_and_normalise
 

@@ -180,3 +180,19 @@ def test_vectors_are_sent_to_few_parts_however_small_the_limits():
         assert [p for p, own in enumerate(cells) if cell in own] == list(range(first[cell], first[cell] + n_parts[cell]))
     assert all(rows[own].sum() <= per_part for own in cells if 7 not in own)
     assert _side_rows(20_000, 10**9, 768) * 768 * 4 <= 32 * 1024**2
+
+
+def test_embedding_counts_a_bounded_number_of_rows_at_once(spark, monkeypatch):
+    """A batch of many rows is counted in pieces, with the vectors of single rows."""
+    from ledgerlift.operators import embedding
+
+    sizes = []
+    real = embedding.np.bincount
+    monkeypatch.setattr(embedding.np, "bincount", lambda a, minlength: sizes.append(minlength) or real(a, minlength=minlength))
+    monkeypatch.setattr(embedding, "_ROWS_AT_ONCE", 2, raising=False)
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda _: lambda f: f)
+    words = embedding.pa.array([["a", "b", "a"], [], ["b"], ["c", "a"], ["a"]])
+    found = embedding._bucket_vectors(8)(words).to_pylist()
+    assert max(sizes) == 2 * 8 and len(found) == 5
+    assert found[4] == embedding._bucket_vectors(8)(embedding.pa.array([["a"]])).to_pylist()[0]
+    assert not any(found[1]) and found[2].index(1.0) != found[4].index(1.0)
