@@ -146,3 +146,14 @@ def test_lines_are_aggregated_before_they_meet_customers(spark, sf_dir):
             segment_margins(joined, customers)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sales_rows_are_not_shuffled_for_a_small_stored_master(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    def joins(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return plan.count("BroadcastHashJoin"), plan
+
+    stored, plan = joins(entry._silver(spark, sf_dir, "sales_enriched", stored=True))
+    assert stored >= 2 and "masters-" in plan
