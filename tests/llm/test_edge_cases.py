@@ -15,6 +15,7 @@ import corpus_pipeline
 from ledgerlift.llm import chat, exact_dedup, grid_join, jaccard_join, line_dedup, packing, pieces, sharding, suffix_dedup
 from ledgerlift.llm import toxicity
 from ledgerlift.llm.common import Scratch, min_labels, stored
+from ledgerlift.llm.queries import QUERIES
 from ledgerlift.sources.shared import work_dir
 from pyspark.sql import functions as F
 
@@ -328,6 +329,30 @@ def test_index_in_two_batches(spark):
     assert len(exact_dedup.halves(rows.where("doc_id is null"))) == 1
 
 
+def test_index_follows_shuffle_partitions(spark, sf_dir, monkeypatch):
+    """With more shuffle partitions than 64 a task of the write still has a bucket of its own, and nothing moves the index."""
+    made, number = [], spark.conf.get("spark.sql.shuffle.partitions")
+    start, deal = exact_dedup.DigestIndex.__init__, type(spark.range(0)).repartition
+
+    def noted(self, *a, **b):
+        start(self, *a, **b)
+        made.append(self)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "__init__", noted)
+    # As on a cluster that is told to deal out by keys to no fewer partitions than these.
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: deal(self, max(n, 80) if c else n, *c))
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        found = QUERIES["op10_exact_dedup"](spark, sf_dir)
+        rows = spark.range(10).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+        plan = made[0].candidates(rows, "id", "digest")._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", number)
+    assert len(made[0].rows().inputFiles()) <= 2 * made[0].buckets == 160
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (50, 3)]
     found = dict(min_labels(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
