@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -223,6 +224,46 @@ def test_suffix_groups_are_split(spark, monkeypatch):
         assert found[i] == ([(gone[0], gone[-1] + 1)] if gone else []), i
 
 
+def test_suffix_index_takes_possible_pairs(monkeypatch):
+    """Of segments that share their anchor, those with the same bytes beside it are indexed, the others not."""
+    some = random.Random(5)
+    rows, pairs = [], []
+    for g in (1, 2):
+        gram, part = some.randbytes(16), some.randbytes(190)
+        blobs = [some.randbytes(384) + gram + some.randbytes(384) for _ in range(60)]
+        blobs += [some.randbytes(20 * i) + part[:20] + part + gram + part + part[:9] + some.randbytes(20 * i) for i in (1, 2)]
+        blobs += [gram + some.randbytes(384), some.randbytes(384) + gram]
+        anchor = int(suffix_dedup.gram_hashes(gram, 0, 16).view("i8")[0])
+        rows += [(anchor, g, b"%d %d" % (g, i), 1, blob) for i, blob in enumerate(blobs) for _ in range(2)]
+        pairs += blobs[60:62]
+    batch = pa.RecordBatch.from_pylist([
+        dict(zip(("anchor", "group", "segment", "weight", "blob"), r, strict=True)) for r in rows])
+    seen = []
+
+    def noted(own, weights, length, find=suffix_dedup.repeated_starts):
+        seen.extend(own)
+        return find(own, weights, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", noted)
+    batches = [batch.slice(i, 50) for i in range(0, len(batch), 50)]
+    found = [tuple(r.values()) for b in suffix_dedup._index_groups(400)(iter(batches)) for r in b.to_pylist()]
+    assert seen == pairs
+    assert sorted(found) == [(b"%d %d" % (g, 59 + i), 20 * i, 20 * i + 25) for g in (1, 2) for i in (1, 2)]
+
+
+def test_suffix_dedup_of_few_letters(spark):
+    """Texts in which grams repeat much oftener than whole windows."""
+    some = random.Random(7)
+    stock = ["".join(some.choices("ab", k=some.choice((9, 17, 26, 41)))) for _ in range(24)]
+    texts = [(i, "".join(some.choice(stock) for _ in range(some.randrange(1, 9)))) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r.doc_id: r.kept_sha256 for r in suffix_dedup.remove_repeats(df, min_bytes=40).collect()}
+    counts = Counter(t[i:i + 40] for _, t in texts for i in range(len(t) - 39))
+    for i, t in texts:
+        gone = {j for s in range(len(t) - 39) if counts[t[s:s + 40]] > 1 for j in range(s, s + 40)}
+        assert found[i] == hashlib.sha256("".join(c for j, c in enumerate(t) if j not in gone).encode()).hexdigest(), i
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, 0, None, "x"), (2, None, "user", "q"),
