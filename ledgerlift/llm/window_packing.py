@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,10 +24,18 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _CACHED_WORDS = 1_000_000  # of one worker; beyond that it starts anew
 _WORD_ENDS = ".,;:!?"
+_LATIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"  # the letters below 256
 
 
 # --- tokens ---------------------------------------------------------------------------------------
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``ids`` that are used, one after the other, and their sizes."""
+    starts, sizes = starts[used], sizes[used]
+    ends = np.cumsum(sizes)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)], sizes
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, each different word encoded once.
 
@@ -43,71 +52,67 @@ class WordEncoder:
         probes = [*letters, *(f"x{a}{b}" for a in letters for b in ("y", *letters[::7]))]
         batch = self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)
         # Whether Latin words may be given to the model as they are, without the steps before it.
-        self.direct = all(self._pieces_of(w) == e.ids for w, e in zip(probes, batch, strict=True))
+        self.direct = self._pieces_of(probes) == [e.ids for e in batch]
         self._forget()
 
-    def _pieces_of(self, word: str) -> list[int]:
-        """The ids of a word of Latin letters by the model alone."""
-        word = word.lower()
-        return [t.id for t in self.tokenizer.model.tokenize(
-            word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+    def _pieces_of(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of Latin letters by the model alone."""
+        tokenize = self.tokenizer.model.tokenize
+        # A comma stands for itself among the letters that write bytes.
+        written = ",".join(words).lower().encode().decode("latin-1").translate(_BYTES).split(",")
+        return [[t.id for t in tokenize(w)] for w in written] if words else []
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}  # of a word among the words learned
-        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.places: dict[str, int] = {"": 0}  # of a word among the words learned
+        self.starts = self.sizes = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.places.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+    def _learn(self, words: list[str]) -> None:
+        latin = pc.match_substring_regex(pa.array(words, pa.string()), _LATIN).to_numpy(zero_copy_only=False).tolist()
+        plain = [w for w, own in zip(words, latin, strict=True) if own and self.direct]
+        whole = [w for w, own in zip(words, latin, strict=True) if not (own and self.direct)]
+        encoded = self._pieces_of(plain)
+        encoded += [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        self.places.update(zip(plain + whole, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids])
 
-    def _learn(self, words: list[str]) -> None:
-        joined, parts, plain, whole = [], [], [], []
-        for w in words:
-            core = w.rstrip(_WORD_ENDS)
-            if core.isalpha() and max(core) < "\u0100":
-                joined.append(w)
-                core, end = core.lower() if core.isascii() else core, w[len(core):]
-                parts += (core, end)
-                (plain if self.direct else whole).append(core)
-                whole.append(end)
-            else:
-                whole.append(w)
-        plain = [x for x in dict.fromkeys(plain) if x not in self.places]
-        whole = [x for x in dict.fromkeys(whole) if x not in self.places]
-        encoded = [self._pieces_of(w) for w in plain]
-        encoded += [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self._add(plain + whole, sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
-        ids, sizes = self._gather(np.array([self.places[x] for x in parts], np.int64))
-        new = [i for i, w in enumerate(joined) if w not in self.places]
-        sizes = sizes.reshape(-1, 2).sum(axis=1)
-        if len(new) < len(joined):
-            chosen = np.zeros(len(joined), bool)
-            chosen[new] = True
-            ids, sizes = ids[np.repeat(chosen, sizes)], sizes[chosen]
-        self._add([joined[i] for i in new], sizes, ids)
-
-    def _gather(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, sizes = self.starts[used], self.sizes[used]
-        ends = np.cumsum(sizes)
-        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)], sizes
+    def _places_of(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand among those learned, which they join if they are new."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.array([self.places.get(w, -1) for w in names], np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [names[i] for i in missing]
+            self._learn(new)
+            place[missing] = [self.places[w] for w in new]
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and the number of each word's."""
+        if len(self.places) > _CACHED_WORDS:
+            self._forget()
+        cores = pc.utf8_rtrim(words, characters=_WORD_ENDS)
+        latin = pc.match_substring_regex(cores, _LATIN)
+        heads = pc.if_else(latin, pc.ascii_lower(cores) if self.direct else cores, words)
+        ended = pc.and_(latin, pc.less(pc.binary_length(cores), pc.binary_length(words)))
+        tails = pc.replace_substring_regex(words.filter(ended), f"^.*[^{_WORD_ENDS}]", "")
+        used = np.zeros((len(words), 2), np.int64)
+        used[:, 0] = self._places_of(heads)
+        used[ended.to_numpy(zero_copy_only=False), 1] = self._places_of(tails)
+        ids, sizes = _gathered(self.ids, self.starts, self.sizes, used.reshape(-1))
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.places) > _CACHED_WORDS:
-            self._forget()
-        place = np.array([self.places.get(w, -1) for w in words], np.int64)
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            self._learn([words[i] for i in missing])
-            place[missing] = [self.places[words[i]] for i in missing]
-        ids, sizes = self._gather(place[coded.indices.to_numpy(zero_copy_only=False)])
+        ids, sizes = self._of_words(coded.dictionary)
+        ids, sizes = _gathered(ids, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(zero_copy_only=False))
         running = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         return ids, np.diff(running[bounds], prepend=0)
@@ -267,6 +272,7 @@ class WindowPlan:
         for r in range(1, self.window):
             self.smaller[r] = total[self.of_class[r]]
             total[self.of_class[r]] += hist[r]
+        self.shorter = self.smaller.tolist()
         self.sequence = np.concatenate([[0], np.cumsum(self.repeats)])
         # Where a class's ranks for each combination begin.
         self.begins: list[list[int]] = [[] for _ in range(classes)]
@@ -296,14 +302,14 @@ class WindowPlan:
         """The exact length of the row of this rank in its class."""
         low = max(1, (c - 1) * self.unit + 1)
         high = min(self.window - 1, c * self.unit)
-        return low + int(np.searchsorted(self.smaller[low:high + 1], rank, side="right")) - 1 if high > low else low
+        return bisect_right(self.shorter, rank, low, high + 1) - 1 if high > low else low
 
     def places(self, rest: int, rank: int) -> list[tuple[int, int, int]]:
         """The pieces (length, sequence, offset) of the rest of a row: one, or more where it is cut."""
         c = int(self.of_class[rest])
         if rank < self.taken[rest]:
             own = int(self.smaller[rest]) + rank
-            at = int(np.searchsorted(self.begins[c], own, side="right")) - 1
+            at = bisect_right(self.begins[c], own) - 1
             j, many = self.serves[c][at]
             instance, member = divmod(own - self.begins[c][at], many)
             offset = 0

@@ -1,6 +1,7 @@
 """Spelling variants, periodic runs and window packing against brute force, and their edge cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -290,6 +291,17 @@ def test_equal_lengths_over_many_tasks(spark):
     assert padding == 0 and total == sum(t.count("a") + 1 for t in texts.values())
 
 
+def test_encoder_keeps_case_where_it_counts(documents):
+    """A tokenizer that does not lower-case gets its words as they are."""
+    described = json.loads(TOKENIZER)
+    described["normalizer"]["normalizers"] = [n for n in described["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    encoder = window_packing.WordEncoder(json.dumps(described))
+    texts = [t for t in documents.values() if t][:40] + ["The END, the end. Été ÉTÉ!", "", "A a, B."]
+    ids, counts = encoder.encode(pa.array(texts))
+    expected = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
 def test_encoder_equals_whole_texts(documents):
     tokenizer = Tokenizer.from_str(TOKENIZER)
     texts = [t for _, t in ROWS if t is not None] + list(documents.values())[:60] + ["ÀÉ, ß. ǅ. ſ! ﬁ. ≠ é. 한국어. Ω. 12.5% -- ..."]
