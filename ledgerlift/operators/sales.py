@@ -33,14 +33,14 @@ def dedupe_first(df: DataFrame, key: str, order: str | Sequence[str] = POSITION)
     return df.groupBy(key).agg(first.alias("_first")).select(key, "_first.*")
 
 
-def equi_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on one shared key: left columns, then right ones. Right columns whose name is taken get
-    the suffix ``_right``. Keys of different type are an error rather than silently cast."""
+def equi_join(left: DataFrame, right: DataFrame, key: str, how: str, taken: Sequence[str] | None = None) -> DataFrame:
+    """Join on one shared key: left columns, then right ones. Right columns whose name is ``taken``, by default in the
+    left table, get the suffix ``_right``. Keys of different type are an error rather than silently cast."""
     types = [dict((f.name, f.dataType) for f in side.schema.fields)[key] for side in (left, right)]
     if types[0] != types[1]:
         raise ContractError(f"{key} is {types[0].simpleString()} on one side, {types[1].simpleString()} on the other")
-    taken = {c.lower() for c in left.columns}
-    clashes = {c: f"{c}_right" for c in right.columns if c != key and c.lower() in taken}
+    names = {c.lower() for c in (left.columns if taken is None else taken)}
+    clashes = {c: f"{c}_right" for c in right.columns if c != key and c.lower() in names}
     renamed = right.withColumnsRenamed(clashes)
     added = [c for c in renamed.columns if c != key]
     return left.join(renamed, key, how).select(*left.columns, *added)
@@ -72,7 +72,8 @@ def enrich_sales(
 
     ``customer`` and ``material`` must be unique per key, see ``dedupe_first``. No join is hinted:
     a master below the session's broadcast threshold is broadcast, a larger one is shuffled, and
-    adaptive execution splits the partitions of a hot order, customer or null key.
+    adaptive execution splits the partitions of a hot order, customer or null key. Customers are joined with the
+    headers, before each is repeated for its items; only where the rows of these steps are observed, step by step.
 
     ``observe`` takes observations named ``items``, ``customer``, ``material`` and ``sales``; they
     receive the row count after each step (``sales`` also the rows with an unknown currency) without
@@ -85,13 +86,15 @@ def enrich_sales(
             return df
         return df.observe(observe[step], F.count(F.lit(1)).alias("rows"), *more)
 
-    sales = equi_join(
-        require_columns(header, "sales_header"), require_columns(items, "sales_items"), "order_id", "inner"
-    )
-    sales = counted(sales, "items")
-    sales = counted(
-        equi_join(sales, require_columns(customer, "customer_master"), "customer_id", "left"), "customer"
-    )
+    header, items = require_columns(header, "sales_header"), require_columns(items, "sales_items")
+    customer = require_columns(customer, "customer_master")
+    lines = counted(equi_join(header, items, "order_id", "inner"), "items")
+    if "items" in observe or "customer" in observe:
+        sales = counted(equi_join(lines, customer, "customer_id", "left"), "customer")
+    else:
+        known = equi_join(header, customer, "customer_id", "left", taken=lines.columns)
+        sales = equi_join(known, items, "order_id", "inner", taken=header.columns).select(
+            *lines.columns, *known.columns[len(header.columns):])
     if material is not None:
         sales = counted(
             equi_join(sales, require_columns(material, "material_master"), "material_id", "left"), "material"

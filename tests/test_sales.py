@@ -101,3 +101,26 @@ def test_enrich_sales_names_missing_columns(spark):
     empty = spark.createDataFrame([], "order_id long")
     with pytest.raises(ContractError, match="sales_header lacks column.*customer_id, currency"):
         enrich_sales(empty, empty, empty)
+
+
+def test_customers_meet_headers_before_items(spark):
+    """A customer table too large for a broadcast moves the headers, not their items, and gives the same rows."""
+    header = spark.createDataFrame(
+        [(1, 7, "EUR", "web", "S1", "h"), (2, None, "USD", "web", "S1", "h"), (3, 9, None, "shop", "S2", None), (4, 8, "GBP", "web", "S1", "h")],
+        "order_id long, customer_id long, currency string, distribution_channel string, sales_org string, note string")
+    items = spark.createDataFrame(
+        [(1, "MAT-01", 10.0, 9.8, "i"), (1, "MAT-02", 5.0, 1.0, None), (2, "MAT-01", 0.0, 0.0, "i"), (3, None, None, 2.0, "i"), (5, "X", 1.0, 1.0, "i")],
+        "order_id long, material_id string, net_value double, estimated_cost double, Industry string")
+    customer = spark.createDataFrame([(7, "Tools", "East", "c"), (8, "Wood", "West", "c")],
+                                     "customer_id long, industry string, region_group string, Note string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = enrich_sales(header, items, customer)
+        step_by_step = enrich_sales(header, items, customer, observe={"items": Observation()})
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.columns == step_by_step.columns and {"industry_right", "Note_right"} <= set(joined.columns)
+        assert sorted(joined.collect(), key=str) == sorted(step_by_step.collect(), key=str) != []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.index("[order_id") < text.index("Inner") < text.index("LeftOuter")  # the customers' join is the lower one
