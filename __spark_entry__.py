@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from pathlib import Path
 
 _ROOT = Path(__file__).resolve().parent
@@ -34,7 +34,7 @@ from ledgerlift.plans.adapters import (  # noqa: E402
 )
 from ledgerlift.schemas import EMBEDDING_DIM, KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
 from ledgerlift.sources import bronze, layers  # noqa: E402
-from ledgerlift.sources.shared import work_dir  # noqa: E402
+from ledgerlift.sources.shared import side_by_side, work_dir  # noqa: E402
 from ledgerlift.streaming.landing import compact_landed, drop_gathered, land_bronze_stream  # noqa: E402
 
 # Tasks get the library's functions with the job, so nothing has to be installed on the executors.
@@ -138,14 +138,16 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- exports, landing and the whole pipeline --------------------------------------------------------
 
 def _export(spark: SparkSession, sf_dir: str, folder: str, files: dict[str, str], names) -> None:
-    """Write the ERP tables as CSV exports; ``names`` renames a table's columns."""
-    for data_type in VIEWS:
+    """Write the ERP tables as CSV exports, side by side; ``names`` renames a table's columns."""
+    def write(data_type: str) -> None:
         df = erp_table(spark, sf_dir, data_type)
         if "row_no" in df.columns:
             df = df.orderBy("row_no").drop("row_no")  # file order is what decides the first row
         renamed = df.withColumnsRenamed(names(data_type))
         renamed.write.option("header", True).option("escape", '"').csv(f"{folder}/{files[data_type]}")
 
+    side_by_side(spark, [partial(write, data_type) for data_type in VIEWS])
+
 
 def _item_columns(df: DataFrame) -> DataFrame:
     return conform(df).select("order_id", "line_item_number", "material_id", "net_value", "estimated_cost")
@@ -205,10 +207,10 @@ def _pipeline_silver(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     code_of = {field: code for code, field in KNOWN_CODES.items()}
     files = {t: f"{t}.csv" for t in VIEWS}
     _export(spark, sf_dir, f"{folder}/bronze", files, lambda _: code_of)
+    read = side_by_side(spark, [partial(bronze.read_bronze, spark, f"{folder}/bronze/{file}") for file in files.values()])
     mapping_rows = [
         (data_type, file, i, header, KNOWN_CODES.get(header))
-        for data_type, file in files.items()
-        for i, header in enumerate(bronze.read_bronze(spark, f"{folder}/bronze/{file}").columns)
+        for (data_type, file), df in zip(files.items(), read, strict=True) for i, header in enumerate(df.columns)
     ]
     confirmed = spark.createDataFrame(mapping_rows, mapping.MAPPING_SCHEMA)
     layers.save_mapping(confirmed, f"{folder}/config")

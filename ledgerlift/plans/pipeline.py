@@ -6,6 +6,7 @@ import logging
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -29,6 +30,7 @@ from ledgerlift.sources.layers import (
     SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish, read_gold, read_silver,
     read_vectors, run_path, write_layer, write_vectors,
 )
+from ledgerlift.sources.shared import side_by_side
 
 log = logging.getLogger(__name__)
 
@@ -107,13 +109,12 @@ def write_silver(
 ) -> str:
     """Write Silver tables as a new run, check what was written, publish all or nothing.
 
-    The joins run once, for the write; the checks then read back only the columns they need. A run
-    that fails its checks stays unlisted, with its report in ``checks``, and readers keep the run
+    The joins run once, for the write; the tables are written side by side. The checks then read back only the
+    columns they need. A run that fails its checks stays unlisted, with its report in ``checks``, and readers keep the run
     published before.
     """
     run_id = run_id or uuid.uuid4().hex
-    for name, df in tables.items():
-        write_layer(df, run_path(silver, run_id, name))
+    side_by_side(spark, [partial(write_layer, df, run_path(silver, run_id, name)) for name, df in tables.items()])
     staged = {name: spark.read.parquet(run_path(silver, run_id, name)) for name in tables}
     report = combine_reports(
         sales=validate_sales(staged["sales_enriched"], bounds.min_sales, bounds.max_sales),
@@ -159,15 +160,17 @@ def run_from_mapping(
     if nameless:
         raise ContractError(f"the mapping names no file for {', '.join(nameless)}")
     run_id = uuid.uuid4().hex
-    tables = {t: _load(spark, bronze, silver, run_id, t, *entries[t], multiline) for t in wanted}
+    loads = [partial(_load, spark, bronze, silver, run_id, t, *entries[t], multiline) for t in wanted]
+    tables = dict(zip(wanted, side_by_side(spark, loads), strict=True))
     write_silver(spark, silver_tables(tables, rates, observe), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
 
 def land_native(spark: SparkSession, exports: str, bronze: str, *, multiline: bool = False) -> None:
-    """Land the six exports of the native layout from folder ``exports``."""
-    for file in PRESET_SAP_FILES.values():
-        land_bronze(spark, f"{exports}/{file}", bronze, multiline=multiline)
+    """Land the six exports of the native layout from folder ``exports``, side by side."""
+    side_by_side(spark, [
+        partial(land_bronze, spark, f"{exports}/{file}", bronze, multiline=multiline) for file in PRESET_SAP_FILES.values()
+    ])
 
 
 def run_native(
@@ -180,7 +183,8 @@ def run_native(
     """
     files = {t: bronze_name(f) if landed else f for t, f in PRESET_SAP_FILES.items()}
     run_id = uuid.uuid4().hex
-    tables = {t: _load(spark, bronze, silver, run_id, t, files[t], PRESET_SAP[t], multiline) for t in PRESET_SAP}
+    loads = [partial(_load, spark, bronze, silver, run_id, t, files[t], PRESET_SAP[t], multiline) for t in PRESET_SAP]
+    tables = dict(zip(PRESET_SAP, side_by_side(spark, loads), strict=True))
     write_silver(spark, silver_tables(tables, rates), silver, bounds, run_id)
     return SilverRun(ran=True, run_id=run_id)
 
@@ -196,14 +200,14 @@ def write_gold(tables: Mapping[str, DataFrame], gold: str, *, basis: str = "loca
     sales, run_id = tables["sales_enriched"], uuid.uuid4().hex
     spark = sales.sparkSession
     cuts_path = run_path(gold, run_id, "margins_by_cut")
-    write_layer(margins_by_cut(sales, basis), cuts_path)
+    side_by_side(spark, [partial(write_layer, margins_by_cut(sales, basis), cuts_path)] + [
+        partial(write_layer, unsorted_gold(tables[table.source], name), run_path(gold, run_id, name))
+        for name, table in GOLD_TABLES.items() if name not in MARGIN_TABLES
+    ])
     cuts = spark.read.parquet(cuts_path)
-    for name, table in GOLD_TABLES.items():
-        if name in MARGIN_TABLES:
-            rows = pick_cut(cuts, name, ordered=False)
-        else:
-            rows = unsorted_gold(tables[table.source], name)
-        write_layer(rows, run_path(gold, run_id, name))
+    side_by_side(spark, [
+        partial(write_layer, pick_cut(cuts, name, ordered=False), run_path(gold, run_id, name)) for name in MARGIN_TABLES
+    ])
     publish(spark, gold, run_id)
 
 
