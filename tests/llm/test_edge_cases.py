@@ -224,6 +224,31 @@ def test_suffix_groups_are_split(spark, monkeypatch):
         assert found[i] == ([(gone[0], gone[-1] + 1)] if gone else []), i
 
 
+def test_suffix_groups_stay_whole(spark):
+    """Passages between different neighbours, where the join of groups turns into a broadcast at run time."""
+    some = random.Random(11)
+    texts = []
+    for i in range(120):
+        passage = some.randbytes(220).hex()
+        texts += [(2 * i + j, some.randbytes(200).hex() + passage + some.randbytes(200).hex()) for j in (0, 1)]
+    settings = {
+        # Below what the plan expects of a count by group, above what it turns out to be.
+        "spark.sql.autoBroadcastJoinThreshold": "12k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(8)
+        found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.remove_repeats(df).collect()}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    counts = Counter(t[i:i + 400] for _, t in texts for i in range(len(t) - 399))
+    for i, t in texts:
+        starts = [s for s in range(len(t) - 399) if counts[t[s:s + 400]] > 1]
+        assert found[i] == [(starts[0], starts[-1] + 400)], i
+
+
 def test_suffix_index_takes_possible_pairs(monkeypatch):
     """Of segments that share their anchor, those with the same bytes beside it are indexed, the others not."""
     some = random.Random(5)
