@@ -34,7 +34,7 @@ from ledgerlift.plans.adapters import (  # noqa: E402
 )
 from ledgerlift.schemas import EMBEDDING_DIM, KNOWN_CODES, PRESET_SAP, PRESET_SAP_FILES  # noqa: E402
 from ledgerlift.sources import bronze, layers  # noqa: E402
-from ledgerlift.sources.shared import side_by_side, work_dir  # noqa: E402
+from ledgerlift.sources.shared import shuffles_dropped, side_by_side, work_dir  # noqa: E402
 from ledgerlift.streaming.landing import compact_landed, drop_gathered, land_bronze_stream  # noqa: E402
 
 # Tasks get the library's functions with the job, so nothing has to be installed on the executors.
@@ -137,8 +137,8 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- exports, landing and the whole pipeline --------------------------------------------------------
 
-def _export(spark: SparkSession, sf_dir: str, folder: str, files: dict[str, str], names) -> None:
-    """Write the ERP tables as CSV exports, side by side; ``names`` renames a table's columns."""
+def _export(spark: SparkSession, sf_dir: str, folder: str, files: dict[str, str], names, types=tuple(VIEWS)) -> None:
+    """Write ERP tables, by default all, as CSV exports, side by side; ``names`` renames a table's columns."""
     def write(data_type: str) -> None:
         df = erp_table(spark, sf_dir, data_type)
         if "row_no" in df.columns:
@@ -146,7 +146,7 @@ def _export(spark: SparkSession, sf_dir: str, folder: str, files: dict[str, str]
         renamed = df.withColumnsRenamed(names(data_type))
         renamed.write.option("header", True).option("escape", '"').csv(f"{folder}/{files[data_type]}")
 
-    side_by_side(spark, [partial(write, data_type) for data_type in VIEWS])
+    side_by_side(spark, [partial(write, data_type) for data_type in types])
 
 
 def _item_columns(df: DataFrame) -> DataFrame:
@@ -199,6 +199,7 @@ def _land_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOUNDS = pipeline.RowBounds(max_sales=None)
+_EXPORTS_AT_ONCE = 2  # so many lie on the disk beside what is landed of them
 
 
 def _pipeline_silver(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -236,11 +237,17 @@ def _pipeline_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pipeline_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "native")
-    _export(
-        spark, sf_dir, f"{folder}/exports", PRESET_SAP_FILES,
-        lambda t: {canonical: native for native, canonical in PRESET_SAP[t].items()},
-    )
-    pipeline.land_native(spark, f"{folder}/exports", f"{folder}/bronze")
+
+    def land(data_type: str) -> None:
+        """Export a table and land it. The exports are twice as large as Bronze, and nothing reads them once they are landed."""
+        _export(
+            spark, sf_dir, f"{folder}/exports", PRESET_SAP_FILES,
+            lambda t: {canonical: native for native, canonical in PRESET_SAP[t].items()}, [data_type],
+        )
+        pipeline.land_native(spark, f"{folder}/exports", f"{folder}/bronze", clean_source=True, types=[data_type])
+
+    with shuffles_dropped(spark):
+        side_by_side(spark, [partial(land, data_type) for data_type in VIEWS], at_once=_EXPORTS_AT_ONCE)
     pipeline.run_native(spark, f"{folder}/bronze", f"{folder}/silver", landed=True, bounds=_BOUNDS)
     return _sales_columns(layers.read_silver(spark, f"{folder}/silver", "sales_enriched"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -30,7 +30,7 @@ from ledgerlift.sources.layers import (
     SILVER_TABLES, VECTOR_SCHEMA, current_run, gold_ready, load_mapping, publish, read_gold, read_silver,
     read_vectors, run_path, write_layer, write_vectors,
 )
-from ledgerlift.sources.shared import side_by_side
+from ledgerlift.sources.shared import shuffles_dropped, side_by_side
 
 log = logging.getLogger(__name__)
 
@@ -109,12 +109,13 @@ def write_silver(
 ) -> str:
     """Write Silver tables as a new run, check what was written, publish all or nothing.
 
-    The joins run once, for the write; the tables are written side by side. The checks then read back only the
-    columns they need. A run that fails its checks stays unlisted, with its report in ``checks``, and readers keep the run
-    published before.
+    The joins run once, for the write; the tables are written side by side, and what the joins shuffled goes when
+    they are. The checks then read back only the columns they need. A run that fails its checks stays unlisted, with its
+    report in ``checks``, and readers keep the run published before.
     """
     run_id = run_id or uuid.uuid4().hex
-    side_by_side(spark, [partial(write_layer, df, run_path(silver, run_id, name)) for name, df in tables.items()])
+    with shuffles_dropped(spark):
+        side_by_side(spark, [partial(write_layer, df, run_path(silver, run_id, name)) for name, df in tables.items()])
     staged = {name: spark.read.parquet(run_path(silver, run_id, name)) for name in tables}
     report = combine_reports(
         sales=validate_sales(staged["sales_enriched"], bounds.min_sales, bounds.max_sales),
@@ -166,10 +167,17 @@ def run_from_mapping(
     return SilverRun(ran=True, run_id=run_id)
 
 
-def land_native(spark: SparkSession, exports: str, bronze: str, *, multiline: bool = False) -> None:
-    """Land the six exports of the native layout from folder ``exports``, side by side."""
+def land_native(
+    spark: SparkSession, exports: str, bronze: str, *, multiline: bool = False, clean_source: bool = False,
+    types: Iterable[str] = tuple(PRESET_SAP_FILES),
+) -> None:
+    """Land the exports of the native layout from folder ``exports``, side by side: all six, or those of some data types.
+
+    With ``clean_source`` each export is deleted once it is landed.
+    """
     side_by_side(spark, [
-        partial(land_bronze, spark, f"{exports}/{file}", bronze, multiline=multiline) for file in PRESET_SAP_FILES.values()
+        partial(land_bronze, spark, f"{exports}/{PRESET_SAP_FILES[t]}", bronze, multiline=multiline, clean_source=clean_source)
+        for t in types
     ])
 
 

@@ -16,6 +16,7 @@ from ledgerlift.functions.headers import header_names
 from ledgerlift.schemas import LANDED_BATCH, POSITION, ContractError
 from ledgerlift.sources.commits import CommitLog
 from ledgerlift.sources.quoted import quoted_records
+from ledgerlift.sources.shared import CODEC, remove
 
 # The exports' dialect: quotes are doubled, an empty cell is null, a quoted empty cell is ''. The
 # two are told apart by a null marker that no export contains.
@@ -151,15 +152,20 @@ def bronze_name(path: str) -> str:
     return f"{PurePosixPath(path).stem}.parquet"
 
 
-def land_bronze(spark: SparkSession, source: str, bronze: str, *, multiline: bool = False) -> str:
+def land_bronze(
+    spark: SparkSession, source: str, bronze: str, *, multiline: bool = False, clean_source: bool = False
+) -> str:
     """Land an export in Bronze as Parquet and return its name there.
 
     Only the base name of ``source`` counts, and an earlier export of that name is replaced. There
-    is no shuffle: every input split is written by the task that reads it.
+    is no shuffle: every input split is written by the task that reads it. With ``clean_source`` the export is
+    deleted once all of it is landed; one that cannot be landed stays.
     """
     name = bronze_name(source)
     df = read_bronze(spark, source, with_position=True, multiline=multiline)
-    df.write.mode("overwrite").parquet(f"{bronze}/{name}")
+    df.write.mode("overwrite").option("compression", CODEC).parquet(f"{bronze}/{name}")
+    if clean_source:
+        remove(spark, source)
     return name
 
 

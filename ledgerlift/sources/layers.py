@@ -16,7 +16,7 @@ from ledgerlift.operators.gold import GOLD_TABLES, sorted_gold
 from ledgerlift.operators.mapping import MAPPING_SCHEMA, upsert_mapping
 from ledgerlift.schemas import EMBEDDING_DIM
 from ledgerlift.sources.commits import CommitLog, Conflict
-from ledgerlift.sources.shared import read_if_present
+from ledgerlift.sources.shared import CODEC, read_if_present
 
 MAPPING_FILE, MAPPING_VERSIONS = "field_mapping.json", "field_mapping.versions"
 _ATTEMPTS = 50
@@ -32,7 +32,7 @@ VECTOR_SCHEMA = T.StructType([
 
 def write_layer(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the Parquet table at ``path``."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.write.mode("overwrite").option("compression", CODEC).partitionBy(*partition_by).parquet(path)
 
 
 # --- Silver and Gold: a run is visible once it is listed as published --------------------------
