@@ -15,19 +15,27 @@ def _without_nan(name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None))
 
 
+def _with_parts(df: DataFrame, *names: str) -> DataFrame:
+    """The rows with the parts of each amount that ``_sum`` adds up: whole part, first 20 binary places, rest."""
+    def rest(value: Column, part: Column) -> Column:
+        return F.nanvl(value - part, F.lit(0.0))  # infinity and NaN are in the whole part
+
+    parts = {}
+    for name in names:
+        whole = F.rint(name)
+        places = rest(F.col(name), whole)
+        first = F.rint(places * float(1 << 20)) / float(1 << 20)
+        parts |= {f"{name}_whole": whole, f"{name}_first": first, f"{name}_rest": rest(places, first)}
+    return df.withColumns(parts)
+
+
 def _sum(name: str) -> Column:
-    """The sum of doubles without the error that grows with the rows, so it does not depend on their order.
+    """The sum of doubles without the error that grows with the rows, so it does not depend on their order; of rows ``_with_parts``.
 
     Whole parts and the first 20 binary places of the rests add up exactly, and what is left is too small to
     matter. A sum above 2^53 is rounded as any other.
     """
-    def rest(value: Column, part: Column) -> Column:
-        return F.nanvl(value - part, F.lit(0.0))  # infinity and NaN are in the whole part
-
-    whole = F.rint(name)
-    places = rest(F.col(name), whole)
-    first = F.rint(places * float(1 << 20)) / float(1 << 20)
-    return F.sum(whole) + (F.sum(first) + F.sum(rest(places, first)))
+    return F.sum(f"{name}_whole") + (F.sum(f"{name}_first") + F.sum(f"{name}_rest"))
 
 
 def _total(name: str) -> Column:
@@ -87,10 +95,16 @@ GOLD_TABLES: dict[str, GoldTable] = {
 }
 
 
+def _amounts(source: str, basis: str = "local") -> tuple[str, ...]:
+    """The columns that the measures of a Silver table add up."""
+    if source == "sales_enriched":
+        return {"local": ("net_value", "estimated_cost"), "usd": ("netwr_usd", "estimated_cost_usd")}[basis]
+    return ("actual_cost", "budget_amount", "budget_variance") if source == "controlling_enriched" else ("freight_cost_usd",)
+
+
 def _measures(source: str, basis: str = "local") -> dict[str, Column]:
     if source == "sales_enriched":
-        columns = {"local": ("net_value", "estimated_cost"), "usd": ("netwr_usd", "estimated_cost_usd")}
-        return _margin_measures(*columns[basis])
+        return _margin_measures(*_amounts(source, basis))
     if source == "controlling_enriched":
         return {
             "total_actual_cost": _total("actual_cost"),
@@ -117,7 +131,8 @@ def unsorted_gold(df: DataFrame, name: str, basis: str = "local") -> DataFrame:
     """One Gold table in no order, as it is written; ``metric`` sorts when it reads."""
     table = GOLD_TABLES[name]
     measures = _measures(table.source, basis)
-    return df.groupBy(*table.keys).agg(*(measures[m].alias(m) for m in table.measures))
+    rows = _with_parts(df, *_amounts(table.source, basis))
+    return rows.groupBy(*table.keys).agg(*(measures[m].alias(m) for m in table.measures))
 
 
 def _aggregate(df: DataFrame, name: str, basis: str = "local") -> DataFrame:
@@ -187,13 +202,14 @@ def margins_by_cut(sales: DataFrame, basis: str = "local") -> DataFrame:
         label = F.when(F.grouping_id() == number, name).otherwise(label)
     sets = [[F.col(k) for k in GOLD_TABLES[n].keys] for n in MARGIN_TABLES]
     measures = [c.alias(m) for m, c in _measures("sales_enriched", basis).items()]
-    return sales.groupingSets(sets, *_CUT_KEYS).agg(label.alias("gold_table"), *measures)
+    rows = _with_parts(sales, *_amounts("sales_enriched", basis))
+    return rows.groupingSets(sets, *_CUT_KEYS).agg(label.alias("gold_table"), *measures)
 
 
 def _partial_measures(basis: str) -> list[Column]:
     """What the margin measures can be put together from, group by group; an average is kept as sum and count."""
     measures = _measures("sales_enriched", basis)
-    net, cost = {"local": ("net_value", "estimated_cost"), "usd": ("netwr_usd", "estimated_cost_usd")}[basis]
+    net, cost = _amounts("sales_enriched", basis)
     return [
         F.sum("margin_pct").alias("margin_sum"), F.count("margin_pct").alias("margin_count"),
         _sum(net).alias("net_sum"), _sum(cost).alias("cost_sum"),
@@ -217,14 +233,16 @@ def _by_segment(partial: DataFrame, customers: DataFrame) -> DataFrame:
     """Partial measures per customer, joined with the customers' segments and put together by these."""
     segments = customers.select("customer_id", *_SEGMENT)
     measures = [c.alias(m) for m, c in _final_measures().items()]
-    return partial.join(segments, "customer_id", "left").groupBy(*_SEGMENT).agg(*measures)
+    joined = _with_parts(partial.join(segments, "customer_id", "left"), "net_sum", "cost_sum")
+    return joined.groupBy(*_SEGMENT).agg(*measures)
 
 
-def _without_segment(lines: DataFrame) -> DataFrame:
+def _without_segment(lines: DataFrame, basis: str) -> DataFrame:
+    """The lines, which must not have their segment yet, with the parts of their amounts."""
     present = [c for c in _SEGMENT if c in lines.columns]
     if present:
         raise ContractError(f"the lines have {', '.join(present)} already; aggregate them with margins_by_cut")
-    return lines
+    return _with_parts(lines, *_amounts("sales_enriched", basis))
 
 
 def segment_margins(lines: DataFrame, customers: DataFrame, basis: str = "local") -> DataFrame:
@@ -233,7 +251,7 @@ def segment_margins(lines: DataFrame, customers: DataFrame, basis: str = "local"
     Lines are aggregated per customer first, so one row per customer and task is shuffled, not each line; a
     customer with a third of all lines is a row like any other. An average is made of sum and count.
     """
-    partial = _without_segment(lines).groupBy("customer_id").agg(*_partial_measures(basis))
+    partial = _without_segment(lines, basis).groupBy("customer_id").agg(*_partial_measures(basis))
     table = GOLD_TABLES["margin_by_segment"]
     return sorted_gold(_by_segment(partial, customers).select(*table.keys, *table.measures), "margin_by_segment")
 
@@ -252,7 +270,7 @@ def margins_of_lines(lines: DataFrame, customers: DataFrame, basis: str = "local
     for name, bit in place.items():
         label = F.when(F.grouping_id() == all_bits - (1 << bit), name).otherwise(label)
     sets = [[F.col(k)] for k in keys]
-    partial = _without_segment(lines).groupingSets(sets, *keys).agg(label.alias("gold_table"), *_partial_measures(basis))
+    partial = _without_segment(lines, basis).groupingSets(sets, *keys).agg(label.alias("gold_table"), *_partial_measures(basis))
     measures = _final_measures()
     whole = partial.where(F.col("gold_table") != "margin_by_segment").select(
         *keys[:-1], *(F.lit(None).cast(customers.schema[k].dataType).alias(k) for k in _SEGMENT), "gold_table",
